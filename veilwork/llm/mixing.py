@@ -5,8 +5,8 @@ everything once, such that every source yields its target of words and no rate e
 The solution is an exponential tilt, r = min(cap, exp(lambda * size / mean size)), with one dual
 variable a source. The dual is convex; safeguarded Newton steps solve it for all sources at once,
 as aggregations over the histogram (source, size, documents). Rates are then rounded to whole
-copies: a keyed uniform of the document decides whether the fraction counts, and one threshold a
-source, found on a histogram of the keyed uniforms, makes the copies' words meet the target.
+copies: a keyed uniform of the document decides whether the fraction counts, and thresholds for
+each source, found on histograms of the keyed uniforms, make the copies' words meet the target.
 
 Defined cases: a null text has size 0 and no effect; a null source is a source of its own, sorted
 last; a source of size 0 has target 0; repeated rows get equal draws; an empty table gives an
@@ -95,35 +95,55 @@ def _solve_dual(hist: DataFrame, targets: dict, means: dict, cap: float, steps:
     return done | {s: v[2] for s, v in state.items()}
 
 
-def _thresholds(sized: DataFrame, targets: dict, cap: float, seed: int) -> dict:
-    """Shift of each source's rounding threshold so that whole copies meet the target of words.
+def _one_more(sized: DataFrame, rounds: list[dict]) -> DataFrame:
+    """Adds ``more``: whether some round so far gives the document one more copy."""
+    spark, more = sized.sparkSession, F.lit(False)
+    for no, plan in enumerate(rounds):
+        rows = [(s, float(limit), shift) for s, (limit, shift) in plan.items()]
+        at = F.broadcast(spark.createDataFrame(rows or [(None, 0.0, -2.0)], f"s string, l{no} double, s{no} double"))
+        sized = sized.join(at, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        more = more | ((F.col("size") <= F.col(f"l{no}")) & (F.col("key") < F.col(f"s{no}")))
+    sized = sized.withColumn("more", more & (F.col("whole") < F.col("most")))
+    return sized.drop(*[f"{c}{no}" for no in range(len(rounds)) for c in "ls"])
 
-    With key = uniform - fraction of the rate, a document gets one more copy where key < shift.
-    Words by source and bin of the key are summed once, the bin where the target is met is opened
-    into finer bins, and the edge nearest to the target is taken.
+
+def _thresholds(sized: DataFrame, targets: dict, rounds: int = 4) -> list[dict]:
+    """Source -> (largest size, shift of the rounding threshold), for each round.
+
+    With key = uniform - fraction of the rate, a document no larger than the limit gets one more
+    copy where key < shift. Words by source and bin of the key are summed, the bin where the target
+    is met is opened into finer bins. What is left of the target is given in the next round to
+    documents that fit into it.
     """
-    spark = sized.sparkSession
-    base = {r.source: r.w for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("whole")).alias("w")).collect()}
-    low, width = {s: -1.0 for s in base}, 2.0
-    for _ in range(3):
-        at = F.broadcast(spark.createDataFrame([(s, v) for s, v in low.items()] or [(None, 0.0)], "s string, low double"))
-        bin_ = F.floor((F.col("key") - F.col("low")) / (width / _BINS))
-        more = sized.filter("whole < most").join(at, F.col("source").eqNullSafe(F.col("s")))
-        bins = more.select("source", "size", bin_.alias("bin")).filter(f"bin BETWEEN 0 AND {_BINS - 1}")
-        sums = bins.groupBy("source", "bin").agg(F.sum("size").alias("w")).filter("w > 0")
-        by_source: dict = {s: [] for s in base}
-        for r in sums.orderBy("source", "bin").toLocalIterator():
-            by_source[r.source].append((r.bin, r.w))
-        for s, found in by_source.items():
-            for bin_no, w in found:
-                if base[s] + w > targets.get(s, 0.0):
-                    low[s] += bin_no * width / _BINS
-                    break
-                base[s] += w
-            else:
-                low[s] += width
-        width /= _BINS
-    return low
+    spark, plan = sized.sparkSession, []
+    taken = dict(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("whole"))).collect())
+    for no in range(rounds):
+        left = {s: targets.get(s, 0.0) - w for s, w in taken.items()}
+        limit = {s: left[s] if no else math.inf for s in taken}
+        low, width = {s: -1.0 for s in taken}, 2.0
+        open_docs = _one_more(sized, plan).filter("NOT more AND whole < most AND size > 0")
+        for _ in range(3):
+            rows = [(s, float(limit[s]), v) for s, v in low.items()] or [(None, 0.0, 0.0)]
+            at = F.broadcast(spark.createDataFrame(rows, "s string, most_words double, low double"))
+            fit = open_docs.join(at, F.col("source").eqNullSafe(F.col("s"))).filter("size <= most_words")
+            bins = fit.select("source", "size", F.floor((F.col("key") - F.col("low")) / (width / _BINS)).alias("bin"))
+            sums = bins.filter(f"bin BETWEEN 0 AND {_BINS - 1}").groupBy("source", "bin").agg(F.sum("size").alias("w"))
+            by_source: dict = {s: [] for s in taken}
+            for r in sums.toLocalIterator():
+                by_source[r.source].append((r.bin, r.w))
+            for s, found in by_source.items():
+                for bin_no, w in sorted(found):
+                    if taken[s] + w > targets.get(s, 0.0):
+                        low[s] += bin_no * width / _BINS
+                        break
+                    taken[s] += w
+                else:
+                    low[s] += width
+            width /= _BINS
+        plan.append({s: (limit[s], low[s]) for s in taken})
+        if all(abs(targets.get(s, 0.0) - w) <= 0.002 * targets.get(s, 0.0) for s, w in taken.items()):
+            break
+    return plan
 
 
 def mix_sources(
@@ -157,10 +177,8 @@ def mix_sources(
         .withColumn("most", F.lit(int(cap)))
         .withColumn("key", keyed_uniform(F.col("id"), seed) - F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     )
-    shift = _thresholds(tilted, targets, cap, seed)
-    at = F.broadcast(spark.createDataFrame([(s, v) for s, v in shift.items()] or [(None, 0.0)], "s string, shift double"))
-    extra = ((F.col("key") < F.col("shift")) & (F.col("whole") < F.col("most"))).cast("long")
-    out = tilted.join(at, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.col("whole") + extra)
+    out = _one_more(tilted, _thresholds(tilted, targets))
+    out = out.withColumn("copies", F.col("whole") + F.col("more").cast("long"))
     return out.select(
         "id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -76,17 +76,17 @@ def _op9() -> str:
         weights = "[" + ", ".join(repr(idf[w]) for w in t.words) + "]::DOUBLE[]"
         total = repr(sum(idf[w] for w in t.words))
         cover = (
-            f"list_sum([CASE WHEN k - {t.key_at} + j >= 1 AND w[k - {t.key_at} + j] = ({words})[j] THEN ({weights})[j] ELSE 0.0 END "
+            f"list_sum([CASE WHEN k - {t.key_at} + j > 1 AND w[k - {t.key_at} + j - 1] = ({words})[j] THEN ({weights})[j] ELSE 0.0 END "
             f"FOR j IN range(1, {len(t.words) + 1})])"
         )
         score = "1.0" if t.base else f"round({cover} / {total}, 6)"
         found.append(
             f"SELECT doc_id, '{t.label}' AS label, {t.base} AS base, k - 1 - {t.key_at} AS start, {score} AS coverage "
-            f"FROM (SELECT doc_id, w, unnest([k FOR k IN range(1, len(w) + 1) IF w[k] = '{t.key_words[0]}' "
-            f"AND w[k:k + {len(t.key_words) - 1}] = {key}]) AS k FROM d)"
+            f"FROM p JOIN d USING (doc_id) WHERE word = '{t.key_words[0]}' AND w[k:k + {len(t.key_words) - 1}] = {key}"
         )
     return f"""
 WITH d AS (SELECT doc_id, {_words('text', _ALNUM, True)} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
 found AS ({' UNION ALL '.join(found)}),
 ok AS (SELECT * FROM found WHERE coverage >= 0.6),
 g AS (
