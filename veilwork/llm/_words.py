@@ -15,12 +15,15 @@ def byte_values(kind: str) -> np.ndarray:
     """A value for each byte, 0 where the byte separates words.
 
     ``space``: words are ``[^\\x20\\x09-\\x0D]+``; ``space_lower``: the same with A-Z lower-cased;
+    ``line``: runs of bytes between newlines;
     ``alnum_lower``: A-Z lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
     """
     code = np.arange(256)
     lower = np.where((code >= 65) & (code <= 90), code + 32, code)
-    value = (code if kind == "space" else lower) + 1
-    if kind == "alnum_lower":
+    value = (code if kind in ("space", "line") else lower) + 1
+    if kind == "line":
+        word = code != 10
+    elif kind == "alnum_lower":
         word = ((lower >= 48) & (lower <= 57)) | ((lower >= 97) & (lower <= 122)) | (code >= 128)
     else:
         word = (code != 32) & ~((code >= 9) & (code <= 13))

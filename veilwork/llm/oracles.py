@@ -100,10 +100,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def _repeats(words: str, window: int, separator: str, counted: str) -> str:
+    """Symbols not covered by a window whose sequence also starts in a document with a smaller id."""
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+win AS (
+  SELECT doc_id, p, CASE WHEN p + {window - 1} <= len(w) THEN array_to_string(w[p:p + {window - 1}], chr(10) || chr(32)) END AS seq, w[p] AS word
+  FROM s),
+dup AS (
+  SELECT doc_id, p, word, seq IS NOT NULL AND min(doc_id) OVER (PARTITION BY seq) < doc_id AS gone FROM win),
+cov AS (
+  SELECT doc_id, p, word,
+    coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), false) AS gone
+  FROM dup),
+g AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed,
+    string_agg(word, {separator} ORDER BY p) FILTER (NOT gone) AS kept FROM cov GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {counted}, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_benchmark_decontamination": OP2,
         "op3_url_filter": _op3(),
+        "op4_substring_dedup": _repeats(_words("text", _SPACE, False), 50, "' '", "n_words"),
+        "op7_line_dedup": _repeats(_words("text", r"[^\x0A]+", False), 3, "chr(10)", "n_lines"),
         "op8_exact_dedup": OP8,
         "op9_license_scan": _op9(),
     }
