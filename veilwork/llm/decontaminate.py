@@ -17,11 +17,11 @@ rows; extra columns are kept by ``drop_contaminated`` and not read by ``scan``.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,12 +106,28 @@ class WuManber:
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _scan_block(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Adds the block's hits: hit_words (sorted distinct word numbers, int array) and items."""
+def _pattern_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block: int) -> list:
+    """Broadcast lists of (pattern, ids), each of about ``block`` patterns at most."""
+    patterns = item_windows(items, id_col, text_col, window)
+    n_blocks = max(1, -(-patterns.count() // max(1, block // 2)))
+    patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)))
+    blocks = []
+    for no in range(n_blocks):
+        rows = patterns.filter(F.col("block") == no).select("pattern", "ids").collect()
+        blocks.append(items.sparkSession.sparkContext.broadcast([(r.pattern, list(r.ids)) for r in rows]))
+    return blocks
+
+
+def _machines(shared) -> list[tuple[WuManber, list[list[str]]]]:
     by_length = defaultdict(list)
     for pattern, ids in shared.value:
         by_length[pattern.count(" ") + 1].append((pattern.encode(), ids))
-    machines = [(WuManber([p for p, _ in found], n), [i for _, i in found]) for n, found in by_length.items()]
+    return [(WuManber([p for p, _ in found], n), [i for _, i in found]) for n, found in by_length.items()]
+
+
+def _scan_block(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Adds the block's hits: hit_words (sorted distinct word numbers, int array) and items."""
+    machines = _machines(shared)
     for batch in batches:
         data, offsets = utf8_buffers(batch.column("text"))
         for lo, hi in row_blocks(offsets):
@@ -155,10 +171,6 @@ def scan(
     block: int = 200_000,
 ) -> DataFrame:
     """(id, text, n_words, hit_words, items) for each document: word numbers inside an occurrence, and the items that occur."""
-    spark = docs.sparkSession
-    patterns = item_windows(items, item_id_col, item_text_col, window)
-    n_blocks = max(1, -(-patterns.count() // (block // 2)))
-    patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)))
     out = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
@@ -166,13 +178,8 @@ def scan(
         F.array().cast("array<long>").alias("hit_words"),
         F.array().cast("array<string>").alias("items"),
     )
-    for no in range(n_blocks):
-        rows = patterns.filter(F.col("block") == no).select("pattern", "ids").collect()
-        shared = spark.sparkContext.broadcast([(r.pattern, list(r.ids)) for r in rows])
-        out = out.mapInArrow(
-            lambda b, s=shared: _scan_block(b, s),
-            out.schema,
-        )
+    for shared in _pattern_blocks(items, item_id_col, item_text_col, window, block):
+        out = out.mapInArrow(lambda b, s=shared: _scan_block(b, s), out.schema)
     return out
 
 
@@ -189,5 +196,35 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _clean_udf(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machines = _machines(shared)
+        for texts in batches:
+            data, offsets = utf8_buffers(pa.array(texts, pa.large_string(), from_pandas=True))
+            fine = np.ones(len(texts), bool)
+            for lo, hi in row_blocks(offsets):
+                part = data[offsets[lo] : offsets[hi]]
+                words = Words(part, offsets[lo : hi + 1] - offsets[lo], "alnum_lower")
+                lowered, row_of = part.tobytes().translate(_LOWER_BYTES), words.row_of()
+                for machine, _ in machines:
+                    for first, _ in machine.search(words, lowered):
+                        fine[lo + row_of[first]] = False
+            yield pd.Series(fine)
+
+    return clean
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    block: int = 200_000,
+) -> DataFrame:
+    """The documents without any occurrence of a window, with all their columns."""
+    for shared in _pattern_blocks(items, item_id_col, item_text_col, window, block):
+        docs = docs.filter(_clean_udf(shared)(F.col(f"`{text_col}`")))
+    return docs

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialise
 
+NO_ID = (1 << 63) - 1
+
 
 def text_digest(text: Column) -> Column:
     """Lower-case hexadecimal SHA-256 of the UTF-8 bytes; null counts as empty."""
@@ -106,12 +108,19 @@ def new_rows(
 ) -> DataFrame:
     """The rows of a new batch that are neither in the index nor a copy within the batch; the index then holds them.
 
-    All columns are kept, also such as are named like the index's. Of rows repeated with the same id one stays.
+    All columns are kept, also such as are named like the index's. Of rows repeated with the same id and text one
+    stays; a null id counts as the largest.
     """
-    digests = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(text_digest(F.col(f"`{text_col}`"))).alias("digest"))
-    groups = materialise(digest_groups(digests, keep))
+    digest = F.unhex(text_digest(F.col(f"`{text_col}`")))
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("__id"),
+        digest.alias("__digest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+    )
+    groups = materialise(digest_groups(rows.select(F.col("__id").alias("id"), F.col("__digest").alias("digest")), keep))
     known = index.table().select("digest").hint("merge")
-    fresh = materialise(groups.join(known, "digest", "left_anti").select(F.col("keep_id").alias("__id")))
+    fresh = materialise(
+        groups.join(known, "digest", "left_anti").select(F.col("keep_id").alias("__id"), F.col("digest").alias("__digest"))
+    )
     index.append(groups)
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return rows.join(fresh, "__id", "left_semi").dropDuplicates(["__id"]).select("__row.*")
+    return rows.join(fresh, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select("__row.*")

@@ -121,11 +121,29 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {counted}, coalesce(n_removed, 0)::BI
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words('text', _SPACE, True)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edge AS (SELECT a AS u, b AS v FROM link UNION ALL SELECT b, a FROM link),
+reach(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u = r.v),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_benchmark_decontamination": OP2,
         "op3_url_filter": _op3(),
         "op4_substring_dedup": _repeats(_words("text", _SPACE, False), 50, "' '", "n_words"),
+        "op6_ngram_jaccard_join": OP6,
         "op7_line_dedup": _repeats(_words("text", r"[^\x0A]+", False), 3, "chr(10)", "n_lines"),
         "op8_exact_dedup": OP8,
         "op9_license_scan": _op9(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, substring_dedup, url_filter
 from ._common import table
 
 
@@ -38,6 +38,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return _kept(out, "n_lines")
