@@ -138,8 +138,32 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT
 """
 
 
+OP1 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..') AS w FROM documents),
+b AS (SELECT doc_id, unnest(w) AS b, unnest(range(len(w))) AS p FROM d),
+k2 AS (SELECT doc_id, p, b, b || lead(b, 1) OVER o AS k2 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+k4 AS (SELECT *, k2 || lead(k2, 2) OVER o AS k4 FROM k2 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+k8 AS (SELECT doc_id, p, b, k2, k4 || lead(k4, 4) OVER o AS k8 FROM k4 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+k16 AS (SELECT doc_id, p, b, k2, k8 || lead(k8, 8) OVER o AS k16 FROM k8 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+k50 AS (
+  SELECT doc_id, p, b, k16 || lead(k16, 16) OVER o || lead(k16, 32) OVER o || lead(k2, 48) OVER o AS k
+  FROM k16 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+dup AS (SELECT doc_id, p, b, k IS NOT NULL AND min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM k50),
+cov AS (
+  SELECT doc_id, p, b, bool_or(gone) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM dup),
+sp AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM cov),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+    string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept FROM sp GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": OP1,
         "op2_benchmark_decontamination": OP2,
         "op3_url_filter": _op3(),
         "op4_substring_dedup": _repeats(_words("text", _SPACE, False), 50, "' '", "n_words"),
