@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .cases import aggregates, joins, plans, selection, sources, text  # noqa: F401  (registration)
+from .cases._case import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-"""plans"""
+"""Iterated pipelines and user hooks."""

@@ -1 +1 @@
-"""sources"""
+"""Sources, sinks and intermediate tables."""

@@ -1 +1 @@
-"""streaming"""
+"""Streams of candidate rounds."""
