@@ -12,10 +12,13 @@ segments but adds an entry for each element, so it pays only in segments of one
 skipped already; the cost rule therefore gives them no segment.
 
 Sets are represented by their digest, so copies are one entity. Entities that share an index entry
-are linked to the entry's smallest first; what exact verification confirms is merged into
+are first compared with one of them, the one that shares most entries with others (in a group of
+near copies that is their common original); what exact verification confirms is merged into
 components. Entries whose members then still lie in several components yield the remaining pairs
 between these, which are verified too. So no pair is lost, and large groups of near copies cost a
-link each and not all pairs.
+link each and not all pairs. Before texts are fetched, pairs pass an exact bound inside the join:
+each set has a sketch of parities (bit i: is the number of elements with hash i modulo 1024 odd),
+and two sets differ in at least as many elements as their sketches in bits.
 
 Defined cases: null or blank texts have an empty set and stay alone; texts with fewer words than a
 shingle count as one shingle of all their words; a null id counts as the largest; repeated rows get
@@ -66,6 +69,19 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix((total[at[1:]] - total[at[:-1]]) ^ n.astype(np.uint64)), np.uint64(0))
 
 
+SKETCH_WORDS = 16
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
+def parity_sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows x SKETCH_WORDS of 64 parities each."""
+    rows, bits = len(at) - 1, 64 * SKETCH_WORDS
+    row = np.repeat(np.arange(rows), np.diff(at))
+    place = (mix(h ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(row * bits + place, minlength=rows * bits).reshape(rows, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).reshape(rows, SKETCH_WORDS)
+
+
 class Bands:
     """Size bands for a threshold of percent / 100: lower ends, and per band H, segments m and slack z."""
 
@@ -133,9 +149,11 @@ def _sets_of(batch: pa.RecordBatch, size: int):
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, h, at in _sets_of(batch, size):
+            sketch = parity_sketches(h, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_digests(h, at).view(np.int64))],
-                ["id", "n", "d"],
+                [batch.column("id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_digests(h, at).view(np.int64))]
+                + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)],
+                ["id", "n", "d", *SKETCH],
             )
 
 
@@ -182,19 +200,31 @@ def near_duplicates(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    light = materialise(texts.mapInArrow(lambda b: _set_rows(b, size), "id long, n long, d long"))
-    entities = materialise(light.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+    schema = "id long, n long, d long, " + ", ".join(f"{c} long" for c in SKETCH)
+    light = materialise(texts.mapInArrow(lambda b: _set_rows(b, size), schema))
+    same = [F.min(c).alias(c) for c in SKETCH]
+    entities = materialise(light.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min("n").alias("n"), *same))
 
     entries = texts.select("text").mapInArrow(lambda b: _entry_rows(b, size, bands), "entry long, d long")
-    leader = F.min("d").over(Window.partitionBy("entry"))
-    stars = materialise(entries.withColumn("leader", leader).filter("d <> leader").select("entry", "leader", "d"))
+    held_by = F.count(F.lit(1)).over(Window.partitionBy("entry"))
+    shared = materialise(entries.withColumn("held", held_by).filter("held > 1"))
+    degree = shared.groupBy("d").agg(F.sum("held").alias("degree"))
+    best = F.max(F.struct("degree", "d")).over(Window.partitionBy("entry"))
+    stars = shared.select("entry", "d").join(degree, "d").withColumn("leader", best["d"])
+    stars = materialise(stars.filter("d <> leader").select("entry", "leader", "d"))
+
+    def possible(na, nb, a: str, b: str):
+        """Whether sizes and sketches leave the similarity possible."""
+        differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+        sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+        return sizes & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of digests whose sizes allow the similarity."""
-        a = entities.select(F.col("d").alias("a"), F.col("n").alias("na"))
-        b = entities.select(F.col("d").alias("b"), F.col("n").alias("nb"))
-        both = pairs.join(b, "b").join(a, "a")
-        return both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        """Pairs (a, b) of digests that may be similar."""
+        one, two = entities.alias("one"), entities.alias("two")
+        both = pairs.join(two, F.col("b") == F.col("two.d"))
+        fits = (F.col("a") == F.col("one.d")) & possible(F.col("one.n"), F.col("two.n"), "one", "two")
+        return both.join(one, fits).select("a", "b")
 
     pairs = materialise(sized(stars.select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct()))
     members = stars.select("d").union(stars.select(F.col("leader").alias("d"))).distinct()
@@ -216,19 +246,29 @@ def near_duplicates(
     mixed = labelled(labelled(stars, "d"), "leader").filter("c_d <> c_leader").select("entry").distinct()
     rest = stars.join(mixed, "entry", "left_semi")
     rest = rest.select("entry", "d").union(rest.select("entry", F.col("leader").alias("d"))).distinct()
-    rest = materialise(labelled(rest, "d").join(entities.select("d", "n"), "d"))
-    other = rest.select("entry", F.col("d").alias("b"), F.col("c_d").alias("c_b"), F.col("n").alias("nb"))
-    more = rest.withColumnRenamed("d", "a").join(other, "entry").filter("a < b AND c_d <> c_b")
-    more = more.filter(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select("a", "b").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    rest = materialise(labelled(rest, "d").join(entities.select("d", "n", *SKETCH), "d"))
+    one, two = rest.alias("one"), rest.alias("two")
+    open_pair = (F.col("one.entry") == F.col("two.entry")) & (F.col("one.d") < F.col("two.d"))
+    open_pair = open_pair & (F.col("one.c_d") != F.col("two.c_d"))
+    more = one.join(two, open_pair & possible(F.col("one.n"), F.col("two.n"), "one", "two"))
+    more = more.select(F.col("one.d").alias("a"), F.col("two.d").alias("b")).distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.join(tried, ["a", "b"], "left_anti")
     second = materialise(links(more))
 
-    names = entities.select(F.col("d").alias("a"), F.col("rep").alias("u"))
-    every = first.unionByName(second).join(names, "a").join(names.select(F.col("a").alias("b"), F.col("u").alias("v")), "b")
-    final = connected_components(every.select("u", "v"))
-    labels = entities.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("d", F.coalesce("component", "rep").alias("component_id"))
-    return light.join(labels, "d", "left").select(
+    groups = found
+    if not second.isEmpty():
+        over = labelled(labelled(second, "a"), "b").select(F.col("c_a").alias("u"), F.col("c_b").alias("v"))
+        merged = connected_components(over)
+        low = merged.select(F.col("node").alias("component"), F.col("component").alias("low"))
+        every = found.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+        groups = every.join(low, "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+        groups = materialise(groups.groupBy("node").agg(F.min("component").alias("component")))
+    member = entities.select("d", "rep").join(groups.withColumnRenamed("node", "d"), "d")
+    smallest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = member.join(smallest, "component").select("d", "component_id")
+    labels = entities.select("d", "rep").join(labels, "d", "left").select("d", F.coalesce("component_id", "rep").alias("component_id"))
+    return light.select("id", "n", "d").join(labels, "d", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("id"),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
