@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ._common import materialise
 
 
-def _signature(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one centre at most and no centre has one itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    return seen.filter("out > 1 OR (out = 1 AND centre = 1)").isEmpty()
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -21,7 +24,6 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges)
-    before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,10 +35,8 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
             small.select("u", F.col("m").alias("v"))
         )
         edges = materialise(small.filter("u <> v").distinct())
-        now = _signature(edges)
-        if now == before:
+        if _settled(edges):
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
