@@ -11,8 +11,8 @@ work is dealt over buckets of documents (hash of the id), each of bounded bytes:
    the covered symbols.
 
 A bucket sends each hash once, so a passage that a third of all documents share costs a row a
-bucket and no group grows with its copies. Two windows count as equal when their 64-bit hashes and,
-separately, those of an anchor inside them agree.
+bucket and no group grows with its copies. Windows count as equal when their 64-bit hashes agree;
+among n different windows about n^2 / 2^65 pairs agree by chance.
 """
 
 from __future__ import annotations
