@@ -170,7 +170,8 @@ def test_bands_allow_every_similar_pair():
             low, high = b.of(np.array([n]))[0], b.of(np.array([other]))[0]
             assert high - low in (0, 1)
             assert (n + other) * 15 // 185 <= b.differ[low]
-    assert (b.segments >= b.differ + 1 + b.slack).all()
+    whole = ~b.deletion
+    assert b.deletion.any() and (b.segments >= b.differ + 1 + b.slack)[whole].all() and (2 * b.segments > b.differ)[~whole].all()
 
 
 def test_components(spark):

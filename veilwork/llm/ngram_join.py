@@ -1,15 +1,17 @@
 """N-gram Jaccard join by partitioning the universe of shingles (pigeonhole principle).
 
 Two sets of sizes a and b with Jaccard similarity of at least t differ in at most
-H = (a + b) * (1 - t) / (1 + t) elements. Sizes are cut into bands; for a band's H, a hash deals
-the universe into m = H + 1 + z segments, so similar sets agree in at least z + 1 whole segments.
-A set indexes the sum of its hashes in each segment; where the two sets agree, so do the sums.
-Allocation by cost: segments with fewer than two elements would collide with unrelated sets, so a
-set skips them as long as it has no more than z of them (then one of the z + 1 agreeing segments
-is indexed), and indexes all segments otherwise; m is the smallest for which a set rarely has more
-than z. One-deletion neighbourhoods would be indexed where they cost less: one replaces two
-segments but adds an entry for each element, so it pays only in segments of one element, which are
-skipped already; the cost rule therefore gives them no segment.
+H = (a + b) * (1 - t) / (1 + t) elements. Sizes are cut into bands; within a band a hash deals the
+universe into m segments, and a set indexes the sum of its hashes in each segment. For each band the
+cheaper of two allocations is taken, by the expected number of entries plus ``COLLISION`` for each
+expected entry of a segment with fewer than two elements, as these collide with unrelated sets:
+
+- whole segments: m = H + 1 + z, so similar sets agree in at least z + 1 segments. A set skips
+  segments with fewer than two elements as long as it has no more than z of them (then one of the
+  z + 1 agreeing segments is indexed), and indexes all otherwise;
+- one-deletion neighbourhoods: m = (H + 1) / 2 rounded up, so in some segment similar sets differ
+  in one element at most. A set indexes each segment's sum and the sums that miss one element.
+  This pays for small sets, whose whole segments would be tiny.
 
 Sets are represented by their digest, so copies are one entity. Entities that share an index entry
 are first compared with one of them, the one that shares most entries with others (in a group of
@@ -70,6 +72,7 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 SKETCH_WORDS = 16
+COLLISION = 32
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -83,7 +86,7 @@ def parity_sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for a threshold of percent / 100: lower ends, and per band H, segments m and slack z."""
+    """Size bands for a threshold of percent / 100: lower ends, and per band H, m, z and the allocation."""
 
     def __init__(self, percent: int, largest: int = 1 << 31):
         self.low = [1]
@@ -93,18 +96,30 @@ class Bands:
         high = self.low[1:] - 1
         top = 100 * high // percent
         self.differ = ((high + top) * (100 - percent)) // (100 + percent)
-        self.segments, self.slack = [], []
+        self.segments, self.slack, self.deletion = [], [], []
         for h, n in zip(self.differ.tolist(), self.low.tolist(), strict=False):
-            best = (h + 1, 0)
-            for m in range(h + 1, min(2 * h, h + 200_000) + 1, max(1, h // 50)):
-                mean = n / m
-                few = m * math.exp(-mean) * (1 + mean)
-                if few + 3 * math.sqrt(few) <= m - h - 1:
-                    best = (m, m - h - 1)
-                    break
-            self.segments.append(best[0])
-            self.slack.append(best[1])
-        self.segments, self.slack = np.array(self.segments), np.array(self.slack)
+            m, z = self._whole(h, n)
+            whole = m + (0 if z else COLLISION * self._tiny(n, m))
+            pairs = (h + 2) // 2
+            near = n + pairs + COLLISION * self._tiny(n, pairs)
+            self.deletion.append(h > 0 and near < whole)
+            self.segments.append(pairs if self.deletion[-1] else m)
+            self.slack.append(z)
+        self.segments, self.slack, self.deletion = map(np.array, (self.segments, self.slack, self.deletion))
+
+    @staticmethod
+    def _tiny(n: int, m: int) -> float:
+        """Expected segments with fewer than two of n elements dealt over m."""
+        mean = n / m
+        return m * math.exp(-mean) * (1 + mean)
+
+    def _whole(self, h: int, n: int) -> tuple[int, int]:
+        """The smallest m = h + 1 + z for which a set rarely has more than z tiny segments; z = 0 without one."""
+        for m in range(h + 1, min(2 * h, h + 200_000) + 1, max(1, h // 50)):
+            few = self._tiny(n, m)
+            if few + 3 * math.sqrt(few) <= m - h - 1:
+                return m, m - h - 1
+        return h + 1, 0
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -132,11 +147,16 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         held = np.bincount(slot, minlength=base[-1])
         owner = np.repeat(np.arange(len(rows)), m)
         few = np.add.reduceat(held < 2, base[:-1])
-        use = (held >= 2) | (few > bands.slack[s])[owner]
+        near = bands.deletion[s]
+        use = (held >= 2) | (near | (few > bands.slack[s]))[owner]
         number = np.arange(base[-1]) - base[owner]
         tag = mix((s[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
         out.append(mix(sums + tag)[use])
         owners.append(rows[owner[use]])
+        missing = near[turn]
+        at_slot = slot[missing]
+        out.append(mix(sums[at_slot] - value[element[missing]] + tag[at_slot]))
+        owners.append(rows[turn[missing]])
     return (np.concatenate(out), np.concatenate(owners)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
