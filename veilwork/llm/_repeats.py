@@ -17,10 +17,11 @@ among n different windows about n^2 / 2^65 pairs agree by chance.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +32,33 @@ BUCKET_BYTES = 6 << 20
 NO_ID = (1 << 63) - 1
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """(id, text, bucket) dealt by bucket, and the number of buckets."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(map(pack, texts), pa.binary()))
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of packed texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(x) for x in column.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), offsets
+
+
+def bucketed(
+    docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, packed: bool = False
+) -> tuple[DataFrame, int]:
+    """(id, text, bucket) dealt by bucket, and the number of buckets; ``packed`` texts travel compressed."""
     text = F.col(f"`{text_col}`")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(size // bucket_bytes) + 1
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.withColumn("bucket", bucket_of(F.coalesce("id", F.lit(NO_ID)), n)).repartition("bucket"), n
+    rows = rows.withColumn("bucket", bucket_of(F.coalesce("id", F.lit(NO_ID)), n))
+    if packed:
+        rows = rows.mapInArrow(_packed, "id long, text binary, bucket int")
+    return rows.repartition("bucket"), n
 
 
 def bucket_of(key, n: int):

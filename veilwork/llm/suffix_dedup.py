@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import row_blocks, utf8_buffers
-from ._repeats import NO_ID, bucket_of, bucketed, contains, smallest
+from ._common import row_blocks
+from ._repeats import NO_ID, bucket_of, bucketed, contains, smallest, unpacked
 from ._words import mix, window_hashes
 from .suffix_array import suffix_arrays
 
@@ -95,7 +95,7 @@ class Runs:
 class _Bucket:
     def __init__(self, rows: pa.Table, length: int):
         self.ids = np.asarray(rows.column("id").fill_null(NO_ID).combine_chunks())
-        self.data, self.offsets = utf8_buffers(rows.column("text"))
+        self.data, self.offsets = unpacked(rows.column("text"))
         self.length = length
         parts = []
         for lo, hi in row_blocks(self.offsets, BLOCK):
@@ -201,7 +201,7 @@ def _compare(length: int, n_buckets: int):
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row; ``kept`` is binary."""
-    dealt, n_buckets = bucketed(docs, id_col, text_col, **options)
+    dealt, n_buckets = bucketed(docs, id_col, text_col, packed=True, **options)
 
     def run_rows(rows: pa.Table) -> pa.Table:
         b = _Bucket(rows, length)
@@ -273,6 +273,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     groups = dealt.groupBy("bucket")
     runs = dealt.groupBy("bucket").applyInArrow(run_rows, "a int, s long, lo long")
     by_run, by_anchor = Window.partitionBy("a", "s"), Window.partitionBy("a")
+    runs = runs.repartition("a")  # one shuffle serves both windows
     runs = runs.withColumn("first", F.min("lo").over(by_run))
     n_own = F.sum((F.col("lo") == F.col("first")).cast("long")).over(by_anchor)
     runs = runs.withColumn("n_own", n_own)
