@@ -348,3 +348,24 @@ def test_digests_of_the_queries(spark, sf):
     text = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id") == r.doc_id).first().text
     joined = " ".join(re.findall(r"[^\x20\x09-\x0D]+", text))
     assert r.kept_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_near_stage_equals_brute_force(spark, sf):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    rows = random_docs(rng, 150, [f"w{i}" for i in range(400)], 5, 120, 0.7)
+    long = [f"v{i}" for i in range(49)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[:24] + ["other"] + long[25:]))]
+    w = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(x[p : p + 5]) for p in range(max(len(x) - 4, 1))} if x else set() for i, x in w.items()}
+    assert 10 * len(sets[500] & sets[501]) == 8 * len(sets[500] | sets[501])
+    four = [shingles(" ".join(w[i])) for i in (500, 501)]
+    assert 100 * len(four[0] & four[1]) < 85 * len(four[0] | four[1])
+    low = {i: i for i in sets}
+    links = [p for p in itertools.combinations(sorted(sets), 2) if 0 < 10 * len(sets[p[0]] & sets[p[1]]) >= 8 * len(sets[p[0]] | sets[p[1]])]
+    for _ in sets:
+        for x, y in links:
+            low[x] = low[y] = min(low[x], low[y])
+    got = {r.doc_id for r in cp.near_dedup_stage(spark, docs(spark, rows).repartition(3), sf).collect()}
+    assert got == {i for i in sets if low[i] == i}
