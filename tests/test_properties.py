@@ -15,7 +15,7 @@ from veilwork.operators import joins as j
 from veilwork.operators import sampling as m
 from veilwork.operators import selection as s
 from veilwork.operators import sets
-from veilwork.operators.elite import walk
+from veilwork.operators.elite import diverse_elite, walk
 from veilwork.plans import hooks
 
 
@@ -175,3 +175,22 @@ def test_plans_have_no_cartesian_product(spark):
     p = vectors(spark, [(1, 0, [1.0])])
     plan = j.nearest(p, p)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("n,pool,threshold", [(6, 1, 0.1), (6, 2, 0.5), (40, 1, 0.9), (3, 10, 0.2)])
+def test_elite_beyond_the_first_block_matches_the_walk(spark, n, pool, threshold):
+    rng = np.random.default_rng(2)
+    rows = []
+    for label in (0, 1, None):
+        near = np.array([1.0, 0, 0, 0]) + 0.01 * rng.normal(size=(20, 4))
+        x = np.concatenate([near, near[:4], rng.normal(size=(15, 4))]).astype(np.float32)
+        rows += [(100 * (label or 0) + (label is None) * 1000 + i, label, float(100 - i // 2), e.tolist()) for i, e in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, label int, votes double, embedding array<float>").repartition(5)
+    want = set()
+    for label in (0, 1, None):
+        mine = sorted((r for r in rows if r[1] == label), key=lambda r: (-r[2], r[0]))
+        taken, last = walk(np.array([r[3] for r in mine]), n, threshold)
+        want |= {(label, mine[i][0], p + 1, round(last, 6)) for p, i in enumerate(taken)}
+    got = [tuple(r) for r in diverse_elite(df, n, threshold, pool).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert diverse_elite(df.limit(0), n, threshold, pool).count() == 0

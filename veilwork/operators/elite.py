@@ -2,49 +2,158 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+from .joins import matrix
 from .selection import top
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+def closest_of(unit: np.ndarray, taken: list[np.ndarray]) -> np.ndarray:
+    """Largest cosine of each row to the taken ones; a row's value does not depend on the rows beside it."""
+    closest = np.full(len(unit), -np.inf)
+    for one in taken:
+        closest = np.maximum(closest, (unit * one).sum(1))
+    return closest
+
+
+def one_pass(unit: np.ndarray, free: np.ndarray, closest: np.ndarray, n: int, threshold: float) -> list[int]:
+    """Up to n free rows accepted in the given order; ``free`` and ``closest`` are updated."""
+    taken: list[int] = []
+    for i in range(len(unit)):
+        if len(taken) == n:
+            break
+        if free[i] and closest[i] < threshold:
+            taken.append(i)
+            free[i] = False
+            np.maximum(closest, (unit * unit[i]).sum(1), out=closest)
+    return taken
+
+
 def walk(vectors: np.ndarray, n: int, threshold: float, step: float = 0.01) -> tuple[list[int], float]:
     """Rows accepted in the given order while their cosine to all accepted ones stays below the threshold;
     when the walk ends short, the threshold rises by ``step`` and the walk goes on over the rest."""
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    unit = units(vectors)
     closest = np.full(len(unit), -np.inf)
     taken: list[int] = []
     free = np.ones(len(unit), bool)
     while len(taken) < n and free.any() and threshold <= 1.0 + step:
-        for i in range(len(unit)):
-            if len(taken) == n:
-                break
-            if free[i] and closest[i] < threshold:
-                taken.append(i)
-                free[i] = False
-                closest = np.maximum(closest, unit @ unit[i])
+        taken += one_pass(unit, free, closest, n - len(taken), threshold)
         if len(taken) < n:
             threshold += step
     return taken, threshold
 
 
-def diverse_elite(df: DataFrame, n: int, threshold: float, pool: int = 10, label="label", votes="votes", key="id") -> DataFrame:
+class Walk:
+    """How far a class has been walked: what it accepted, its threshold, and the last row judged in this pass."""
+
+    def __init__(self, threshold: float):
+        self.keys: list = []
+        self.units: list[np.ndarray] = []
+        self.threshold, self.votes, self.key, self.open = threshold, None, None, True
+
+
+def _with_closest(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows not accepted so far, with their largest cosine to their class's accepted ones."""
+    for batch in batches:
+        labels, keys = batch.column("label").to_pylist(), batch.column("key").to_pylist()
+        held = {c: set(w.keys) for c, w in shared.value.items()}
+        closest, free = np.full(len(labels), -np.inf), np.array([k not in held[c] for c, k in zip(labels, keys, strict=True)], bool)
+        for c in set(labels):
+            at = np.array([i for i, x in enumerate(labels) if x == c])
+            closest[at] = closest_of(units(matrix(batch.column("embedding").take(pa.array(at)))), shared.value[c].units)
+        yield batch.append_column("closest", pa.array(closest)).filter(pa.array(free))
+
+
+def diverse_elite(
+    df: DataFrame, n: int, threshold: float, pool: int = 10, label="label", votes="votes", key="id", step: float = 0.01
+) -> DataFrame:
     """(label, key, place, threshold): n rows a class by falling votes that differ from each other.
 
-    The walk is sequential, so its input is bounded: the ``pool`` * n most voted rows of each class.
-    A class with fewer acceptable rows yields fewer.
+    The walk is sequential and goes in blocks: of the rows behind the last one judged that differ
+    enough from the accepted ones, a task walks the ``pool`` * n most voted. The threshold rises only
+    when all rows of the class have been judged. Accepted rows (n a class) are kept on the driver.
+    A class with fewer acceptable rows yields fewer; rows without a vector are left out.
     """
-    best = top(df.select(label, key, votes, "embedding"), pool * n, label, votes, key)
+    spark, block = df.sparkSession, pool * n
+    rows = df.filter("embedding IS NOT NULL").select(
+        F.col(label).alias("label"), F.col(key).alias("key"),
+        F.coalesce(F.col(votes).cast("double"), F.lit(float("-inf"))).alias("votes"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = materialise(rows)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("label", "key", "votes"))
+    state: dict = {}
+
+    def judged(first: DataFrame, shared) -> list:
+        """Accepted rows of a block of each class (place from 0), and the block's last row (place -1)."""
+
+        def one(part: pa.Table) -> pa.Table:
+            part = part.select(["label", "key", "votes", "embedding"]).sort_by([("votes", "descending"), ("key", "ascending")]).combine_chunks()
+            vectors, size = matrix(part.column("embedding")), part.num_rows
+            was = shared.value.get(part.column("label")[0].as_py())
+            last = threshold if was is None else was.threshold
+            if was is None and size < block:
+                taken, last = walk(vectors, n, threshold, step)
+            else:
+                unit, before = units(vectors), [] if was is None else was.units
+                taken = one_pass(unit, np.ones(size, bool), closest_of(unit, before), n - len(before), last)
+            out = part.take(pa.array([*taken, size - 1], pa.int64()))
+            place = pa.array([*range(len(taken)), -1], pa.int32())
+            full = lambda x, kind: pa.array([x] * (len(taken) + 1), kind)
+            return out.append_column("place", place).append_column("size", full(size, pa.int64())).append_column("threshold", full(last, pa.float64()))
+
+        return first.groupBy("label").applyInArrow(one, f"{kinds}, embedding array<double>, place int, size long, threshold double").collect()
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([votes, key], ascending=[False, True]).reset_index(drop=True)
-        taken, last = walk(np.array(rows["embedding"].tolist(), float), n, threshold)
-        out = rows.loc[taken, [label, key]]
-        return out.assign(place=range(1, len(taken) + 1), threshold=last)
+    def behind(open_: dict, shared) -> DataFrame:
+        """Rows of the open classes behind the last one judged, and not accepted."""
+        at = [(c, w.threshold, w.votes, w.key) for c, w in open_.items()]
+        names = f"__c {rows.schema['label'].dataType.simpleString()}, __t double, __v double, __k {rows.schema['key'].dataType.simpleString()}"
+        left = rows.join(F.broadcast(spark.createDataFrame(at, names)), F.col("label").eqNullSafe(F.col("__c")))
+        left = left.filter("__v IS NULL OR votes < __v OR (votes = __v AND key > __k)").select("label", "key", "votes", "embedding", "__t")
+        return left.mapInArrow(lambda b: _with_closest(b, shared), f"{kinds}, embedding array<double>, __t double, closest double")
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (label, key)}
-    return best.groupBy(label).applyInPandas(one, f"{label} {kinds[label]}, {key} {kinds[key]}, place int, threshold double").select(
-        label, key, F.col("place"), F.round("threshold", 6).alias("threshold"))
+    todo: dict = {}
+    while True:
+        shared = spark.sparkContext.broadcast(todo)
+        some = behind(todo, shared).filter("closest < __t").select("label", "key", "votes", "embedding") if todo else rows
+        got = judged(top(some, block, "label", "votes", "key"), shared)
+        more = set()
+        for r in sorted(got, key=lambda r: r.place):
+            w = state.setdefault(r.label, Walk(threshold))
+            if r.place >= 0:
+                w.keys.append(r.key)
+                w.units.append(units(np.array([r.embedding], float))[0])
+            else:
+                w.threshold = r.threshold
+                w.open = r.label in todo or r.size == block
+                if r.size == block:
+                    w.votes, w.key = r.votes, r.key
+                    more.add(r.label)
+        for w in state.values():
+            w.open &= len(w.keys) < n
+        short = {c: w for c, w in todo.items() if w.open and c not in more}
+        if short:
+            for w in short.values():
+                w.votes = w.key = None
+                w.threshold += step
+            shared = spark.sparkContext.broadcast(short)
+            low = {r.label: r.low for r in behind(short, shared).groupBy("label").agg(F.min("closest").alias("low")).collect()}
+            for c, w in short.items():
+                while c in low and w.threshold <= 1.0 + step and low[c] >= w.threshold:
+                    w.threshold += step
+                w.open = c in low and w.threshold <= 1.0 + step
+        todo = {c: w for c, w in state.items() if w.open}
+        if not todo:
+            break
+    out = [(c, k, i + 1, round(float(w.threshold), 6)) for c, w in state.items() for i, k in enumerate(w.keys)]
+    names = f"{label} {rows.schema['label'].dataType.simpleString()}, {key} {rows.schema['key'].dataType.simpleString()}, place int, threshold double"
+    return spark.createDataFrame(out, names)
