@@ -194,3 +194,19 @@ def test_elite_beyond_the_first_block_matches_the_walk(spark, n, pool, threshold
     got = [tuple(r) for r in diverse_elite(df, n, threshold, pool).collect()]
     assert set(got) == want and len(got) == len(want)
     assert diverse_elite(df.limit(0), n, threshold, pool).count() == 0
+
+
+@pytest.mark.parametrize("rule,far", [("all", False), ("same", False), ("other", False), ("same", True)])
+def test_knn_keeps_the_smallest_ids_of_many_copies(spark, rule, far):
+    rng = np.random.default_rng(3)
+    base = (rng.normal(size=(4, 16)) + 5).astype(np.float32)
+    cand = [(int(i), k % 2, base[k % 4].tolist()) for k, i in enumerate(rng.permutation(800))]
+    priv = [(1000 + i, i % 2, (base[i % 4] + rng.normal(size=16).astype(np.float32) * 0.1).tolist()) for i in range(12)]
+    want = set()
+    for i, label, e in priv:
+        ok = [x for x in cand if rule == "all" or (x[1] == label) == (rule == "same")]
+        dist = {x[0]: float(np.sqrt(((np.array(e, np.float32).astype(float) - np.array(x[2], np.float32)) ** 2).sum())) for x in ok}
+        want |= {(i, x) for x in sorted(dist, key=lambda x: (-dist[x] if far else dist[x], x))[:3]}
+    for block in (j.BLOCK, 300):
+        got = j.knn(vectors(spark, priv), vectors(spark, cand), 3, rule, far, block)
+        assert {(r.id, r.cand_id) for r in got.collect()} == want

@@ -47,8 +47,20 @@ def candidate_blocks(cand: DataFrame, block: int = BLOCK) -> list:
     return blocks
 
 
+def _crowded(rank: np.ndarray, near: np.ndarray, q: int, squares: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """Rows with more candidates than ``near`` holds within rounding of the q-th rank, and these candidates.
+
+    An expanded distance is off by (width + 3) * eps * (|x| + |c|)^2 at most; ``squares`` are |x|^2 plus the largest |c|^2.
+    """
+    kept = np.take_along_axis(rank, near, 1)
+    limit = np.partition(kept, q - 1, axis=1)[:, q - 1] + 4 * (width + 4) * np.finfo(float).eps * squares
+    full = np.flatnonzero((kept <= limit[:, None]).all(1) & np.isfinite(kept).all(1))
+    return {int(i): np.flatnonzero((rank[i] <= limit[i]) & np.isfinite(rank[i])) for i in full}
+
+
 def _search(batches: Iterator[pa.RecordBatch], shared, q: int, rule: str, far: bool) -> Iterator[pa.RecordBatch]:
     ids, labels, c = shared.value
+    largest = (c * c).sum(1).max() if len(ids) else 0.0
     for batch in batches:
         if not batch.num_rows or not len(ids):
             continue
@@ -65,11 +77,16 @@ def _search(batches: Iterator[pa.RecordBatch], shared, q: int, rule: str, far: b
                 rank = np.where(same if rule == "same" else ~same, rank, np.inf)
             take = min(q + 8, len(ids))
             near = np.argpartition(rank, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
+            crowded = _crowded(rank, near, q, (part * part).sum(1) + largest, c.shape[1]) if take < len(ids) else {}
             exact = np.sqrt(((part[:, None, :] - c[near]) ** 2).sum(2))
             value = np.where(np.isfinite(np.take_along_axis(rank, near, 1)), sign * exact, np.inf)
             order = np.lexsort((ids[near], value), axis=1)[:, :q]
             for i, row in enumerate(order):
-                out += [(lo + i, ids[near[i, k]], exact[i, k]) for k in row if np.isfinite(value[i, k])]
+                if i not in crowded:
+                    out += [(lo + i, ids[near[i, k]], exact[i, k]) for k in row if np.isfinite(value[i, k])]
+                    continue
+                at, low = crowded[i], np.sqrt(((part[i] - c[crowded[i]]) ** 2).sum(1))
+                out += [(lo + i, ids[at[k]], low[k]) for k in np.lexsort((ids[at], sign * low))[:q]]
         at = np.array([o[0] for o in out], np.int64)
         yield pa.RecordBatch.from_arrays(
             [
