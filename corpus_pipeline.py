@@ -32,10 +32,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of similar documents the one with the smallest id stays.
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+    Null ids come last, and texts of equal or null ids are rows of their own.
     """
-    groups = ngram_join.near_duplicates(docs, size=5, percent=80)
-    dropped = groups.filter("component_id <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -369,3 +369,29 @@ def test_near_stage_equals_brute_force(spark, sf):
             low[x] = low[y] = min(low[x], low[y])
     got = {r.doc_id for r in cp.near_dedup_stage(spark, docs(spark, rows).repartition(3), sf).collect()}
     assert got == {i for i in sets if low[i] == i}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, sf):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    texts = [[f"g{g}w{i}" for i in range(80)] for g in range(12)]
+    rows = []
+    for g, w in enumerate(texts):
+        near = w[:40] + [f"new{g}"] + w[41:]
+        ids = ((None, None), (7, 7), (None, 100 + g))[g % 3]
+        rows += [(ids[0], " ".join(w)), (ids[1], " ".join(near))]
+    rows += [(None, None), (7, ""), (None, "alone")]
+    rng.shuffle(rows)
+    got = [tuple(r) for r in ngram_join.near_duplicates(docs(spark, rows).repartition(3)).collect()]
+    alone = {i: c for i, n, c in got if i is not None and i >= 100}
+    assert alone == {100 + g: 100 + g for g in range(2, 12, 3)}
+    assert sorted(c for i, n, c in got if i is None and c < 1000) == sorted(alone)
+    kept = [tuple(r) for r in cp.near_dedup_stage(spark, docs(spark, rows).repartition(3), sf).collect()]
+    assert kept.count((None, "alone")) == kept.count((None, None)) == kept.count((7, "")) == 1
+    assert len(kept) == len(texts) + 3 and set(kept) <= set(rows)
+    for g in range(12):
+        mine = [i for i, t in kept if t and t.startswith(f"g{g}w0 ")]
+        assert mine == [(None, 7, 100 + g)[g % 3]]
+    again = [tuple(r) for r in cp.near_dedup_stage(spark, docs(spark, rows[::-1]).repartition(5), sf).collect()]
+    assert sorted(map(repr, again)) == sorted(map(repr, kept))

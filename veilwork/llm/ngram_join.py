@@ -23,8 +23,8 @@ each set has a sketch of parities (bit i: is the number of elements with hash i
 and two sets differ in at least as many elements as their sketches in bits.
 
 Defined cases: null or blank texts have an empty set and stay alone; texts with fewer words than a
-shingle count as one shingle of all their words; a null id counts as the largest; repeated rows get
-equal answers; an empty table gives an empty result; extra columns are not read.
+shingle count as one shingle of all their words; a null id counts as the largest; texts of one id,
+or without one, are told apart by a 64-bit hash and verified each by its own; repeated rows get equal answers; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -171,9 +171,10 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         for lo, hi, h, at in _sets_of(batch, size):
             sketch = parity_sketches(h, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(set_digests(h, at).view(np.int64))]
+                [batch.column(c).slice(lo, hi - lo) for c in ("id", "t")]
+                + [pa.array(np.diff(at)), pa.array(set_digests(h, at).view(np.int64))]
                 + [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)],
-                ["id", "n", "d", *SKETCH],
+                ["id", "t", "n", "d", *SKETCH],
             )
 
 
@@ -190,6 +191,16 @@ def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, bands: Bands) -> I
             )
 
 
+def _digest_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Texts with the digest of their own set, the first of each digest in a task."""
+    done: set[int] = set()
+    for batch in batches:
+        for lo, hi, h, at in _sets_of(batch, size):
+            d = set_digests(h, at).view(np.int64)
+            first = pa.array(np.array([x not in done and not done.add(x) for x in d.tolist()], bool))
+            yield pa.RecordBatch.from_arrays([pa.array(d).filter(first), batch.column("text").slice(lo, hi - lo).filter(first)], ["d", "text"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of pairs with their texts, those that are similar."""
     last, last_set = None, None
@@ -211,19 +222,49 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def _keyed(id_col: str, text_col: str) -> list:
+    """(id, t, text): ``t`` is a hash that tells the texts of one id apart."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text")]
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id) for each row."""
-    bands = Bands(percent)
-    texts = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+    light, labels = _components(docs, size, percent, id_col, text_col)
+    return light.select("id", "n", "d").join(labels.select("d", "component_id"), "d", "left").select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
     )
-    schema = "id long, n long, d long, " + ", ".join(f"{c} long" for c in SKETCH)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` with one text for each component: that of the smallest id, null ids last; among
+    texts of one id the smallest digest, then the smallest hash of the text. Rows without shingles and
+    repeats of a kept row stay.
+    """
+    light, labels = _components(docs, size, percent, id_col, text_col)
+    kept = (F.col("id") == F.col("keep_id")) & (F.col("t") == F.col("keep_t")) & (F.col("d") == F.col("keep_d"))
+    gone = light.filter("n > 0").join(labels, "d").filter(~kept).select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
+    row_id, t, _ = _keyed(id_col, text_col)
+    rows = docs.withColumns({"__id": row_id, "__t": t})
+    return rows.join(gone, ["__id", "__t"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t, n, d, ...), and for each digest (d, component_id, keep_id, keep_d, keep_t): the smallest id of
+    its component, and the id, digest and text hash of the row that represents it."""
+    bands = Bands(percent)
+    texts = docs.select(*_keyed(id_col, text_col))
+    schema = "id long, t long, n long, d long, " + ", ".join(f"{c} long" for c in SKETCH)
     light = materialise(texts.mapInArrow(lambda b: _set_rows(b, size), schema))
     same = [F.min(c).alias(c) for c in SKETCH]
-    entities = materialise(light.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min("n").alias("n"), *same))
+    entities = light.filter("n > 0").groupBy("d").agg(F.min(F.struct("id", "t")).alias("first"), F.min("n").alias("n"), *same)
+    entities = materialise(entities.select("d", F.col("first.id").alias("rep"), F.col("first.t").alias("rep_t"), "n", *SKETCH))
 
     entries = texts.select("text").mapInArrow(lambda b: _entry_rows(b, size, bands), "entry long, d long")
     held_by = F.count(F.lit(1)).over(Window.partitionBy("entry"))
@@ -248,8 +289,9 @@ def near_duplicates(
 
     pairs = materialise(sized(stars.select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct()))
     members = stars.select("d").union(stars.select(F.col("leader").alias("d"))).distinct()
-    wanted = members.join(entities, "d").select("d", F.col("rep").alias("id"))
-    held = materialise(texts.join(wanted, "id").select("d", "text").dropDuplicates(["d"]))
+    wanted = members.join(entities, "d").select("d", F.col("rep").alias("id"), F.col("rep_t").alias("t"))
+    own = texts.join(wanted.select("id", "t"), ["id", "t"], "left_semi").select("text")
+    held = materialise(own.mapInArrow(lambda b: _digest_rows(b, size), "d long, text string").dropDuplicates(["d"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(held.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
@@ -284,12 +326,9 @@ def near_duplicates(
         every = found.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
         groups = every.join(low, "component", "left").select("node", F.coalesce("low", "component").alias("component"))
         groups = materialise(groups.groupBy("node").agg(F.min("component").alias("component")))
-    member = entities.select("d", "rep").join(groups.withColumnRenamed("node", "d"), "d")
-    smallest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = member.join(smallest, "component").select("d", "component_id")
-    labels = entities.select("d", "rep").join(labels, "d", "left").select("d", F.coalesce("component_id", "rep").alias("component_id"))
-    return light.select("id", "n", "d").join(labels, "d", "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("id"),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    )
+    rep = F.struct(F.col("rep").alias("keep_id"), F.col("d").alias("keep_d"), F.col("rep_t").alias("keep_t"))
+    member = entities.select("d", rep.alias("first")).join(groups.withColumnRenamed("node", "d"), "d")
+    smallest = member.groupBy("component").agg(F.min("first").alias("low"))
+    labels = member.join(smallest, "component").select("d", "low")
+    labels = entities.select("d", rep.alias("first")).join(labels, "d", "left").select("d", F.coalesce("low", "first").alias("low"))
+    return light, labels.select("d", F.col("low.keep_id").alias("component_id"), "low.*")
