@@ -92,14 +92,8 @@ def test_line_dedup_over_many_buckets(spark):
         assert (r.n_symbols, r.n_removed, r.kept_text) == (n, sum(gone), "\n".join(x for x, g in zip(s, gone) if not g))
 
 
-@pytest.mark.parametrize("max_runs,seed", [(32, 5), (2, 6)])
-def test_suffix_dedup_over_many_buckets(spark, monkeypatch, max_runs, seed):
-    monkeypatch.setattr(suffix_dedup, "MAX_RUNS", max_runs)
-    rng = random.Random(seed)
-    rows = random_docs(rng, 50, ["a", "bb", "cä", "ddd"] + [f"w{i}" for i in range(25)], 0, 70, 0.7)
-    rows += [(100 + i, "ab" * (20 + i)) for i in range(8)] + [(200, "q" * 49), (201, "q" * 49), (202, "q" * 50), (203, "q" * 50)]
-    want = covered(rows, 50, lambda t: list(t.encode()))
-    got = suffix_dedup.suffix_dedup(docs(spark, rows), bucket_bytes=1500).collect()
+def same_bytes_removed(got, rows, length=50):
+    want = covered(rows, length, lambda t: list(t.encode()))
     assert len(got) == len(rows)
     for r in got:
         n, gone, s = want[r.id]
@@ -107,6 +101,26 @@ def test_suffix_dedup_over_many_buckets(spark, monkeypatch, max_runs, seed):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (n, sum(gone), spans, bytes(x for x, g in zip(s, gone) if not g))
 
 
+@pytest.mark.parametrize("piece,dealt,hot,seed", [(32, 4096, 64, 5), (2, 3, 2, 6), (3, 4096, 64, 7)])
+def test_suffix_dedup_over_many_buckets(spark, monkeypatch, piece, dealt, hot, seed):
+    for name, value in (("PIECE", piece), ("DEALT_RUNS", dealt), ("HOT_RUNS", hot), ("FLUSH_ROWS", 64)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(seed)
+    rows = random_docs(rng, 50, ["a", "bb", "cä", "ddd"] + [f"w{i}" for i in range(25)], 0, 70, 0.7)
+    rows += [(100 + i, "ab" * (20 + i)) for i in range(8)] + [(200, "q" * 49), (201, "q" * 49), (202, "q" * 50), (203, "q" * 50)]
+    same_bytes_removed(suffix_dedup.suffix_dedup(docs(spark, rows), bucket_bytes=1500).collect(), rows)
+
+
+@pytest.mark.parametrize("bucket_bytes", [6 << 20, 3000])
+def test_suffix_dedup_of_one_passage_in_a_thousand_documents(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(suffix_dedup, "DEALT_RUNS", 200)
+    rng = random.Random(8)
+    edge = lambda: "".join(rng.choice("abcdefgh") for _ in range(30))
+    passage = "".join(rng.choice("klmnopqr ") for _ in range(64))
+    rows = [(i, edge() + passage + edge()[: rng.randint(0, 30)]) for i in range(1000)]
+    same_bytes_removed(suffix_dedup.suffix_dedup(docs(spark, rows), bucket_bytes=bucket_bytes).collect(), rows)
+
+
 def test_suffix_arrays_equal_sorted_suffixes():
     rng = np.random.default_rng(0)
     for trial in range(120):

@@ -48,14 +48,19 @@ def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucketed(
-    docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, packed: bool = False
+    docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, packed: bool = False,
+    n_buckets: int | None = None, only: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """(id, text, bucket) dealt by bucket, and the number of buckets; ``packed`` texts travel compressed."""
+    """(id, text, bucket) dealt by bucket, and the number of buckets; ``packed`` texts travel compressed.
+
+    ``n_buckets`` saves counting the bytes; ``only`` keeps the first so many buckets.
+    """
     text = F.col(f"`{text_col}`")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = int(size // bucket_bytes) + 1
+    n = n_buckets or int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // bucket_bytes) + 1
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", bucket_of(F.coalesce("id", F.lit(NO_ID)), n))
+    if only is not None:
+        rows = rows.filter(F.col("bucket") < only)
     if packed:
         rows = rows.mapInArrow(_packed, "id long, text binary, bucket int")
     return rows.repartition("bucket"), n

@@ -2,21 +2,31 @@
 
 Every window (string of ``length`` bytes) is owned by its minimiser, the ``GRAM``-byte string in it
 with the smallest hash; consecutive windows with one owner form a run. Equal windows have equal
-owners, so windows need to be compared only among runs of one anchor:
-
-1. Buckets of documents (hash of the id, bounded bytes) emit (anchor, hash of the run's bytes,
-   smallest id) once for each run. A run that also occurs in a smaller document is covered at once.
-2. Anchors with several different runs: the first document of each run sends its bytes. A task
-   builds the suffix arrays of all its anchors' runs (see ``suffix_array``); neighbours in the
-   order that agree in ``length`` bytes are equal windows, and the smallest id among them decides.
-   Anchors with more than ``MAX_RUNS`` different runs (as at the edge of a passage that very many
-   documents hold) would make one long string; their windows are spread by hash and compared there.
-3. Each bucket gets what was found about its runs and removes the covered bytes.
+owners at equal places, so windows need to be compared only among runs of one anchor:
+
+1. Buckets of documents (hash of the id) emit (anchor, hash of the run's bytes, smallest id) once
+   for each run. Equal runs are one string from here on: a run that also occurs in a smaller
+   document is covered at once, and only its first document sends it to the suffix arrays.
+2. Of anchors with several different runs, each run sends its bytes, cut in two parts: windows that
+   reach ``side`` bytes to the left of the anchor, and the others, which reach as far to the right.
+   All windows of a part hold its core (anchor and ``side`` bytes), so parts meet by the core, which
+   stands for itself as one symbol. A task builds the suffix arrays of all its cores' parts (see
+   ``suffix_array``); neighbours in the order that agree in a window's length are equal windows,
+   and the smallest id among them decides.
+3. The parts of a core make strings of ``PIECE`` parts. Where they fill several strings, or the
+   anchor has so many runs that it is dealt over several tasks, every string tells one window of
+   each kind that it holds, and the smallest ids of these are aggregated.
+4. Each bucket gets what was found about its runs and removes the covered bytes.
+
+Anchors that many documents hold are seen in a sample of ``HOT_BUCKETS`` buckets (which only decides
+where rows travel, never what is compared); their runs are dealt by content instead of by anchor.
+Strings are equal when 64-bit hashes of their anchor or core and another 64 bits of their bytes
+agree; inside a suffix array the bytes themselves are compared.
 
 Defined cases: null counts as empty; documents shorter than ``length`` keep all; rows with equal
 ids don't remove each other's bytes; a null id counts as the largest; an empty table gives an empty
-result; extra columns are not read. What is kept is returned as bytes, since a cut may split a
-character.
+result; extra columns are not read; a very long document is one row of its bucket, worked through
+in blocks of whole rows. What is kept is returned as bytes, since a cut may split a character.
 """
 
 from __future__ import annotations
@@ -28,18 +38,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import row_blocks
+from ._common import materialise, row_blocks
 from ._repeats import NO_ID, bucket_of, bucketed, contains, smallest, unpacked
 from ._words import mix, window_hashes
 from .suffix_array import suffix_arrays
 
 GRAM = 16
-MAX_RUNS = 32
-FLUSH_BYTES = 2 << 20
+PIECE = 32
+DEALT_RUNS = 4096
+HOT_BUCKETS = 4
+HOT_RUNS = 64
+FLUSH_ROWS = 1 << 16
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
+_CORE = 258
 
 
 class _Powers:
@@ -59,16 +73,16 @@ class _Powers:
 
 
 class Runs:
-    """The runs of some rows: row, first and last window start, anchor hash and content hash."""
+    """The runs of some rows: row, first and last window start, place and hash of the anchor, content hash."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         n, grams = len(data), length - GRAM + 1
-        self.value = _BYTE[data]
+        value = _BYTE[data]
         if n < length:
-            self.row = self.first = self.last = np.zeros(0, np.int64)
+            self.row = self.first = self.last = self.owner = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
             return
-        gram = window_hashes(self.value, GRAM)
+        gram = window_hashes(value, GRAM)
         least, width = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64), 1
         while 2 * width <= grams:
             least = np.minimum(least[:-width], least[width:])
@@ -85,9 +99,10 @@ class Runs:
         self.first = starts[at]
         self.last = starts[np.append(at[1:], len(starts)) - 1] if len(at) else self.first
         self.row = np.searchsorted(offsets, self.first, side="right") - 1
-        self.anchor = gram[owner[at]]
+        self.owner = owner[at]
+        self.anchor = gram[self.owner]
         up, down = _Powers.until(n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.value * up, dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up, dtype=np.uint64)])
         size = self.last + length - self.first
         self.content = mix(mix((sums[self.last + length] - sums[self.first]) * down[self.first]) + size.astype(np.uint64))
 
@@ -96,105 +111,157 @@ class _Bucket:
     def __init__(self, rows: pa.Table, length: int):
         self.ids = np.asarray(rows.column("id").fill_null(NO_ID).combine_chunks())
         self.data, self.offsets = unpacked(rows.column("text"))
-        self.length = length
+        self.length, self.side = length, (length - GRAM + 1) // 2
         parts = []
         for lo, hi in row_blocks(self.offsets, BLOCK):
             at = self.offsets[lo]
             r = Runs(self.data[at : self.offsets[hi]], self.offsets[lo : hi + 1] - at, length)
-            parts.append((r.row + lo, r.first + at, r.last + at, r.anchor, r.content))
-        self.row, self.first, self.last, self.anchor, self.content = (np.concatenate(p) for p in zip(*parts, strict=True))
+            parts.append((r.row + lo, r.first + at, r.last + at, r.owner + at, r.anchor, r.content))
+        self.row, self.first, self.last, self.owner, self.anchor, self.content = (np.concatenate(p) for p in zip(*parts, strict=True))
         self.doc = self.ids[self.row]
         self.distinct, self.least, _, self.number = smallest(self.content, self.doc)
 
-    def window_hashes_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window starts, hashes, run) of the given runs' windows."""
-        count = self.last[runs] - self.first[runs] + 1
-        start = np.repeat(self.first[runs] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        run = np.repeat(runs, count)
-        hashes = np.empty(len(start), np.uint64)
-        for lo in range(0, len(start), 1 << 18):
-            part = start[lo : lo + (1 << 18)]
-            value = np.zeros(len(part), np.uint64)
-            for k in range(self.length):
-                value = value * np.uint64(_BASE) + _BYTE[self.data[part + k]]
-            hashes[lo : lo + len(part)] = mix(value)
-        return start, hashes, run
+    def part(self, runs: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(runs with such a part, its first and last window start, its core's start)."""
+        turn = self.owner[runs] - self.side
+        first = np.maximum(self.first[runs], turn + 1) if right else self.first[runs]
+        last = self.last[runs] if right else np.minimum(self.last[runs], turn)
+        has = first <= last
+        core = self.owner[runs] if right else turn
+        return runs[has], first[has], last[has], core[has]
+
+
+def _hashes_at(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(_BASE) + values[start + k]
+    return mix(out)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _longs(table, name: str) -> np.ndarray:
+    """A column of whole numbers, 0 for null."""
+    column = table.column(name).fill_null(0)
+    return np.asarray(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
 
+def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return whole.cast(pa.binary())
 
-_SENT = "kind int, key long, s long, lo long, content binary"
 
+def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def _sorted(known: pa.Table, kind: int) -> np.ndarray:
-    s = np.asarray(known.column("s").combine_chunks()).view(np.uint64)
-    return np.sort(s[np.asarray(known.column("kind").combine_chunks()) == kind])
 
+_SENT = "key long, salt int, salts int, s long, lo long, part int, text binary"
+_FOUND = "key long, w long, lo long, s long, part int, place int, mask binary"
 
-def _sent_table(kind, key, s, lo, content) -> pa.Table:
-    return pa.table({
-        "kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key.view(np.int64)),
-        "s": pa.array(s.view(np.int64)), "lo": pa.array(lo), "content": pa.array(content, pa.binary()),
-    })
 
+def _found(lo, s, part, key=None, w=None, place=None, masks=None) -> pa.RecordBatch:
+    n = len(lo)
+    nulls = [None] * n
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nulls if key is None else key, pa.int64()), pa.array(nulls if w is None else w.view(np.int64), pa.int64()), pa.array(lo),
+         pa.array(s), pa.array(part, pa.int32()), pa.array(nulls if place is None else place, pa.int32()),
+         masks if masks is not None else pa.array(nulls, pa.binary())],
+        [c.split()[0] for c in _FOUND.split(", ")],
+    )
 
-def _compare(length: int, n_buckets: int):
-    """Runs sorted by anchor -> (lo, s, mask) of those with windows that a smaller document has."""
 
-    def solve(keys, s, lo, contents) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        group = np.cumsum(new) - 1
-        sizes = np.array([len(c) for c in contents]) + 1
-        weight = np.bincount(group, sizes).astype(np.int64)
-        level = np.ceil(np.log2(weight)).astype(int)[group]
+def _compare(symbols: int):
+    """Parts sorted by (key, salt) -> masks of windows that a smaller document of the same string has, and for
+    cores of several strings one window of each kind. ``part`` is 2 * (bytes before the core) + (right part)."""
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, salt, salts = _longs(rows, "key"), _longs(rows, "salt"), _longs(rows, "salts")
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        split = np.repeat(size > PIECE, size) | (salts > 1)
+        within = np.arange(len(key)) - np.repeat(start, size)
+        piece = np.cumsum(new | (within % PIECE == 0)) - 1
+        keep = np.flatnonzero(split | np.repeat(size > 1, size))
+        if not len(keep):
+            return
+        s, lo, part = (_longs(rows, c)[keep] for c in ("s", "lo", "part"))
+        data, offsets = _buffers(rows.column("text"))
+        width = np.diff(offsets)[keep]
+        group, split, key, first = piece[keep], split[keep], key[keep], offsets[keep]
+        weight = np.bincount(group, width + 2)[group]
+        level = np.ceil(np.log2(weight)).astype(int)
         for k in np.unique(level):
-            yield from arrays(*(x[level == k] for x in (group, s, lo)), [c for c, x in zip(contents, level == k, strict=True) if x])
+            own = np.flatnonzero(level == k)
+            yield from arrays(key[own], group[own], split[own], s[own], lo[own], part[own], data, first[own], width[own])
 
-    def arrays(group, s, lo, contents) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"\x00".join(contents) + b"\x00", np.uint8)
-        size = np.array([len(c) for c in contents]) + 1
+    def arrays(key, group, split, s, lo, part, data, first, width) -> Iterator[pa.RecordBatch]:
+        size = width + 2  # the core and an end mark
         end = np.cumsum(size)
-        text = data.astype(np.int64) + 2
-        text[end - 1] = 1
+        begin = end - size
+        text = np.ones(int(end[-1]), np.int64)
+        plain = np.ones(len(text), bool)
+        text[begin + part // 2] = _CORE
+        plain[begin + part // 2] = False
+        plain[end - 1] = False
+        text[plain] = data[_ranges(first, width)].astype(np.int64) + 2
         last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
         text[end[last] - 1] = 0
         order = suffix_arrays(text, np.concatenate([[0], end[last]]))
         run = np.repeat(np.arange(len(size)), size)
         left = np.repeat(end - 1, size) - np.arange(len(text))
-        order = order[left[order] >= length]
-        views = np.lib.stride_tricks.sliding_window_view(data, length)
+        order = order[left[order] >= symbols]
+        views = np.lib.stride_tricks.sliding_window_view(text.astype(np.int16), symbols)
         same = np.zeros(len(order), bool)
         for at in range(1, len(order), 1 << 16):
             to = min(at + (1 << 16), len(order))
             same[at:to] = (views[order[at:to]] == views[order[at - 1 : to - 1]]).all(1)
-        same[1:] &= group[run[order[1:]]] == group[run[order[:-1]]]
-        first = np.flatnonzero(~same)
-        ids = lo[run[order]]
-        least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(order)))) if len(first) else ids
+        at_run = run[order]
+        same[1:] &= group[at_run[1:]] == group[at_run[:-1]]
+        heads = np.flatnonzero(~same)
+        ids = lo[at_run]
+        least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(order)))) if len(heads) else ids
         gone = np.zeros(len(text), bool)
         gone[order[ids > least]] = True
-        begin = end - size
         hit = np.flatnonzero(np.add.reduceat(gone, begin) > 0)
         if len(hit):
-            masks = [np.packbits(gone[begin[i] : end[i] - length]).tobytes() for i in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(lo[hit]), pa.array(s[hit]), pa.array(masks, pa.binary())], ["lo", "s", "mask"])
+            windows = size[hit] - symbols
+            padded = -(-windows // 8) * 8
+            bits = np.zeros(int(padded.sum()), bool)
+            bits[_ranges(np.cumsum(padded) - padded, windows)] = gone[_ranges(begin[hit], windows)]
+            yield _found(lo[hit], s[hit], part[hit], masks=_binary(np.packbits(bits), padded // 8))
+        told = np.flatnonzero((ids == least) & split[at_run])
+        if len(told):
+            place, r = order[told], at_run[told]
+            values = mix(np.arange(_CORE + 1, dtype=np.uint64) + np.uint64(1))[text]
+            yield _found(lo[r], s[r], part[r], key[r], _hashes_at(values, place, symbols), place - begin[r])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [[], [], [], []]
-        held_bytes = 0
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            for whole, name in zip(held, ("key", "s", "lo", "content"), strict=True):
-                whole += batch.column(name).to_pylist()
-            held_bytes += batch.nbytes
-            if held_bytes >= FLUSH_BYTES:
-                cut = len(held[0]) - 1
-                while cut > 0 and held[0][cut] == held[0][cut - 1]:
-                    cut -= 1
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FLUSH_ROWS:
+                rows = pa.Table.from_batches(held)
+                key, salt = _longs(rows, "key"), _longs(rows, "salt")
+                edge = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
+                cut = int(edge[-1]) + 1 if len(edge) else 0
                 if cut:
-                    yield from solve(*(np.array(x[:cut]) for x in held[:3]), held[3][:cut])
-                    held = [x[cut:] for x in held]
-                    held_bytes = sum(map(len, held[3]))
-        if held[0]:
-            yield from solve(*(np.array(x) for x in held[:3]), held[3])
+                    yield from solve(rows.slice(0, cut))
+                held, n = rows.slice(cut).to_batches(), len(key) - cut
+        if n:
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
@@ -207,53 +274,63 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         b = _Bucket(rows, length)
         anchor = np.zeros(len(b.distinct), np.uint64)
         anchor[b.number] = b.anchor
+        order = np.argsort(b.least, kind="stable")
         return pa.table({
-            "a": pa.array((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-            "s": pa.array(b.distinct.view(np.int64)), "lo": pa.array(b.least),
+            "a": pa.array(anchor[order].view(np.int64)), "s": pa.array(b.distinct[order].view(np.int64)), "lo": pa.array(b.least[order]),
         })
 
     def sent_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
-        b = _Bucket(rows, length) if rows.num_rows else None
-        none = np.zeros(0, np.uint64)
-        if b is None:
-            return _sent_table(1, none, none, np.zeros(0, np.int64), [])
-        own = np.full(len(b.distinct), -1)
-        theirs = np.flatnonzero(b.doc == b.least[b.number])
-        own[b.number[theirs[::-1]]] = theirs[::-1]
-        runs = own[contains(_sorted(known, 1), b.distinct)]
-        data = b.data.tobytes()
-        content = [data[x:y] for x, y in zip(b.first[runs].tolist(), (b.last[runs] + length).tolist(), strict=True)]
-        sent = _sent_table(1, b.anchor[runs] >> np.uint64(32), b.content[runs], b.doc[runs], content)
-        wide = own[contains(_sorted(known, 2), b.distinct)]
-        _, hashes, run = b.window_hashes_of(wide)
-        h, lo, _, _ = smallest(hashes, b.doc[run])
-        return pa.concat_tables([sent, _sent_table(2, h, h, lo, [None] * len(h))])
+        parts = [_empty_sent()]
+        if rows.num_rows and known.num_rows:
+            b = _Bucket(rows, length)
+            wanted, salts = _longs(known, "s").view(np.uint64), _longs(known, "salts")
+            order = np.argsort(wanted)
+            wanted, salts = wanted[order], salts[order]
+            own = np.full(len(b.distinct), -1)
+            theirs = np.flatnonzero(b.doc == b.least[b.number])
+            own[b.number[theirs[::-1]]] = theirs[::-1]
+            chosen = own[contains(wanted, b.distinct)]
+            values = _BYTE[b.data]
+            for right in (False, True):
+                runs, first, last, core = b.part(chosen, right)
+                n_left, to = core - first, core + GRAM + b.side
+                n_right = last + length - to
+                place = np.stack([first, to], 1).ravel()
+                text = b.data[_ranges(place, np.stack([n_left, n_right], 1).ravel())]
+                many = salts[np.searchsorted(wanted, b.content[runs])]
+                s = b.content[runs].view(np.int64)
+                core_key = _hashes_at(values, core, GRAM + b.side) ^ np.uint64(right)
+                parts.append(pa.table({
+                    "key": pa.array(core_key.view(np.int64)), "salt": pa.array((s % many).astype(np.int32)),
+                    "salts": pa.array(many.astype(np.int32)), "s": pa.array(s), "lo": pa.array(b.doc[runs]),
+                    "part": pa.array((2 * n_left + right).astype(np.int32)), "text": _binary(text, n_left + n_right),
+                }))
+        return pa.concat_tables(parts)
 
     def kept_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
         b = _Bucket(rows, length)
-        covered = contains(_sorted(known, 0), b.distinct)[b.number] | (b.doc > b.least[b.number])
-        change = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(change, b.first[covered], 1)
-        np.add.at(change, b.last[covered] + length, -1)
-        open_runs = np.flatnonzero(~covered)
-        kinds = np.asarray(known.column("kind").combine_chunks())
-        masks = {
-            s & 0xFFFFFFFFFFFFFFFF: m
-            for s, m in zip(known.column("s").filter(pa.array(kinds == 1)).to_pylist(), known.column("mask").filter(pa.array(kinds == 1)).to_pylist(), strict=True)
-        }
-        if masks:
-            marked = open_runs[contains(np.sort(np.array(list(masks), np.uint64)), b.content[open_runs])]
-            for x, y, s in zip(b.first[marked].tolist(), b.last[marked].tolist(), b.content[marked].tolist(), strict=True):
-                gone = x + np.flatnonzero(np.unpackbits(np.frombuffer(masks[s], np.uint8), count=y - x + 1))
-                np.add.at(change, gone, 1)
-                np.add.at(change, gone + length, -1)
-        wide = open_runs[contains(_sorted(known, 2), b.content[open_runs])]
-        if len(wide):
-            start, hashes, run = b.window_hashes_of(wide)
-            _, lo, _, number = smallest(hashes, b.doc[run])
-            gone = start[contains(_sorted(known, 3), hashes) | (b.doc[run] > lo[number])]
-            np.add.at(change, gone, 1)
-            np.add.at(change, gone + length, -1)
+        kind, s = _longs(known, "kind"), _longs(known, "s").view(np.uint64)
+        covered = contains(np.sort(s[kind == 0]), b.distinct)[b.number] | (b.doc > b.least[b.number])
+        gone = [_ranges(b.first[covered], b.last[covered] - b.first[covered] + 1)]
+        found = np.flatnonzero(kind > 0)
+        if len(found):
+            open_runs = np.flatnonzero(~covered & contains(np.sort(s[found]), b.content))
+            open_runs = open_runs[np.argsort(b.content[open_runs])]
+            found = found[np.argsort(s[found], kind="stable")]
+            lo = np.searchsorted(b.content[open_runs], s[found], "left")
+            n = np.searchsorted(b.content[open_runs], s[found], "right") - lo
+            runs, told = open_runs[_ranges(lo, n)], np.repeat(found, n)
+            part = _longs(known, "part")[told]
+            begin = np.where(part % 2 == 1, np.maximum(b.first[runs], b.owner[runs] - b.side + 1), b.first[runs])
+            one = kind[told] == 2
+            gone.append(begin[one] + _longs(known, "place")[told[one]])
+            data, offsets = _buffers(known.column("mask").fill_null(b""))
+            told, begin = told[~one], begin[~one]
+            bits = np.unpackbits(data[_ranges(offsets[told], offsets[told + 1] - offsets[told])]).astype(bool)
+            width = 8 * (offsets[told + 1] - offsets[told])
+            gone.append(_ranges(begin, width)[bits])
+        gone = np.concatenate(gone)
+        change = np.bincount(gone, minlength=len(b.data) + 1) - np.bincount(gone + length, minlength=len(b.data) + 1)
         removed = np.cumsum(change[:-1]) > 0
         size = np.diff(b.offsets)
         row = np.repeat(np.arange(len(b.ids)), size)
@@ -262,31 +339,45 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         begins = b.offsets[:-1][size > 0]
         spans[begins] = removed[begins]
         n_removed = np.bincount(row, removed, len(b.ids)).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(size - n_removed)]).astype(np.int64)
-        left = b.data[~removed]
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(left.tobytes())])
         return pa.table({
             "id": rows.column("id"), "n_bytes": pa.array(size), "n_removed": pa.array(n_removed),
-            "n_spans": pa.array(np.bincount(row, spans, len(b.ids)).astype(np.int64)), "kept": kept.cast(pa.binary()),
+            "n_spans": pa.array(np.bincount(row, spans, len(b.ids)).astype(np.int64)), "kept": _binary(b.data[~removed], size - n_removed),
         })
 
     groups = dealt.groupBy("bucket")
-    runs = dealt.groupBy("bucket").applyInArrow(run_rows, "a int, s long, lo long")
-    by_run, by_anchor = Window.partitionBy("a", "s"), Window.partitionBy("a")
-    runs = runs.repartition("a")  # one shuffle serves both windows
-    runs = runs.withColumn("first", F.min("lo").over(by_run))
-    n_own = F.sum((F.col("lo") == F.col("first")).cast("long")).over(by_anchor)
-    runs = runs.withColumn("n_own", n_own)
-    kind = F.when(F.col("lo") > F.col("first"), 0).when(F.col("n_own") > MAX_RUNS, 2).when(F.col("n_own") > 1, 1)
-    told = runs.select(bucket_of(F.col("lo"), n_buckets).alias("bucket"), "s", kind.alias("kind")).filter("kind IS NOT NULL")
-    sent = groups.cogroup(told.filter("kind > 0").groupBy("bucket")).applyInArrow(sent_rows, _SENT)
-    ordered = sent.filter("kind = 1").select("key", "s", "lo", "content").repartition("key").sortWithinPartitions("key")
-    solved = ordered.mapInArrow(_compare(length, n_buckets), "lo long, s long, mask binary")
-    solved = solved.select(bucket_of(F.col("lo"), n_buckets).alias("bucket"), "s", F.lit(1).alias("kind"), "mask")
-    wide = sent.filter("kind = 2").withColumn("first", F.min("lo").over(Window.partitionBy("key"))).filter("lo > first")
-    wide = wide.select(bucket_of(F.col("lo"), n_buckets).alias("bucket"), F.col("key").alias("s"), F.lit(3).alias("kind"))
-    none = F.lit(None).cast("binary").alias("mask")
-    told = told.filter("kind <> 1").select("*", none).unionByName(solved).unionByName(wide.select("*", none))
-    return groups.cogroup(told.groupBy("bucket")).applyInArrow(
+    runs = dealt.groupBy("bucket").applyInArrow(run_rows, "a long, s long, lo long")
+    # anchors with many different runs already in a few buckets: at most HOT_BUCKETS * (runs of a bucket) / HOT_RUNS of them
+    seen, _ = bucketed(docs, id_col, text_col, packed=True, n_buckets=n_buckets, only=HOT_BUCKETS, **options)
+    seen = seen.groupBy("bucket").applyInArrow(run_rows, "a long, s long, lo long").groupBy("a").agg(F.countDistinct("s").alias("seen"))
+    hot = materialise(seen.filter(F.col("seen") >= HOT_RUNS))
+    share = n_buckets / min(HOT_BUCKETS, n_buckets)
+    runs = runs.join(F.broadcast(hot), "a", "left")
+    runs = runs.withColumn("g", F.when(F.col("seen").isNull(), F.col("a")).otherwise(F.xxhash64("a", "s"))).repartition("g")
+    runs = runs.withColumn("first", F.min("lo").over(Window.partitionBy("g", "a", "s")))
+    own = F.sum((F.col("lo") == F.col("first")).cast("long")).over(Window.partitionBy("g", "a"))
+    runs = runs.withColumn("own", F.coalesce(F.col("seen") * F.lit(share), own))
+    kind = F.when(F.col("lo") > F.col("first"), 0).when(F.col("own") > 1, 1)
+    salts = F.floor(F.col("own") / DEALT_RUNS).cast("int") + 1
+    told = runs.select(bucket_of(F.col("lo"), n_buckets).alias("bucket"), "s", kind.alias("kind"), salts.alias("salts"))
+    told = told.filter("kind IS NOT NULL").repartition("bucket")  # one shuffle serves both uses
+    sent = groups.cogroup(told.filter("kind = 1").groupBy("bucket")).applyInArrow(sent_rows, _SENT)
+    ordered = sent.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    side = (length - GRAM + 1) // 2
+    found = materialise(ordered.mapInArrow(_compare(length - GRAM - side + 1), _FOUND))
+    told = told.filter("kind = 0").select("bucket", "s", "kind", *(F.lit(None).cast(t).alias(c) for c, t in _EXTRA.items()))
+    bucket = bucket_of(F.col("lo"), n_buckets).alias("bucket")
+    masks = found.filter("mask IS NOT NULL").select(bucket, "s", F.lit(1).alias("kind"), *_EXTRA)
+    single = found.filter("mask IS NULL")
+    least = single.groupBy("key", "w").agg(F.min("lo").alias("least"))
+    single = single.join(least, ["key", "w"]).filter("lo > least").select(bucket, "s", F.lit(2).alias("kind"), *_EXTRA)
+    return groups.cogroup(told.unionByName(masks).unionByName(single).groupBy("bucket")).applyInArrow(
         kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+
+
+_EXTRA = {"part": "int", "place": "int", "mask": "binary"}
+
+
+def _empty_sent() -> pa.Table:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({c.split()[0]: pa.array([], types[c.split()[1]]) for c in _SENT.split(", ")})
