@@ -51,9 +51,10 @@ def bucketed(
     docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, packed: bool = False,
     n_buckets: int | None = None, only: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """(id, text, bucket) dealt by bucket, and the number of buckets; ``packed`` texts travel compressed.
+    """(id, text, bucket) dealt by bucket, and the number of buckets.
 
-    ``n_buckets`` saves counting the bytes; ``only`` keeps the first so many buckets.
+    ``packed`` texts travel compressed, with ``u``, a hash of id and text. ``n_buckets`` saves counting
+    the bytes; ``only`` keeps the first so many buckets.
     """
     text = F.col(f"`{text_col}`")
     n = n_buckets or int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // bucket_bytes) + 1
@@ -62,7 +63,8 @@ def bucketed(
     if only is not None:
         rows = rows.filter(F.col("bucket") < only)
     if packed:
-        rows = rows.mapInArrow(_packed, "id long, text binary, bucket int")
+        rows = rows.withColumn("u", row_key("id", "text"))
+        rows = rows.mapInArrow(_packed, "id long, text binary, bucket int, u long")
     return rows.repartition("bucket"), n
 
 
@@ -70,6 +72,10 @@ def bucket_of(key, n: int):
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.coalesce(F.col(id_col), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
+
+
 class Bucket:
     """The symbols of one bucket's documents."""
 

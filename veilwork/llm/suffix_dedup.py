@@ -4,7 +4,8 @@ Every window (string of ``length`` bytes) is owned by its minimiser, the ``GRAM`
 with the smallest hash; consecutive windows with one owner form a run. Equal windows have equal
 owners at equal places, so windows need to be compared only among runs of one anchor:
 
-1. Buckets of documents (hash of the id) emit (anchor, hash of the run's bytes, smallest id) once
+1. Copies of a whole document with a smaller id are covered throughout and leave. Buckets of the
+   other documents (hash of the id) emit (anchor, hash of the run's bytes, smallest id) once
    for each run. Equal runs are one string from here on: a run that also occurs in a smaller
    document is covered at once, and only its first document sends it to the suffix arrays.
 2. Of anchors with several different runs, each run sends its bytes, cut in two parts: windows that
@@ -13,9 +14,9 @@ owners at equal places, so windows need to be compared only among runs of one an
    stands for itself as one symbol. A task builds the suffix arrays of all its cores' parts (see
    ``suffix_array``); neighbours in the order that agree in a window's length are equal windows,
    and the smallest id among them decides.
-3. The parts of a core make strings of ``PIECE`` parts. Where they fill several strings, or the
-   anchor has so many runs that it is dealt over several tasks, every string tells one window of
-   each kind that it holds, and the smallest ids of these are aggregated.
+3. The parts of a core make strings of ``PIECE`` parts. Where they fill several strings, the task
+   merges the smallest ids of these by window; where an anchor has so many runs that it is dealt
+   over several tasks, every task tells one window of each kind, and these are merged once more.
 4. Each bucket gets what was found about its runs and removes the covered bytes.
 
 Anchors that many documents hold are seen in a sample of ``HOT_BUCKETS`` buckets (which only decides
@@ -35,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, row_blocks
-from ._repeats import NO_ID, bucket_of, bucketed, contains, smallest, unpacked
+from ._repeats import NO_ID, bucket_of, bucketed, contains, row_key, smallest, unpacked
 from ._words import mix, window_hashes
 from .suffix_array import suffix_arrays
 
@@ -49,7 +51,7 @@ DEALT_RUNS = 4096
 HOT_BUCKETS = 4
 HOT_RUNS = 64
 FLUSH_ROWS = 1 << 16
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _PLACE = np.uint64((1 << 28) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
@@ -108,7 +110,11 @@ class Runs:
 
 
 class _Bucket:
-    def __init__(self, rows: pa.Table, length: int):
+    def __init__(self, rows: pa.Table, length: int, copies: np.ndarray):
+        """``copies``: the rows (``u``) that are left out."""
+        copied = contains(np.sort(copies), _longs(rows, "u").view(np.uint64))
+        self.copies, rows = rows.filter(pa.array(copied)), rows.filter(pa.array(~copied))
+        self.rows = rows
         self.ids = np.asarray(rows.column("id").fill_null(NO_ID).combine_chunks())
         self.data, self.offsets = unpacked(rows.column("text"))
         self.length, self.side = length, (length - GRAM + 1) // 2
@@ -117,7 +123,8 @@ class _Bucket:
             at = self.offsets[lo]
             r = Runs(self.data[at : self.offsets[hi]], self.offsets[lo : hi + 1] - at, length)
             parts.append((r.row + lo, r.first + at, r.last + at, r.owner + at, r.anchor, r.content))
-        self.row, self.first, self.last, self.owner, self.anchor, self.content = (np.concatenate(p) for p in zip(*parts, strict=True))
+        none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        self.row, self.first, self.last, self.owner, self.anchor, self.content = (np.concatenate(p) for p in zip(none, *parts, strict=True))
         self.doc = self.ids[self.row]
         self.distinct, self.least, _, self.number = smallest(self.content, self.doc)
 
@@ -169,12 +176,10 @@ _FOUND = "key long, w long, lo long, s long, part int, place int, mask binary"
 
 
 def _found(lo, s, part, key=None, w=None, place=None, masks=None) -> pa.RecordBatch:
-    n = len(lo)
-    nulls = [None] * n
+    nulls = [None] * len(lo)
     return pa.RecordBatch.from_arrays(
-        [pa.array(nulls if key is None else key, pa.int64()), pa.array(nulls if w is None else w.view(np.int64), pa.int64()), pa.array(lo),
-         pa.array(s), pa.array(part, pa.int32()), pa.array(nulls if place is None else place, pa.int32()),
-         masks if masks is not None else pa.array(nulls, pa.binary())],
+        [pa.array(s if key is None else key), pa.array(nulls if w is None else w.view(np.int64), pa.int64()), pa.array(lo), pa.array(s),
+         pa.array(part, pa.int32()), pa.array(nulls if place is None else place, pa.int32()), pa.array(nulls, pa.binary()) if masks is None else masks],
         [c.split()[0] for c in _FOUND.split(", ")],
     )
 
@@ -198,15 +203,45 @@ def _compare(symbols: int):
         s, lo, part = (_longs(rows, c)[keep] for c in ("s", "lo", "part"))
         data, offsets = _buffers(rows.column("text"))
         width = np.diff(offsets)[keep]
-        group, split, key, first = piece[keep], split[keep], key[keep], offsets[keep]
+        group, split, key, salts, first = piece[keep], split[keep], key[keep], salts[keep], offsets[keep]
+        end = np.cumsum(width + 2)  # with the core and an end mark
+        begin = end - width - 2
+        gone = np.zeros(int(end[-1]), bool)  # window starts that a smaller document has
+        told = []
         weight = np.bincount(group, width + 2)[group]
         level = np.ceil(np.log2(weight)).astype(int)
         for k in np.unique(level):
             own = np.flatnonzero(level == k)
-            yield from arrays(key[own], group[own], split[own], s[own], lo[own], part[own], data, first[own], width[own])
+            r, place, later, w = equal_windows(group[own], split[own], lo[own], part[own], data, first[own], width[own])
+            r = own[r]
+            gone[(begin[r] + place)[later]] = True
+            told.append((r[~later], place[~later], w))
+        r, place, w = (np.concatenate(x) for x in zip(*told, strict=True))
+        # the strings of one core meet here, and those of other tasks later
+        order = np.lexsort((lo[r], w, key[r]))
+        r, place, w = r[order], place[order], w[order]
+        same = np.zeros(len(r), bool)
+        same[1:] = (w[1:] == w[:-1]) & (key[r[1:]] == key[r[:-1]])
+        heads = np.flatnonzero(~same)
+        least = np.repeat(lo[r[heads]], np.diff(np.append(heads, len(r))))
+        later = lo[r] > least
+        gone[(begin[r] + place)[later]] = True
+        out = np.flatnonzero(~later & (salts[r] > 1))
+        if len(out):
+            r, place, w = r[out], place[out], w[out]
+            yield _found(lo[r], s[r], part[r], key[r], w, place)
+        hit = np.flatnonzero(np.add.reduceat(gone, begin) > 0)
+        if len(hit):
+            windows = width[hit] + 2 - symbols
+            padded = -(-windows // 8) * 8
+            bits = np.zeros(int(padded.sum()), bool)
+            bits[_ranges(np.cumsum(padded) - padded, windows)] = gone[_ranges(begin[hit], windows)]
+            yield _found(lo[hit], s[hit], part[hit], masks=_binary(np.packbits(bits), padded // 8))
 
-    def arrays(key, group, split, s, lo, part, data, first, width) -> Iterator[pa.RecordBatch]:
-        size = width + 2  # the core and an end mark
+    def equal_windows(group, split, lo, part, data, first, width) -> tuple[np.ndarray, ...]:
+        """(part's number, window's place, whether the string has it with a smaller id) of windows; of those without
+        a smaller id only where the core has several strings, and then with a hash."""
+        size = width + 2
         end = np.cumsum(size)
         begin = end - size
         text = np.ones(int(end[-1]), np.int64)
@@ -231,20 +266,11 @@ def _compare(symbols: int):
         heads = np.flatnonzero(~same)
         ids = lo[at_run]
         least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(order)))) if len(heads) else ids
-        gone = np.zeros(len(text), bool)
-        gone[order[ids > least]] = True
-        hit = np.flatnonzero(np.add.reduceat(gone, begin) > 0)
-        if len(hit):
-            windows = size[hit] - symbols
-            padded = -(-windows // 8) * 8
-            bits = np.zeros(int(padded.sum()), bool)
-            bits[_ranges(np.cumsum(padded) - padded, windows)] = gone[_ranges(begin[hit], windows)]
-            yield _found(lo[hit], s[hit], part[hit], masks=_binary(np.packbits(bits), padded // 8))
-        told = np.flatnonzero((ids == least) & split[at_run])
-        if len(told):
-            place, r = order[told], at_run[told]
-            values = mix(np.arange(_CORE + 1, dtype=np.uint64) + np.uint64(1))[text]
-            yield _found(lo[r], s[r], part[r], key[r], _hashes_at(values, place, symbols), place - begin[r])
+        later = ids > least
+        used = np.flatnonzero(later | split[at_run])
+        order, at_run, later = order[used], at_run[used], later[used]
+        values = mix(np.arange(_CORE + 1, dtype=np.uint64) + np.uint64(1))[text]
+        return at_run, order - begin[at_run], later, _hashes_at(values, order[~later], symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -270,8 +296,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """(id, n_bytes, n_removed, n_spans, kept) for each row; ``kept`` is binary."""
     dealt, n_buckets = bucketed(docs, id_col, text_col, packed=True, **options)
 
-    def run_rows(rows: pa.Table) -> pa.Table:
-        b = _Bucket(rows, length)
+    def run_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "s", "lo")})
+        b = _Bucket(rows, length, _longs(known, "s").view(np.uint64))
         anchor = np.zeros(len(b.distinct), np.uint64)
         anchor[b.number] = b.anchor
         order = np.argsort(b.least, kind="stable")
@@ -281,15 +309,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def sent_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
         parts = [_empty_sent()]
-        if rows.num_rows and known.num_rows:
-            b = _Bucket(rows, length)
-            wanted, salts = _longs(known, "s").view(np.uint64), _longs(known, "salts")
+        kind, s = _longs(known, "kind"), _longs(known, "s").view(np.uint64)
+        if rows.num_rows and (kind == 1).any():
+            b = _Bucket(rows, length, s[kind == COPY])
+            wanted, salts = s[kind == 1], _longs(known, "salts")[kind == 1]
             order = np.argsort(wanted)
             wanted, salts = wanted[order], salts[order]
             own = np.full(len(b.distinct), -1)
             theirs = np.flatnonzero(b.doc == b.least[b.number])
             own[b.number[theirs[::-1]]] = theirs[::-1]
-            chosen = own[contains(wanted, b.distinct)]
+            chosen = np.sort(own[contains(wanted, b.distinct)])
             values = _BYTE[b.data]
             for right in (False, True):
                 runs, first, last, core = b.part(chosen, right)
@@ -298,18 +327,18 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 place = np.stack([first, to], 1).ravel()
                 text = b.data[_ranges(place, np.stack([n_left, n_right], 1).ravel())]
                 many = salts[np.searchsorted(wanted, b.content[runs])]
-                s = b.content[runs].view(np.int64)
+                content = b.content[runs].view(np.int64)
                 core_key = _hashes_at(values, core, GRAM + b.side) ^ np.uint64(right)
                 parts.append(pa.table({
-                    "key": pa.array(core_key.view(np.int64)), "salt": pa.array((s % many).astype(np.int32)),
-                    "salts": pa.array(many.astype(np.int32)), "s": pa.array(s), "lo": pa.array(b.doc[runs]),
+                    "key": pa.array(core_key.view(np.int64)), "salt": pa.array((content % many).astype(np.int32)),
+                    "salts": pa.array(many.astype(np.int32)), "s": pa.array(content), "lo": pa.array(b.doc[runs]),
                     "part": pa.array((2 * n_left + right).astype(np.int32)), "text": _binary(text, n_left + n_right),
                 }))
         return pa.concat_tables(parts)
 
     def kept_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
-        b = _Bucket(rows, length)
         kind, s = _longs(known, "kind"), _longs(known, "s").view(np.uint64)
+        b = _Bucket(rows, length, s[kind == COPY])
         covered = contains(np.sort(s[kind == 0]), b.distinct)[b.number] | (b.doc > b.least[b.number])
         gone = [_ranges(b.first[covered], b.last[covered] - b.first[covered] + 1)]
         found = np.flatnonzero(kind > 0)
@@ -327,8 +356,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             data, offsets = _buffers(known.column("mask").fill_null(b""))
             told, begin = told[~one], begin[~one]
             bits = np.unpackbits(data[_ranges(offsets[told], offsets[told + 1] - offsets[told])]).astype(bool)
-            width = 8 * (offsets[told + 1] - offsets[told])
-            gone.append(_ranges(begin, width)[bits])
+            gone.append(_ranges(begin, 8 * (offsets[told + 1] - offsets[told]))[bits])
         gone = np.concatenate(gone)
         change = np.bincount(gone, minlength=len(b.data) + 1) - np.bincount(gone + length, minlength=len(b.data) + 1)
         removed = np.cumsum(change[:-1]) > 0
@@ -339,45 +367,58 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         begins = b.offsets[:-1][size > 0]
         spans[begins] = removed[begins]
         n_removed = np.bincount(row, removed, len(b.ids)).astype(np.int64)
-        return pa.table({
-            "id": rows.column("id"), "n_bytes": pa.array(size), "n_removed": pa.array(n_removed),
-            "n_spans": pa.array(np.bincount(row, spans, len(b.ids)).astype(np.int64)), "kept": _binary(b.data[~removed], size - n_removed),
-        })
+        whole = np.array([zstandard.frame_content_size(x) for x in b.copies.column("text").to_pylist()], np.int64)
+        none = pa.array([b""] * len(whole), pa.binary())
+        return pa.concat_tables([
+            pa.table({"id": b.rows.column("id"), "n_bytes": pa.array(size), "n_removed": pa.array(n_removed),
+                      "n_spans": pa.array(np.bincount(row, spans, len(b.ids)).astype(np.int64)), "kept": _binary(b.data[~removed], size - n_removed)}),
+            pa.table({"id": b.copies.column("id"), "n_bytes": pa.array(whole), "n_removed": pa.array(whole), "n_spans": pa.array(whole * 0 + 1), "kept": none}),
+        ])
 
-    groups = dealt.groupBy("bucket")
-    runs = dealt.groupBy("bucket").applyInArrow(run_rows, "a long, s long, lo long")
+    bucket = bucket_of(F.col("lo"), n_buckets).alias("bucket")
+    copies = materialise(_later_copies(docs, length, id_col, text_col).select(bucket_of(F.col("id"), n_buckets).alias("bucket"), F.col("u").alias("s")))
+    groups, schema = dealt.groupBy("bucket"), "a long, s long, lo long"
+    runs = groups.cogroup(copies.groupBy("bucket")).applyInArrow(run_rows, schema)
     # anchors with many different runs already in a few buckets: at most HOT_BUCKETS * (runs of a bucket) / HOT_RUNS of them
-    seen, _ = bucketed(docs, id_col, text_col, packed=True, n_buckets=n_buckets, only=HOT_BUCKETS, **options)
-    seen = seen.groupBy("bucket").applyInArrow(run_rows, "a long, s long, lo long").groupBy("a").agg(F.countDistinct("s").alias("seen"))
-    hot = materialise(seen.filter(F.col("seen") >= HOT_RUNS))
-    share = n_buckets / min(HOT_BUCKETS, n_buckets)
+    sample, _ = bucketed(docs, id_col, text_col, packed=True, n_buckets=n_buckets, only=HOT_BUCKETS, **options)
+    sample = sample.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(run_rows, schema)
+    hot = sample.groupBy("a").agg(F.countDistinct("s").alias("seen")).filter(F.col("seen") >= HOT_RUNS)
+    share = F.lit(n_buckets / min(HOT_BUCKETS, n_buckets))
+    hot = materialise(hot.select("a", F.ceil(F.col("seen") * share / DEALT_RUNS).cast("int").alias("salts")))
     runs = runs.join(F.broadcast(hot), "a", "left")
-    runs = runs.withColumn("g", F.when(F.col("seen").isNull(), F.col("a")).otherwise(F.xxhash64("a", "s"))).repartition("g")
-    runs = runs.withColumn("first", F.min("lo").over(Window.partitionBy("g", "a", "s")))
-    own = F.sum((F.col("lo") == F.col("first")).cast("long")).over(Window.partitionBy("g", "a"))
-    runs = runs.withColumn("own", F.coalesce(F.col("seen") * F.lit(share), own))
-    kind = F.when(F.col("lo") > F.col("first"), 0).when(F.col("own") > 1, 1)
-    salts = F.floor(F.col("own") / DEALT_RUNS).cast("int") + 1
-    told = runs.select(bucket_of(F.col("lo"), n_buckets).alias("bucket"), "s", kind.alias("kind"), salts.alias("salts"))
-    told = told.filter("kind IS NOT NULL").repartition("bucket")  # one shuffle serves both uses
-    sent = groups.cogroup(told.filter("kind = 1").groupBy("bucket")).applyInArrow(sent_rows, _SENT)
+    runs = runs.select("salts", "lo", F.when(F.col("salts").isNull(), F.col("a")).otherwise(F.xxhash64("a", "s")).alias("a"), "s").repartition("a")
+    runs = runs.withColumn("first", F.min("lo").over(Window.partitionBy("a", "s")))
+    own = F.sum((F.col("lo") == F.col("first")).cast("long")).over(Window.partitionBy("a"))
+    kind = F.when(F.col("lo") > F.col("first"), 0).when(F.col("salts").isNotNull() | (own > 1), 1)
+    salts = F.coalesce("salts", F.floor(own / DEALT_RUNS).cast("int") + 1)
+    told = runs.select(bucket, "s", kind.alias("kind"), salts.alias("salts")).filter("kind IS NOT NULL")
+    same = copies.select("bucket", "s", F.lit(COPY).alias("kind"))
+    sent = told.filter("kind = 1").unionByName(same.withColumn("salts", F.lit(1)))
+    sent = groups.cogroup(sent.groupBy("bucket")).applyInArrow(sent_rows, _SENT)
     ordered = sent.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    side = (length - GRAM + 1) // 2
-    found = materialise(ordered.mapInArrow(_compare(length - GRAM - side + 1), _FOUND))
-    told = told.filter("kind = 0").select("bucket", "s", "kind", *(F.lit(None).cast(t).alias(c) for c, t in _EXTRA.items()))
-    bucket = bucket_of(F.col("lo"), n_buckets).alias("bucket")
-    masks = found.filter("mask IS NOT NULL").select(bucket, "s", F.lit(1).alias("kind"), *_EXTRA)
-    single = found.filter("mask IS NULL")
-    least = single.groupBy("key", "w").agg(F.min("lo").alias("least"))
-    single = single.join(least, ["key", "w"]).filter("lo > least").select(bucket, "s", F.lit(2).alias("kind"), *_EXTRA)
-    return groups.cogroup(told.unionByName(masks).unionByName(single).groupBy("bucket")).applyInArrow(
-        kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    )
+    found = ordered.mapInArrow(_compare(length - GRAM - (length - GRAM + 1) // 2 + 1), _FOUND)
+    least = F.min("lo").over(Window.partitionBy("key", "w"))
+    found = found.withColumn("least", least).filter("mask IS NOT NULL OR lo > least")
+    found = found.select(bucket, "s", F.when(F.col("mask").isNull(), 2).otherwise(1).alias("kind"), *_EXTRA)
+    told = told.filter("kind = 0").select("bucket", "s", "kind").unionByName(same)
+    told = told.select("*", *(F.lit(None).cast(t).alias(c) for c, t in _EXTRA.items())).unionByName(found)
+    return groups.cogroup(told.groupBy("bucket")).applyInArrow(kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+COPY = -1
 _EXTRA = {"part": "int", "place": "int", "mask": "binary"}
 
 
+def _later_copies(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, u) of rows whose whole text, of ``length`` bytes at least, also stands in a row with a smaller id."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    rows = rows.filter(F.octet_length("text") >= length)
+    rows = rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), row_key("id", "text").alias("u"))
+    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("last > first").select("digest", "first")
+    return rows.join(first, "digest").filter("id > first").select("id", "u")
+
+
 def _empty_sent() -> pa.Table:
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.table({c.split()[0]: pa.array([], types[c.split()[1]]) for c in _SENT.split(", ")})
