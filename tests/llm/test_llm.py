@@ -409,3 +409,30 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, sf):
         assert mine == [(None, 7, 100 + g)[g % 3]]
     again = [tuple(r) for r in cp.near_dedup_stage(spark, docs(spark, rows[::-1]).repartition(5), sf).collect()]
     assert sorted(map(repr, again)) == sorted(map(repr, kept))
+
+
+@pytest.mark.parametrize("percent,size", [(80, 5), (85, 4), (60, 2)])
+def test_first_elements_leave_out_only_sets_without_a_partner(spark, percent, size):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 8, 20, 60, 120]))]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            x = list(w)
+            for _ in range(rng.randrange(0, 1 + len(w) // 12)):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(x[: len(x) - rng.randrange(0, 1 + len(x) // 10)])))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(size)])) or {tuple(t.split())} for i, t in rows}
+    low = {i: i for i in sets}
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = top(a), top(b)
+            low[max(x, y)] = min(x, y)
+    got = ngram_join.near_duplicates(docs(spark, rows).repartition(7), size, percent).collect()
+    assert {r.id: r.component_id for r in got} == {i: top(i) for i in sets}

@@ -13,7 +13,12 @@ expected entry of a segment with fewer than two elements, as these collide with
   in one element at most. A set indexes each segment's sum and the sums that miss one element.
   This pays for small sets, whose whole segments would be tiny.
 
-Sets are represented by their digest, so copies are one entity. Entities that share an index entry
+Sets are represented by their digest, so copies are one entity. Before anything is indexed, entities
+without any possible partner leave: in the order of hashes, the first n - ceil(t * n) + 1 + n / 16
+elements of two similar sets have more than k in common, k being a sixteenth of the smaller set, and
+that has ceil(t * n) elements at least. An entity of whose first elements no more than so many stand
+among the first elements of others has no partner. Elements met twice in one batch
+are settled there and travel as two rows, so a common element costs two rows a batch. Entities that share an index entry
 are first compared with one of them, the one that shares most entries with others (in a group of
 near copies that is their common original); what exact verification confirms is merged into
 components. Entries whose members then still lie in several components yield the remaining pairs
@@ -160,6 +165,11 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     return (np.concatenate(out), np.concatenate(owners)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    before = np.cumsum(size) - size
+    return np.repeat(first - before, size) + np.arange(int(size.sum()))
+
+
 def _sets_of(batch: pa.RecordBatch, size: int):
     data, offsets = utf8_buffers(batch.column("text"))
     for lo, hi in row_blocks(offsets):
@@ -178,17 +188,47 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             )
 
 
-def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    done: set[int] = set()
+def _first_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(token, d, kind, weight). Kind 1: elements among the first ones of set ``d``, weighing 1 unless the batch has
+    shown them to be common; kind 0: one row a set, the number of its common elements less the number needed."""
     for batch in batches:
+        tokens, owners, digests, needed = [], [], [], []
+        base, done = 0, set()
         for _, _, h, at in _sets_of(batch, size):
-            d = set_digests(h, at)
-            first = np.array([x not in done and not done.add(x) for x in d.tolist()], bool)
+            d, n = set_digests(h, at), np.diff(at)
+            new = np.array([x != 0 and x not in done and not done.add(x) for x in d.tolist()], bool)
+            n, first, d = n[new], at[:-1][new], d[new]
+            p = np.minimum(n, n - -(-n * percent // 100) + 1 + n // 16)
+            tokens.append(h[_ranges(first, p)])
+            owners.append(np.repeat(np.arange(len(n)) + base, p))
+            digests.append(d)
+            needed.append(-(-n * percent // 100) // 16 + 1)
+            base += len(n)
+        if not base:
+            continue
+        token, owner, d, need = (np.concatenate(x) for x in (tokens, owners, digests, needed))
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        times = np.diff(np.append(start, len(token)))
+        common = np.bincount(owner, np.repeat(times > 1, times), len(d)).astype(np.int64)
+        told = np.sort(np.concatenate([start, start[times > 1] + 1]))
+        weight = np.repeat((times == 1).astype(np.int32), np.minimum(times, 2))
+        d = d.view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([token[told].view(np.int64), d])), pa.array(np.concatenate([d[owner[told]], d])),
+             pa.array(np.concatenate([np.ones(len(told), np.int32), np.zeros(len(d), np.int32)])),
+             pa.array(np.concatenate([weight, (common - need).astype(np.int32)]))],
+            ["token", "d", "kind", "weight"],
+        )
+
+
+def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, h, at in _sets_of(batch, size):
+            d = np.asarray(batch.column("d").slice(lo, hi - lo))
             entry, row = signatures(h, at, bands)
-            keep = first[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(entry[keep].view(np.int64)), pa.array(d[row[keep]].view(np.int64))], ["entry", "d"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(d[row])], ["entry", "d"])
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +306,16 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     entities = light.filter("n > 0").groupBy("d").agg(F.min(F.struct("id", "t")).alias("first"), F.min("n").alias("n"), *same)
     entities = materialise(entities.select("d", F.col("first.id").alias("rep"), F.col("first.t").alias("rep_t"), "n", *SKETCH))
 
-    entries = texts.select("text").mapInArrow(lambda b: _entry_rows(b, size, bands), "entry long, d long")
+    firsts = texts.select("text").mapInArrow(lambda b: _first_rows(b, size, percent), "token long, d long, kind int, weight int")
+    same_token = Window.partitionBy("token", "kind")
+    several = F.min("d").over(same_token) != F.max("d").over(same_token)
+    score = F.when((F.col("kind") == 0) | several, F.col("weight")).otherwise(0)
+    possible_d = firsts.repartition("token").select("d", score.alias("score")).groupBy("d").agg(F.sum("score").alias("score"))
+    alive = materialise(entities.join(possible_d.filter("score >= 0"), "d", "left_semi"))
+    own = texts.join(alive.select(F.col("rep").alias("id"), F.col("rep_t").alias("t")), ["id", "t"], "left_semi").select("text")
+    held = materialise(own.mapInArrow(lambda b: _digest_rows(b, size), "d long, text string").dropDuplicates(["d"]))
+
+    entries = held.mapInArrow(lambda b: _entry_rows(b, size, bands), "entry long, d long")
     held_by = F.count(F.lit(1)).over(Window.partitionBy("entry"))
     shared = materialise(entries.withColumn("held", held_by).filter("held > 1"))
     degree = shared.groupBy("d").agg(F.sum("held").alias("degree"))
@@ -282,16 +331,12 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of digests that may be similar."""
-        one, two = entities.alias("one"), entities.alias("two")
+        one, two = alive.alias("one"), alive.alias("two")
         both = pairs.join(two, F.col("b") == F.col("two.d"))
         fits = (F.col("a") == F.col("one.d")) & possible(F.col("one.n"), F.col("two.n"), "one", "two")
         return both.join(one, fits).select("a", "b")
 
     pairs = materialise(sized(stars.select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct()))
-    members = stars.select("d").union(stars.select(F.col("leader").alias("d"))).distinct()
-    wanted = members.join(entities, "d").select("d", F.col("rep").alias("id"), F.col("rep_t").alias("t"))
-    own = texts.join(wanted.select("id", "t"), ["id", "t"], "left_semi").select("text")
-    held = materialise(own.mapInArrow(lambda b: _digest_rows(b, size), "d long, text string").dropDuplicates(["d"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(held.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
@@ -308,7 +353,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     mixed = labelled(labelled(stars, "d"), "leader").filter("c_d <> c_leader").select("entry").distinct()
     rest = stars.join(mixed, "entry", "left_semi")
     rest = rest.select("entry", "d").union(rest.select("entry", F.col("leader").alias("d"))).distinct()
-    rest = materialise(labelled(rest, "d").join(entities.select("d", "n", *SKETCH), "d"))
+    rest = materialise(labelled(rest, "d").join(alive.select("d", "n", *SKETCH), "d"))
     one, two = rest.alias("one"), rest.alias("two")
     open_pair = (F.col("one.entry") == F.col("two.entry")) & (F.col("one.d") < F.col("two.d"))
     open_pair = open_pair & (F.col("one.c_d") != F.col("two.c_d"))
