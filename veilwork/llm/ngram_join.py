@@ -2,20 +2,18 @@
 
 Two sets of sizes a and b with Jaccard similarity of at least t differ in at most
 H = (a + b) * (1 - t) / (1 + t) elements. Sizes are cut into bands; within a band a hash deals the
-universe into m segments, and a set indexes the sum of its hashes in each segment. For each band the
-cheaper of two allocations is taken, by the expected number of entries plus ``COLLISION`` for each
-expected entry of a segment with fewer than two elements, as these collide with unrelated sets:
-
-- whole segments: m = H + 1 + z, so similar sets agree in at least z + 1 segments. A set skips
-  segments with fewer than two elements as long as it has no more than z of them (then one of the
-  z + 1 agreeing segments is indexed), and indexes all otherwise;
-- one-deletion neighbourhoods: m = (H + 1) / 2 rounded up, so in some segment similar sets differ
-  in one element at most. A set indexes each segment's sum and the sums that miss one element.
-  This pays for small sets, whose whole segments would be tiny.
+universe into m segments. A set indexes the sum of its hashes in each segment, and in the first x
+segments also the sums that miss one element (the one-deletion neighbourhood). A whole segment
+counts as one unit, as a pair whose entries there differ has one difference at least, and one with
+deletions as two. So m + x = H + 1 + z units are enough to meet, even when z of them are left out:
+a set leaves out segments with fewer than two elements, which collide with unrelated sets, as long
+as these weigh no more than z, and indexes all otherwise. For each band the allocation (m, x, z) with
+the fewest expected entries is taken among those whose tiny segments rarely weigh more than z;
+``COLLISION`` is the price of a tiny segment where none is left out.
 
 Sets are represented by their digest, so copies are one entity. Before anything is indexed, entities
-without any possible partner leave: in the order of hashes, the first n - ceil(t * n) + 1 + n / 16
-elements of two similar sets have more than k in common, k being a sixteenth of the smaller set, and
+without any possible partner leave: in the order of hashes, the first n - ceil(t * n) + 1 + n / 8
+elements of two similar sets have more than k in common, k being an eighth of the smaller set, and
 that has ceil(t * n) elements at least. An entity of whose first elements no more than so many stand
 among the first elements of others has no partner. Elements met twice in one batch
 are settled there and travel as two rows, so a common element costs two rows a batch. Entities that share an index entry
@@ -78,6 +76,7 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 SKETCH_WORDS = 16
 COLLISION = 32
+SMALLEST_MEAN = 4
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -91,7 +90,8 @@ def parity_sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for a threshold of percent / 100: lower ends, and per band H, m, z and the allocation."""
+    """Size bands for a threshold of percent / 100: lower ends, and per band H, the number of segments, how many of
+    these have one-deletion neighbourhoods, and the units that may be skipped."""
 
     def __init__(self, percent: int, largest: int = 1 << 31):
         self.low = [1]
@@ -101,35 +101,35 @@ class Bands:
         high = self.low[1:] - 1
         top = 100 * high // percent
         self.differ = ((high + top) * (100 - percent)) // (100 + percent)
-        self.segments, self.slack, self.deletion = [], [], []
-        for h, n in zip(self.differ.tolist(), self.low.tolist(), strict=False):
-            m, z = self._whole(h, n)
-            whole = m + (0 if z else COLLISION * self._tiny(n, m))
-            pairs = (h + 2) // 2
-            near = n + pairs + COLLISION * self._tiny(n, pairs)
-            self.deletion.append(h > 0 and near < whole)
-            self.segments.append(pairs if self.deletion[-1] else m)
-            self.slack.append(z)
-        self.segments, self.slack, self.deletion = map(np.array, (self.segments, self.slack, self.deletion))
+        plans = [self._plan(h, n) for h, n in zip(self.differ.tolist(), self.low.tolist(), strict=False)]
+        self.segments, self.deletion, self.slack = map(np.array, zip(*plans, strict=True))
 
     @staticmethod
-    def _tiny(n: int, m: int) -> float:
-        """Expected segments with fewer than two of n elements dealt over m."""
-        mean = n / m
-        return m * math.exp(-mean) * (1 + mean)
-
-    def _whole(self, h: int, n: int) -> tuple[int, int]:
-        """The smallest m = h + 1 + z for which a set rarely has more than z tiny segments; z = 0 without one."""
-        for m in range(h + 1, min(2 * h, h + 200_000) + 1, max(1, h // 50)):
-            few = self._tiny(n, m)
-            if few + 3 * math.sqrt(few) <= m - h - 1:
-                return m, m - h - 1
-        return h + 1, 0
+    def _plan(h: int, n: int) -> tuple[int, int, int]:
+        """(segments, those with deletions, slack) of the least cost for differences of h and sizes from n."""
+        if not h:
+            return 1, 0, 0
+        pairs = (h + 2) // 2
+        tiny = _tiny(n / np.array([h + 1, pairs])) * [h + 1, pairs]
+        costs = {(h + 1, 0, 0): h + 1 + COLLISION * tiny[0], (pairs, pairs, 0): n + pairs + COLLISION * tiny[1]}
+        for m in np.unique(np.linspace(pairs, max(pairs, n // SMALLEST_MEAN), 40).astype(int)).tolist():
+            x = np.unique(np.linspace(0, m, 200).astype(int))
+            lost = (m + x) * _tiny(n / m)
+            enough = np.flatnonzero(m + x - h - 1 >= lost + 4 * np.sqrt(lost))
+            if len(enough):
+                deleted = int(x[enough[0]])
+                costs[m, deleted, m + deleted - h - 1] = m + deleted * n / m
+        return min(costs, key=lambda plan: (costs[plan], plan))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
 
+def _tiny(mean):
+    """The chance that a segment has fewer than two elements."""
+    return np.exp(-mean) * (1 + mean)
+
+
 def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(index entry, row) of all sets, in the spaces of their own band and the one below."""
     n = np.diff(at)
@@ -151,14 +151,14 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         np.add.at(sums, slot, value[element])
         held = np.bincount(slot, minlength=base[-1])
         owner = np.repeat(np.arange(len(rows)), m)
-        few = np.add.reduceat(held < 2, base[:-1])
-        near = bands.deletion[s]
-        use = (held >= 2) | (near | (few > bands.slack[s]))[owner]
         number = np.arange(base[-1]) - base[owner]
+        near = number < bands.deletion[s][owner]
+        lost = np.add.reduceat((held < 2) * (1 + near), base[:-1])
+        use = (held >= 2) | (lost > bands.slack[s])[owner]
         tag = mix((s[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
         out.append(mix(sums + tag)[use])
         owners.append(rows[owner[use]])
-        missing = near[turn]
+        missing = (near & use)[slot]
         at_slot = slot[missing]
         out.append(mix(sums[at_slot] - value[element[missing]] + tag[at_slot]))
         owners.append(rows[turn[missing]])
@@ -198,11 +198,11 @@ def _first_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> I
             d, n = set_digests(h, at), np.diff(at)
             new = np.array([x != 0 and x not in done and not done.add(x) for x in d.tolist()], bool)
             n, first, d = n[new], at[:-1][new], d[new]
-            p = np.minimum(n, n - -(-n * percent // 100) + 1 + n // 16)
+            p = np.minimum(n, n - -(-n * percent // 100) + 1 + n // 8)
             tokens.append(h[_ranges(first, p)])
             owners.append(np.repeat(np.arange(len(n)) + base, p))
             digests.append(d)
-            needed.append(-(-n * percent // 100) // 16 + 1)
+            needed.append(-(-n * percent // 100) // 8 + 1)
             base += len(n)
         if not base:
             continue
@@ -353,14 +353,14 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     mixed = labelled(labelled(stars, "d"), "leader").filter("c_d <> c_leader").select("entry").distinct()
     rest = stars.join(mixed, "entry", "left_semi")
     rest = rest.select("entry", "d").union(rest.select("entry", F.col("leader").alias("d"))).distinct()
-    rest = materialise(labelled(rest, "d").join(alive.select("d", "n", *SKETCH), "d"))
+    rest = materialise(labelled(rest, "d").join(alive.select("d", "n"), "d"))
     one, two = rest.alias("one"), rest.alias("two")
     open_pair = (F.col("one.entry") == F.col("two.entry")) & (F.col("one.d") < F.col("two.d"))
     open_pair = open_pair & (F.col("one.c_d") != F.col("two.c_d"))
-    more = one.join(two, open_pair & possible(F.col("one.n"), F.col("two.n"), "one", "two"))
-    more = more.select(F.col("one.d").alias("a"), F.col("two.d").alias("b")).distinct()
+    fits = 100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n")
+    more = one.join(two, open_pair & fits).select(F.col("one.d").alias("a"), F.col("two.d").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.join(tried, ["a", "b"], "left_anti")
+    more = sized(more.join(tried, ["a", "b"], "left_anti"))
     second = materialise(links(more))
 
     groups = found
