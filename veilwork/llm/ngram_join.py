@@ -353,14 +353,17 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     mixed = labelled(labelled(stars, "d"), "leader").filter("c_d <> c_leader").select("entry").distinct()
     rest = stars.join(mixed, "entry", "left_semi")
     rest = rest.select("entry", "d").union(rest.select("entry", F.col("leader").alias("d"))).distinct()
-    rest = materialise(labelled(rest, "d").join(alive.select("d", "n"), "d"))
+    # entries with the same members give the same pairs, so one of them is enough
+    members = rest.groupBy("entry").agg(F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("k"))
+    rest = rest.join(members.groupBy("x", "y", "k").agg(F.min("entry").alias("entry")).select("entry"), "entry", "left_semi")
+    rest = materialise(labelled(rest, "d").join(alive.select("d", "n", *SKETCH), "d"))
     one, two = rest.alias("one"), rest.alias("two")
     open_pair = (F.col("one.entry") == F.col("two.entry")) & (F.col("one.d") < F.col("two.d"))
     open_pair = open_pair & (F.col("one.c_d") != F.col("two.c_d"))
-    fits = 100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n")
-    more = one.join(two, open_pair & fits).select(F.col("one.d").alias("a"), F.col("two.d").alias("b")).distinct()
+    more = one.join(two, open_pair & possible(F.col("one.n"), F.col("two.n"), "one", "two"))
+    more = more.select(F.col("one.d").alias("a"), F.col("two.d").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = sized(more.join(tried, ["a", "b"], "left_anti"))
+    more = more.join(tried, ["a", "b"], "left_anti")
     second = materialise(links(more))
 
     groups = found
