@@ -6,7 +6,8 @@ stages but the last return the columns of ``documents``; the last returns one ro
 that the mix takes, with its number of copies and words.
 
 Rows with a null id stay in every filtering stage unless their text is a copy, low in quality or
-contaminated; an empty table passes through. ``ORACLE_SQL`` is None, as the classifier and the mix
+contaminated; an empty table passes through, and without trusted positives every document passes the
+classifier. ``ORACLE_SQL`` is None, as the classifier and the mix
 have no SQL form; the tests compare the stages with brute-force versions.
 """
 
@@ -25,7 +26,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.new_rows(docs, exact_dedup.DigestIndex(spark), keep="last")
+    index = exact_dedup.DigestIndex(spark)
+    kept = exact_dedup.new_rows(docs, index, keep="last")
+    index.drop()  # a run starts with an empty index; what is kept has been found
+    return kept
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,11 +204,24 @@ def test_digest_index_persists_and_appends(spark, tmp_path):
     again = exact_dedup.DigestIndex(spark, path, 4)
     batch = spark.createDataFrame([(7, "a", 1), (8, "b", 2), (9, "b", 3)], "doc_id long, text string, digest int")
     assert [tuple(r) for r in exact_dedup.new_rows(batch, again, keep="last").collect()] == [(9, "b", 3)]
-    assert again.table().count() == 3
+    assert again.table().select("digest").distinct().count() == 3
     plan = batch.select(F.unhex(exact_dedup.text_digest(F.col("text"))).alias("digest")).join(again.table().hint("merge"), "digest", "left_anti")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
 
 
+def test_a_batch_given_again_answers_as_before(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    exact_dedup.new_rows(docs(spark, [(1, "a"), (2, "b")]), index, batch="one").collect()
+    batch = docs(spark, [(3, "b"), (4, "c"), (5, "c"), (None, "d")])
+    exact_dedup.new_rows(batch, index, batch="two")  # its result is lost
+    size = index.table().count()
+    assert {r.doc_id for r in exact_dedup.new_rows(batch, index, batch="two").collect()} == {4, None}
+    assert index.table().count() == size
+    more = exact_dedup.exact_groups(docs(spark, [(8, "a"), (9, "a"), (None, "e")]), index=index, batch="three").collect()
+    assert {(r.id, r.keep_id, r.group_size, r.kept) for r in more} == {(8, 9, 3, False), (9, 9, 3, True), (None, None, 1, True)}
+    index.drop()
+
+
 def test_exact_groups_with_a_hot_digest(spark):
     rows = [(i, "hot" if i % 3 else f"t{i % 40}") for i in range(600)]
     got = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs(spark, rows)).collect()}
@@ -297,10 +310,20 @@ def test_quality_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
-def test_quality_without_positives_is_an_error(spark):
-    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
-    with pytest.raises(ValueError):
-        quality.fit_quality(docs(spark, EDGES), labels)
+def test_quality_without_positives_scores_alike(spark):
+    none = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, quality int")
+    elsewhere = spark.createDataFrame([(i, 1) for i in range(1000, 1020)], "doc_id long, quality int")
+    for labels in (none, none.limit(0), elsewhere):
+        model = quality.fit_quality(docs(spark, EDGES), labels)
+        assert {r.score for r in quality.score_quality(docs(spark, EDGES), model).collect()} == {0.5}
+        assert quality.keep_good(docs(spark, EDGES), model).count() == len(EDGES)
+
+
+def test_tracking_tags_do_not_block(spark):
+    urls = ["https://shop.org/p?utm_source=feed&ref=x", "https://shop.org/free-win/", "https://shop.org/casino", "https://casinos2.org/sexual", None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(df).orderBy("page_id").collect()] == ["allow", "block", "block", "allow", "allow", "allow"]
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
 def test_edge_rows_everywhere(spark, sf):

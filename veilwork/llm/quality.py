@@ -7,8 +7,9 @@ the labelled training fold. The fit sees bounded samples (``sample`` rows of eac
 hash of the id); scoring covers every row and whole texts, in Arrow batches.
 
 Defined cases: null and empty texts have all-zero statistics and get the score of those; repeated
-rows get equal scores; a training fold without positives raises ValueError; contradicting labels of
-one id count as the lower; extra columns pass through unread.
+rows get equal scores; without a positive in the training fold that has a text (or without any
+document) nothing can be learnt and every row scores 0.5; contradicting labels of one id count as the
+lower; extra columns pass through unread.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"#$%&
 N_FEATURES = 2 * (len(_CLASSES) + 6)
 
 
+#: Scores every text 0.5.
+NEUTRAL = (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
+
+
 def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Statistics of each row (rows x N_FEATURES): shares of byte classes and repetition, linear and as square roots."""
     rows = len(offsets) - 1
@@ -112,7 +117,7 @@ def fit_quality(
     train = train.filter(fold(F.col("id")) != 0).groupBy("id").agg(F.min("y").alias("y"))
     prior = train.agg(F.avg("y")).first()[0]
     if not prior:
-        raise ValueError("the training fold has no positives")
+        return NEUTRAL
     order = F.xxhash64("id")
     chosen_p = train.filter("y = 1").orderBy(order, "id").limit(sample).select("id", F.lit(1).alias("kind"))
     every = docs.select(key.alias("id")).filter("id IS NOT NULL").distinct()
@@ -131,6 +136,8 @@ def fit_quality(
     rows = sorted(seen.collect(), key=lambda r: (r.kind, r.id))
     x = np.array([r.x for r in rows], float).reshape(len(rows), N_FEATURES)
     kind = np.array([r.kind for r in rows])
+    if not (kind == 1).any():
+        return NEUTRAL
     return nnpu_fit(x[kind == 1], x[kind == 0], min(float(prior), 0.99))
 
 

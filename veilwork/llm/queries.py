@@ -59,7 +59,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

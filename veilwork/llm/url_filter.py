@@ -26,14 +26,19 @@ DEFAULT_RULES = (
     ("net", "/fr/", "block"),
 )
 
+#: Terms that reject a URL alone, and the weights of terms that reject in company; tracking tags are in neither.
+_STRICT = (
+    "porn porno pornhub xxx hentai milf camgirl camgirls webcamsex escort escorts callgirl nsfw nude nudes onlyfans fetish bdsm "
+    "casino casinos jackpot roulette blackjack sportsbook viagra cialis tramadol xanax oxycodone warez keygen nulled malware phishing "
+    "botnet cracked serials"
+)
+_SOFT = {
+    0.5: "adult sex sexy erotic naked bet bets betting poker slots gambling lottery loan loans payday dating hookup singles torrent torrents "
+         "crack hack hacks pills pharmacy replica steroids bitcoin forex ringtones spyware proxy",
+    0.25: "cheap discount coupon free win winner prize bonus deal deals clearance giveaway download downloads",
+}
 #: Term, weight; a weight of 1 or more is strict.
-DEFAULT_VOCABULARY = (
-    ("porn", 1.0), ("xxx", 1.0), ("hentai", 1.0), ("escort", 1.0), ("casino", 1.0), ("viagra", 1.0),
-    ("warez", 1.0), ("malware", 1.0),
-    ("adult", 0.5), ("sex", 0.5), ("bet", 0.5), ("poker", 0.5), ("loan", 0.5), ("dating", 0.5),
-    ("torrent", 0.5), ("crack", 0.5), ("free", 0.25), ("cheap", 0.25), ("win", 0.25), ("feed", 0.25),
-    ("ref", 0.25), ("utm", 0.25),
-)
+DEFAULT_VOCABULARY = tuple([(t, 1.0) for t in _STRICT.split()] + [(t, w) for w, terms in _SOFT.items() for t in terms.split()])
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
