@@ -210,3 +210,108 @@ def test_knn_keeps_the_smallest_ids_of_many_copies(spark, rule, far):
     for block in (j.BLOCK, 300):
         got = j.knn(vectors(spark, priv), vectors(spark, cand), 3, rule, far, block)
         assert {(r.id, r.cand_id) for r in got.collect()} == want
+
+
+def test_weight_update_by_hand(spark):
+    theta = spark.createDataFrame([(0, 0, 1.0, False), (0, 1, 2.0, False), (0, 2, 1.0, True), (0, 3, 3.0, True)], "source_model long, idx long, theta double, is_real boolean")
+    rows = [(0, 0, 0, [0.7, 0.3]), (0, 0, 1, [0.4, 0.6]), (0, 0, 2, [0.9, 0.1]), (0, 0, 3, [0.2, 0.8])]
+    scores = spark.createDataFrame([(m, s, i, 0, p, int(p[1] > p[0])) for m, s, i, p in rows], "model_id long, source_model long, idx long, label int, prob array<double>, pred int")
+    factor = [0.5**0.3, 0.5**-0.6, 0.5**0.1, 0.5**-0.8]  # a wrong row grows
+    want = [t * f for t, f in zip([1, 2, 1, 3], factor)]
+    want = [w * 7 / sum(want) for w in want]
+    got = {r.idx: r.theta for r in a.weight_update(theta, scores, 0.5).collect()}
+    assert all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
+    odds = (1 * 0.1 + 3 * 0.8) / 4
+    odds = odds / (1 - odds)
+    odds = 1 / odds if odds > 1 else odds
+    want = [0.5**0.3, 2 * 0.5**-0.6, odds**-0.1, 3 * odds**-0.8]
+    want = [w * 7 / sum(want) for w in want]
+    got = {r.idx: r.theta for r in a.weight_update(theta, scores, 0.5, real="is_real").collect()}
+    assert all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
+
+
+def test_client_scores_without_clipping_are_the_mean_similarity(spark):
+    sim = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 1.0), ("b", 2, 5.0)], "party string, cand_id long, similarity double")
+    assert {r.cand_id: r.score for r in a.client_scores(sim, clip=False).collect()} == {1: 1.5, 2: 4.5}
+
+
+def test_exact_dedup_keeps_rows_that_only_look_alike(spark):
+    from veilwork.operators import sets
+
+    rows = [(1, "a\x1f", "b"), (2, "a", "\x1fb"), (3, None, "c"), (4, "\x00", "c"), (5, None, "c"), (6, "1:a", ""), (7, "1", ":a")]
+    df = spark.createDataFrame(rows, "id long, x string, y string")
+    assert sorted(r.id for r in sets.exact_dedup(df, ["x", "y"], "id").collect()) == [1, 2, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("pool,k", [(20, 20), (5, 5), (40, 3)])
+def test_few_shots_are_never_short(spark, pool, k):
+    from veilwork.operators import sampling
+
+    prompts = spark.range(300).withColumnRenamed("id", "prompt_id")
+    got = sampling.few_shot_ids(prompts, pool, k, "s").toPandas()
+    assert (got.groupby("prompt_id").position.nunique() == k).all() and got.prompt_id.nunique() == 300
+
+
+def test_skewed_quotas(spark):
+    from veilwork.operators import sampling
+
+    for seed in range(20):
+        q = sampling.skewed_quotas({"a": 100, "b": 30, "c": 200}, 150, seed)
+        assert sum(q.values()) == 150 and q["b"] <= 30 and max(q.values()) >= 2 * max(min(q.values()), 1)
+    with pytest.raises(ValueError):
+        sampling.skewed_quotas({"a": 10, "b": 10}, 20, 1)
+
+
+def test_novelty_rejects_what_cannot_be_compared(spark):
+    from veilwork.operators import filters
+
+    rows = [(1, "some new words", 1, "others entirely"), (2, "!!", 1, "??"), (3, "x", 1, "yy"), (4, "same words here", 1, "same words here"),
+            (5, "fine text", 1, "!!"), (6, None, 1, "aa")]
+    df = spark.createDataFrame(rows, "id long, text string, seed_id long, seed_text string")
+    assert sorted(r.id for r in filters.novelty_filter(df).collect()) == [1, 5]
+
+
+def test_merge_of_files_with_equal_names(spark, tmp_path):
+    from veilwork.sources import readers
+
+    for folder, text in (("a", '{"instruction": "i1", "response": "r1"}\n\n{"instruction": "i2"}\n'), ("b", ' [{"instruction": "i3", "response": "r3"}]\n')):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.json").write_text(text)
+    (tmp_path / "b" / "other.json").write_text('{"instruction": "i4"}')
+    got = readers.merge_by_file_name(spark, str(tmp_path)).select("file_name", "instruction", "response").collect()
+    assert sorted(map(tuple, got), key=str) == [
+        ("other.json", "i4", None), ("part.json", "i1", "r1"), ("part.json", "i2", None), ("part.json", "i3", "r3")]
+
+
+def test_fusion_round_by_its_parts(spark, sf):
+    from veilwork.cases._case import scores, split_embeddings
+    from veilwork.plans import rounds
+
+    private, cand = split_embeddings(spark, sf)
+    out = {k: v.toPandas() for k, v in rounds.fusion_round(private, cand, scores(spark, sf), 600, 3, 0.0, "s").items()}
+    p, c = private.toPandas(), cand.toPandas()
+    for far, name in ((False, "near"), (True, "far")):
+        votes = dict.fromkeys(c.id, 0.0)
+        for r in p.itertuples():
+            own = c[c.label == r.label]
+            d = [(np.linalg.norm(np.array(r.embedding, float) - np.array(e, float)), i) for e, i in zip(own.embedding, own.id)]
+            for k, (_, i) in enumerate(sorted(d, key=lambda x: (-x[0] if far else x[0], x[1]))[:3]):
+                votes[i] += 2.0**-k
+        want = {i for _, g in c.groupby("label") for i in sorted(g.id, key=lambda i: (-votes[i], i))[:3]}
+        assert set(out[name].cand_id) == want
+        if not far:
+            share = {m: sum(votes[i] for i in g.id) / sum(votes.values()) * len(c) / len(g) for m, g in c.groupby("source_model")}
+            e = {m: np.exp(x) for m, x in share.items()}
+            exact = {m: 600 * x / sum(e.values()) for m, x in e.items()}
+            assert sum(out["quota"].quota) == 600 and all(abs(q - exact[m]) < 1 for m, q in zip(out["quota"].source_model, out["quota"].quota))
+    assert set(out["pool"].kind) == {"easy", "ambiguous"} and (out["pool"].groupby(["source_model", "kind"]).size() <= 60).all()
+
+
+def test_class_feedback_gives_each_class_its_quota(spark, sf):
+    from veilwork.cases._case import split_embeddings
+    from veilwork.plans import rounds
+
+    private, cand = split_embeddings(spark, sf)
+    got, c = rounds.class_feedback_round(private, cand, 3, 5.0, 2.0, "s").toPandas(), cand.toPandas()
+    assert (got.groupby("label").size() == 3).all() and not got.id.duplicated().any()
+    assert set(zip(got.id, got.label)) <= set(zip(c.id, c.label)) and set(got["round"]) == {0, 1, 2}

@@ -103,14 +103,14 @@ def candidates(spark, d):
     return docs.select(
         F.col("source").alias("question"),
         F.col("doc_id").alias("pos"),
-        F.substring("text", 1, 60).alias("response"),
+        F.col("text").alias("response"),
         u("doc_id", 1).alias("reward"),
         (1 + 9 * u("doc_id", 2)).alias("ppl"),
     )
 
 
 CAND_SQL = f"""answers AS (
-  SELECT source AS question, doc_id AS pos, substr(text, 1, 60) AS response, {u_sql('doc_id', '1')} AS reward,
+  SELECT source AS question, doc_id AS pos, text AS response, {u_sql('doc_id', '1')} AS reward,
     1 + 9 * {u_sql('doc_id', '2')} AS ppl FROM documents)"""
 
 

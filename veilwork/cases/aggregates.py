@@ -103,7 +103,17 @@ def a9(spark, d):
 CLIENT_SQL = f"""{SIM_SQL}, st AS (SELECT party, avg(similarity) AS m, stddev_pop(similarity) AS s FROM sim GROUP BY party),
 z AS (SELECT party, cand_id, CASE WHEN s > 0 THEN (similarity - m) / s ELSE 0 END AS z FROM sim JOIN st USING (party)),
 zn AS (SELECT party, sqrt(sum(z * z)) AS nz FROM z GROUP BY party),
-cs AS (SELECT cand_id, sum(z / greatest(nz, 1.0)) / (SELECT count(*) FROM st) AS score, sum(z) / (SELECT count(*) FROM st) AS plain FROM z JOIN zn USING (party) GROUP BY cand_id)"""
+cs AS (SELECT cand_id, sum(z / greatest(nz, 1.0)) / (SELECT count(*) FROM st) AS score, (SELECT sum(similarity) FROM sim WHERE sim.cand_id = z.cand_id) / (SELECT count(*) FROM st) AS plain FROM z JOIN zn USING (party) GROUP BY cand_id)"""
+
+
+@case("a9_other_portions", """WITH s AS (SELECT source AS source_model, sum(n_chars)::DOUBLE AS importance, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS c FROM documents GROUP BY source),
+x AS (SELECT *, floor(round(importance / (SELECT sum(importance) FROM s) * 777, 9)) AS f, floor(777 / c) AS e FROM s)
+SELECT 'round_robin' AS portion, source_model, f::BIGINT + (k <= 777 - (SELECT sum(f) FROM x))::BIGINT AS quota FROM x
+UNION ALL SELECT 'balance', source_model, e::BIGINT + (k <= 777 - (SELECT sum(e) FROM x))::BIGINT FROM x""")
+def a9_other(spark, d):
+    s = read(spark, d, "documents").groupBy(F.col("source").alias("source_model")).agg(F.sum("n_chars").cast("double").alias("importance"))
+    one, two = (a.apportion_by_importance(s, 777, portion=p).select(F.lit(p).alias("portion"), "source_model", "quota") for p in ("round_robin", "balance"))
+    return one.unionByName(two)
 
 
 @case("a10_client_scores", f"WITH {EMB_SQL}, {CLIENT_SQL} SELECT cand_id, round(score, 6) AS score, round(plain, 6) AS plain FROM cs")
@@ -376,19 +386,41 @@ def theta(spark, d):
     return scores(spark, d).filter("model_id = 0").select("source_model", "idx", (1 + u("idx", 7)).alias("theta"))
 
 
-for _mode, _wrong in (("error", False), ("loss", True)):
+for _mode in ("error", "loss"):
+    for _wrong in (False, True):
 
-    def _weights(mode, wrong):
-        x = {"error": "abs(1 - prob[label + 1])", "loss": "-ln(prob[label + 1])"}[mode]
-        x = f"CASE WHEN pred <> label THEN {x} ELSE 0 END" if wrong else x
+        def _weights(mode, wrong):
+            x = {"error": "1 - prob[label + 1]", "loss": "-ln(prob[label + 1])"}[mode]
+            right = "1.0" if wrong else f"pow(0.8, {x})"
 
-        @case(f"a35_weight_update_{mode}" + "_only_wrong" * wrong, f"""WITH {SCORES_SQL}, s AS (SELECT source_model, idx, exp(sum(({x}) * ln(0.8))) AS s FROM scores GROUP BY ALL),
+            @case(f"a35_weight_update_{mode}" + "_only_wrong" * wrong, f"""WITH {SCORES_SQL}, s AS (SELECT source_model, idx, product(CASE WHEN pred = label THEN {right} ELSE 1 / pow(0.8, {x}) END) AS s FROM scores GROUP BY ALL),
 t AS (SELECT source_model, idx, 1 + {u_sql('idx', '7')} AS theta FROM scores WHERE model_id = 0), n AS (SELECT *, theta * s AS t2 FROM t JOIN s USING (source_model, idx))
 SELECT source_model, idx, round(t2 * sum(theta) OVER (PARTITION BY source_model) / sum(t2) OVER (PARTITION BY source_model), 6) AS theta FROM n""")
-        def run(spark, d):
-            return a.weight_update(theta(spark, d), scores(spark, d), 0.8, mode, wrong).withColumn("theta", r6("theta"))
+            def run(spark, d):
+                return a.weight_update(theta(spark, d), scores(spark, d), 0.8, mode, wrong).withColumn("theta", r6("theta"))
+
+        _weights(_mode, _wrong)
+
+
+_REAL = "idx % 4 = 1"
+
+
+def _real_sql() -> str:
+    """Models in turn, each with the odds of the weighted error of the real rows at that moment."""
+    out, last = [], "t0"
+    for m in range(4):
+        out.append(f"""m{m} AS (SELECT {last}.*, abs(1 - prob[label + 1]) AS er, pred = label AS ok FROM {last} JOIN scores USING (source_model, idx) WHERE model_id = {m}),
+o{m} AS (SELECT source_model, q / (1 - q) AS o FROM (SELECT source_model, sum(w * er) / sum(w) AS q FROM m{m} WHERE {_REAL} GROUP BY source_model)),
+t{m + 1} AS (SELECT source_model, idx, theta, w * CASE WHEN {_REAL} THEN pow(CASE WHEN o > 1 THEN 1 / o ELSE o END, -er) WHEN ok THEN pow(0.8, er) ELSE pow(0.8, -er) END AS w FROM m{m} JOIN o{m} USING (source_model))""")
+        last = f"t{m + 1}"
+    return f"""WITH {SCORES_SQL}, t0 AS (SELECT source_model, idx, 1 + {u_sql('idx', '7')} AS theta, 1 + {u_sql('idx', '7')} AS w FROM scores WHERE model_id = 0), {', '.join(out)}
+SELECT source_model, idx, round(w * sum(theta) OVER (PARTITION BY source_model) / sum(w) OVER (PARTITION BY source_model), 6) AS theta FROM {last}"""
+
 
-    _weights(_mode, _wrong)
+@case("a35_weight_update_real", _real_sql())
+def a35_real(spark, d):
+    rows = theta(spark, d).withColumn("is_real", F.expr(_REAL))
+    return a.weight_update(rows, scores(spark, d), 0.8, real="is_real").withColumn("theta", r6("theta"))
 
 
 @case("a36_source_accuracy", f"WITH {SCORES_SQL} SELECT model_id, round(avg((pred = label)::INT), 6) AS accuracy FROM scores GROUP BY model_id")
@@ -401,11 +433,11 @@ def a38(spark, d):
     return a.length_stats(read(spark, d, "documents"), "lang").withColumn("mean_length", r6("mean_length"))
 
 
-@case("a39_budget_ledger", """WITH q AS (SELECT 8 + (vec_id % 5) AS sigma FROM embeddings WHERE vec_id % 45 = 0), o AS (SELECT unnest(range(11, 1010)) / 10.0::DOUBLE AS a),
+@case("a39_budget_ledger", """WITH q AS (SELECT 8 + (vec_id % 5) AS sigma FROM embeddings), o AS (SELECT unnest(range(11, 1010)) / 10.0::DOUBLE AS a),
 t AS (SELECT sum(1 / (2.0 * sigma * sigma)) AS t FROM q), e AS (SELECT a, a * t + ln((a - 1) / a) - (ln(3e-6) + ln(a)) / (a - 1) AS epsilon FROM o, t)
 SELECT a AS "order", round(epsilon, 6) AS epsilon FROM e ORDER BY e.epsilon LIMIT 1""")
 def a39(spark, d):
-    q = read(spark, d, "embeddings").filter("vec_id % 45 = 0").select((8 + F.col("vec_id") % 5).cast("double").alias("sigma"))
+    q = read(spark, d, "embeddings").select((8 + F.col("vec_id") % 5).cast("double").alias("sigma"))
     return a.budget_ledger(q, 3e-6).withColumn("epsilon", r6("epsilon"))
 
 

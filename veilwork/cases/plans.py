@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as a
@@ -11,7 +13,7 @@ from ..plans import rounds as p
 from ..sources.tables import fresh_path
 from ..streaming.rounds import vote_stream
 from ._case import EMB_SQL, SEED, candidates, case, pairs, r6, scores, split_embeddings, u_sql
-from .aggregates import CLIENT_SQL
+from .aggregates import CLIENT_SQL, HIST_SQL
 from .selection import BW_SQL
 
 
@@ -56,7 +58,11 @@ def l4(spark, d):
 def l5(spark, d):
     pr, c = split_embeddings(spark, d)
     out = p.fusion_round(pr, c, scores(spark, d), 600, 3, 0.5, SEED)
-    return out["quota"]
+    none = F.lit(None)
+    rows = [out["quota"].select(F.lit("quota").alias("part"), "source_model", none.cast("long").alias("label"), none.cast("long").alias("id"), F.col("quota").cast("double").alias("value"))]
+    rows += [out[k].select(F.lit(k).alias("part"), "source_model", "label", F.col("cand_id").alias("id"), F.col("votes").alias("value")) for k in ("near", "far")]
+    rows.append(out["pool"].select(F.col("kind").alias("part"), "source_model", none.cast("long").alias("label"), F.col("idx").alias("id"), F.col("variability").alias("value")))
+    return reduce(lambda x, y: x.unionByName(y), rows)
 
 
 REVISED_SQL = f"rev AS (SELECT question, 'revised ' || response AS response, {u_sql('pos', '9')} AS reward FROM answers WHERE pos % 3 = 0)"
@@ -97,7 +103,7 @@ def l9(spark, d):
     return p.corpus_report(c, pr).withColumn("value", r6("value"))
 
 
-@case("stream_votes", f"""WITH {EMB_SQL} SELECT id AS cand_id, 0 AS round FROM cand""")
+@case("stream_votes", f"WITH {HIST_SQL} SELECT cand_id, votes, round(mean_dist, 6) AS mean_dist, 0 AS round FROM hist")
 def stream(spark, d):
     pr, c = split_embeddings(spark, d)
     source = fresh_path(spark, "arriving")
@@ -105,6 +111,6 @@ def stream(spark, d):
     arriving = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     path = fresh_path(spark, "votes")
     vote_stream(arriving, pr, path, fresh_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path).select("cand_id", "round")
+    return spark.read.parquet(path).select("cand_id", "votes", r6("mean_dist").alias("mean_dist"), "round")
 
 

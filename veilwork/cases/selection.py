@@ -59,11 +59,11 @@ def w6(spark, d):
     return s.last_rounds(read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 30).alias("round")), 5).select("vec_id", "round")
 
 
-LOG_SQL = "lg AS (SELECT user_id % 6 AS run, event_id // 6 AS step, round(max(value), 3) AS value FROM events WHERE event_id < 600 GROUP BY ALL)"
+LOG_SQL = "lg AS (SELECT user_id % 6 AS run, event_id // 6 AS step, round(max(value), 3) AS value FROM events GROUP BY ALL)"
 
 
 def log(spark, d):
-    e = read(spark, d, "events").filter("event_id < 600")
+    e = read(spark, d, "events")
     return e.groupBy((F.col("user_id") % 6).alias("run"), F.floor(F.col("event_id") / 6).alias("step")).agg(F.round(F.max("value"), 3).alias("value"))
 
 
@@ -79,6 +79,12 @@ def a37(spark, d):
     return a.best_of_run(log(spark, d))
 
 
+@case("a37_mean_over_seeds", "SELECT user_id % 6 AS run, event_type, round(avg(value), 6) AS value, round(avg(event_id), 6) AS step FROM (SELECT user_id, event_type, value, event_id::DOUBLE AS event_id FROM events) GROUP BY ALL")
+def a37_seeds(spark, d):
+    e = read(spark, d, "events").select((F.col("user_id") % 6).alias("run"), "event_type", "value", F.col("event_id").cast("double").alias("step"))
+    return a.mean_over_seeds(e, ["run", "event_type"], ["value", "step"]).withColumns({"value": r6("value"), "step": r6("step")})
+
+
 @case("w8_interleave", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents),
 k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM documents GROUP BY lang)) SELECT doc_id, lang, turn FROM r, k WHERE turn <= k""")
 def w8(spark, d):
@@ -217,23 +223,23 @@ def u2(spark, d):
     return sets.exact_dedup(read(spark, d, "documents").select("doc_id", "text"), ["text"], "doc_id").select("doc_id")
 
 
-@case("u3_grow_pool", "SELECT doc_id, lang, NULL::VARCHAR AS source FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, NULL, source FROM documents WHERE doc_id % 4 = 1")
+@case("u3_grow_pool", "SELECT doc_id, lang, NULL::VARCHAR AS source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, source FROM documents WHERE doc_id % 2 = 1")
 def u3(spark, d):
     docs = read(spark, d, "documents")
-    return sets.grow_pool(docs.filter("doc_id % 4 = 1").select("doc_id", "source"), docs.filter("doc_id % 4 = 0").select("doc_id", "lang"))
+    return sets.grow_pool(docs.filter("doc_id % 2 = 1").select("doc_id", "source"), docs.filter("doc_id % 2 = 0").select("doc_id", "lang"))
 
 
-@case("u4_fill_to", "WITH r AS (SELECT doc_id AS idx, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS c FROM documents WHERE lang = 'es') SELECT idx, t::INT AS turn FROM r, (SELECT unnest(range(50)) AS t) WHERE t * c + i < 2345")
+@case("u4_fill_to", "WITH r AS (SELECT doc_id AS idx, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS c FROM documents), t AS (SELECT unnest(range(4)) AS t) SELECT idx, t::INT AS turn FROM r, t WHERE t * c + i < (7 * c) // 2")
 def u4(spark, d):
-    docs = read(spark, d, "documents").filter("lang = 'es'").select(F.col("doc_id").alias("idx"))
-    return sets.fill_to(docs, 2345).select("idx", "turn")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"))
+    return sets.fill_to(docs, 7 * docs.count() // 2).select("idx", "turn")
 
 
-@case("u5_merge_operator_outputs", """WITH o AS (SELECT doc_id, ['elite', 'rewrite_a', 'rewrite_b', 'cross', 'fresh'][doc_id % 5 + 1] AS origin FROM documents WHERE doc_id % 11 <> 0),
+@case("u5_merge_operator_outputs", """WITH o AS (SELECT doc_id, ['elite', 'rewrite_a', 'rewrite_b', 'cross', 'fresh'][doc_id % 5 + 1] AS origin FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY doc_id) AS turn FROM o), k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM o GROUP BY origin))
 SELECT doc_id, origin, turn FROM r, k WHERE turn <= k""")
 def u5(spark, d):
-    docs = read(spark, d, "documents").filter("doc_id % 11 <> 0").select("doc_id")
+    docs = read(spark, d, "documents").select("doc_id")
     names = ["elite", "rewrite_a", "rewrite_b", "cross", "fresh"]
     return sets.merge_operator_outputs({n: docs.filter(F.col("doc_id") % 5 == i) for i, n in enumerate(names)}, "doc_id").select("doc_id", "origin", "turn")
 
@@ -335,12 +341,12 @@ def m12(spark, d):
     return shots(spark, d)
 
 
-@case("p12_few_shot_prompt", f"""WITH {SHOT_SQL}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, substr(text, 1, 80) AS text FROM documents)
+@case("p12_few_shot_prompt", f"""WITH {SHOT_SQL}, p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, text FROM documents)
 SELECT prompt_id, 'Write one more.' || chr(10) || string_agg('Example: ' || replace(replace(text, chr(10), ' '), chr(9), ' '), chr(10) ORDER BY draw) AS prompt FROM shots JOIN p USING (position) GROUP BY prompt_id""")
 def p12(spark, d):
     from ..functions import text as t
 
-    docs = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("text"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
     pool = s.reindex(docs, ["doc_id"], "position")
     return t.few_shot_prompt(shots(spark, d).join(pool, "position"), "Write one more.")
 

@@ -9,14 +9,15 @@ from ..sources.tables import fresh_path
 from ._case import PAIRS_SQL, case, pairs, read
 
 
-@case("s1_read_text_array", "SELECT doc_id % 4 AS part, text FROM documents WHERE doc_id % 2 = 0")
+@case("s1_read_text_array", "SELECT doc_id % 2 AS part, text FROM documents")
 def s1(spark, d):
-    docs = read(spark, d, "documents").filter("doc_id % 2 = 0")
+    docs = read(spark, d, "documents")
+    files = docs.count() // 2000 + 1  # arrays of bounded size
     path = fresh_path(spark, "arrays")
-    lists = docs.groupBy((F.col("doc_id") % 4).alias("part")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])).alias("value"))
-    lists.repartition("part").write.partitionBy("part").text(path)
-    return r.read_text_array(spark, f"{path}/part=0").select(F.lit(0).cast("long").alias("part"), "text").unionByName(
-        r.read_text_array(spark, f"{path}/part=2").select(F.lit(2).cast("long").alias("part"), "text"))
+    lists = docs.groupBy((F.col("doc_id") % 2).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])).alias("value"))
+    lists.repartition("part", "file").select("part", "value").write.option("maxRecordsPerFile", 1).partitionBy("part").text(path)
+    one, two = (r.read_text_array(spark, f"{path}/part={k}").select(F.lit(k).cast("long").alias("part"), "text") for k in (0, 1))
+    return one.unionByName(two)
 
 
 @case("s2_read_jsonl", """SELECT doc_id AS idx, text AS "C", CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS "X", (doc_id % 5)::INT AS "Y", doc_id % 2 = 0 AS is_syn, NULL::VARCHAR AS _corrupt_record FROM documents
@@ -30,9 +31,9 @@ def s2(spark, d):
     return r.read_jsonl(spark, path)
 
 
-@case("s3_read_client_map", "SELECT lang || (doc_id % 3) AS client_id, (row_number() OVER (PARTITION BY lang, doc_id % 3 ORDER BY doc_id) - 1)::INT AS pos, substr(text, 1, 60) AS text FROM documents")
+@case("s3_read_client_map", "SELECT lang || (doc_id % 3) AS client_id, (row_number() OVER (PARTITION BY lang, doc_id % 3 ORDER BY doc_id) - 1)::INT AS pos, text FROM documents")
 def s3(spark, d):
-    docs = read(spark, d, "documents").select(F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("client"), "doc_id", F.substring("text", 1, 60).alias("text"))
+    docs = read(spark, d, "documents").select(F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("client"), "doc_id", "text")
     lists = docs.groupBy("client").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("v"))
     path = fresh_path(spark, "clients")
     lists.select(F.to_json(F.create_map("client", "v")).alias("value")).repartition(12, "value").write.option("maxRecordsPerFile", 1).text(path)

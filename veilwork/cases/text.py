@@ -66,12 +66,12 @@ def cut_output(spark, d):
     return docs.select("doc_id", t.cut_output(x, min_words=8).alias("cut"))
 
 
-@case("p6_cut_question", f"""WITH g AS (SELECT doc_id, replace(substr(text, 1, 200), '.', '?') AS x, substr(text, 3, 4) AS a FROM documents),
+@case("p6_cut_question", f"""WITH g AS (SELECT doc_id, replace(text, '.', '?') AS x, substr(text, 3, 4) AS a FROM documents),
 c AS (SELECT doc_id, a, CASE WHEN contains(x, '?') THEN {TRIM("split_part(x, '?', 1) || '?'")} END AS cut FROM g)
 SELECT doc_id, CASE WHEN cut <> '' AND len(string_split(cut, ' ')) >= 3 AND NOT contains(lower(cut), lower(a)) THEN cut END AS cut FROM c""")
 def cut_question(spark, d):
     docs = read(spark, d, "documents")
-    x = F.replace(F.substring("text", 1, 200), F.lit("."), F.lit("?"))
+    x = F.replace(F.col("text"), F.lit("."), F.lit("?"))
     return docs.select("doc_id", t.cut_question(x, F.substring("text", 3, 4), 3).alias("cut"))
 
 
@@ -118,16 +118,16 @@ def chat(spark, d):
 
 
 @case("p11_split_preference_pair", """WITH p AS (
-  SELECT doc_id, 'Shared: ' || substr(text, 1, 80) AS a, 'Shared: ' || substr(lag(text) OVER (PARTITION BY source ORDER BY doc_id), 1, 80) AS b FROM documents),
-l AS (SELECT *, list_max([i FOR i IN range(0, least(len(a), len(b)) + 1) IF left(a, i) = left(b, i)]) AS n FROM p WHERE b IS NOT NULL)
+  SELECT doc_id, 'Shared: ' || text AS a, 'Shared: ' || lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
+l AS (SELECT *, coalesce(list_min([i FOR i IN range(0, least(len(a), len(b))) IF a[i + 1] <> b[i + 1]]), least(len(a), len(b))) AS n FROM p WHERE b IS NOT NULL)
 SELECT doc_id, substr(a, 1, n) AS history, substr(a, n + 1) AS chosen_answer, substr(b, n + 1) AS rejected_answer FROM l""")
 def preference(spark, d):
     from pyspark.sql import Window as W
 
     docs = read(spark, d, "documents")
     b = F.lag("text").over(W.partitionBy("source").orderBy("doc_id"))
-    p = docs.select("doc_id", F.concat(F.lit("Shared: "), F.substring("text", 1, 80)).alias("a"),
-                    F.concat(F.lit("Shared: "), F.substring(b, 1, 80)).alias("b")).filter("b IS NOT NULL")
+    p = docs.select("doc_id", F.concat(F.lit("Shared: "), "text").alias("a"),
+                    F.concat(F.lit("Shared: "), b).alias("b")).filter("b IS NOT NULL")
     cols = t.split_preference_pair(F.col("a"), F.col("b"))
     return p.select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
@@ -157,15 +157,15 @@ def truncate(spark, d):
     return read(spark, d, "documents").select("doc_id", t.truncate_tokens(F.col("text"), 12).alias("text"))
 
 
-@case("p17_blank_tokens", f"""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:30] AS w FROM documents),
+@case("p17_blank_tokens", f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM w)
 SELECT doc_id, string_agg(CASE WHEN {u_sql('doc_id', 'i')} < 0.3 THEN '_' ELSE token END, ' ' ORDER BY i) AS text FROM e GROUP BY doc_id""")
 def blank(spark, d):
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", t.blank_tokens(t.truncate_tokens(F.col("text"), 30), F.col("doc_id"), 0.3, SEED).alias("text"))
+    return docs.select("doc_id", t.blank_tokens(F.col("text"), F.col("doc_id"), 0.3, SEED).alias("text"))
 
 
-@case("p18_mask_positions", f"""WITH w AS (SELECT doc_id % 50 AS batch, doc_id AS id, string_split(text, ' ')[1:40] AS w FROM documents),
+@case("p18_mask_positions", f"""WITH w AS (SELECT doc_id % 50 AS batch, doc_id AS id, string_split(text, ' ') AS w FROM documents),
 e AS (SELECT batch, id, unnest(w) AS token, unnest(range(len(w)))::INT AS pos FROM w),
 k AS (SELECT * FROM e WHERE token <> 'the'),
 m AS (SELECT batch, floor(min(c) * 0.15) AS m FROM (SELECT batch, id, count(*) AS c FROM k GROUP BY ALL) GROUP BY batch),
@@ -173,18 +173,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {u_sql('id', 'pos')}
 SELECT id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM r JOIN m USING (batch) WHERE draw <= m GROUP BY id""")
 def mask(spark, d):
     docs = read(spark, d, "documents").select(
-        (F.col("doc_id") % 50).alias("batch"), F.col("doc_id").alias("id"), F.slice(t.words(F.col("text")), 1, 40).alias("tokens"))
+        (F.col("doc_id") % 50).alias("batch"), F.col("doc_id").alias("id"), t.words(F.col("text")).alias("tokens"))
     out = t.mask_positions(docs, 0.15, SEED, special=("the",))
     return out.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
-_SPANS = """w AS (SELECT doc_id AS id, string_split(text, ' ')[1:90] AS w FROM documents),
+_SPANS = """w AS (SELECT doc_id AS id, string_split(text, ' ') AS w FROM documents),
 s AS (SELECT id, w, unnest(range(greatest(ceil((len(w) - 32) / 16.0)::INT + 1, 1))) AS win FROM w),
 spans AS (SELECT id, win::INT AS window, (win * 16)::INT AS start, w[win * 16 + 1:win * 16 + 32] AS tokens FROM s)"""
 
 
 def _spans(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.slice(t.words(F.col("text")), 1, 90).alias("tokens"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), t.words(F.col("text")).alias("tokens"))
     return t.sliding_spans(docs, 32, 16)
 
 

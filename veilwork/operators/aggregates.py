@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..functions import vectors as v
+from ..sources.tables import materialise
 from .joins import matrix
 
 
@@ -77,21 +78,28 @@ def apportion(scores: DataFrame, total: int, temperature: float = 1.0, source="s
     return largest_remainder(soft, F.round(F.col("__p") * total, 9), total, source).drop("__e", "__p")
 
 
-def apportion_by_importance(df: DataFrame, total: int, source="source_model", importance="importance") -> DataFrame:
-    """floor(total * share); the rest goes to the most important, one each."""
+def apportion_by_importance(df: DataFrame, total: int, source="source_model", importance="importance", portion: str = "importance") -> DataFrame:
+    """floor(total * share), and the rest one each: ``importance`` gives it to the most important sources,
+    ``round_robin`` to the first ones in order; ``balance`` gives all sources the same share, the rest to the first ones."""
     share = F.col(importance) / F.sum(importance).over(W.partitionBy())
-    return largest_remainder(df, F.round(share * total, 9), total, source, [F.col(importance).desc()])
+    exact = F.round(share * total, 9) if portion != "balance" else F.lit(float(total)) / F.count(F.lit(1)).over(W.partitionBy())
+    order = {"importance": F.col(importance).desc(), "round_robin": F.col(source), "balance": F.col(source)}[portion]
+    return largest_remainder(df, exact, total, source, [order])
 
 
 def client_scores(sim: DataFrame, client="party", sigma: float = 0.0, seed=None, clip: bool = True) -> DataFrame:
-    """(cand_id, score): z-scores within each client, scaled to norm 1 at most, summed, with noise, divided by the clients."""
-    stats = sim.groupBy(client).agg(F.avg("similarity").alias("m"), F.stddev_pop("similarity").alias("s"))
-    z = sim.join(stats, client).withColumn("z", F.when(F.col("s") > 0, (F.col("similarity") - F.col("m")) / F.col("s")).otherwise(0.0))
+    """(cand_id, score): similarities of all clients summed, with noise, divided by the number of clients.
+
+    ``clip`` bounds a client's influence: z-scores within the client, scaled to norm 1 at most, are summed instead.
+    """
+    rows = sim.withColumn("z", F.col("similarity"))
     if clip:
-        norms = z.groupBy(client).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("nz"))
-        z = z.join(norms, client).withColumn("z", F.col("z") / F.greatest(F.col("nz"), F.lit(1.0)))
-    clients = F.broadcast(stats.agg(F.count(F.lit(1)).alias("k")))
-    total = z.groupBy("cand_id").agg(F.sum("z").alias("t"))
+        stats = sim.groupBy(client).agg(F.avg("similarity").alias("m"), F.stddev_pop("similarity").alias("s"))
+        rows = sim.join(stats, client).withColumn("z", F.when(F.col("s") > 0, (F.col("similarity") - F.col("m")) / F.col("s")).otherwise(0.0))
+        norms = rows.groupBy(client).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("nz"))
+        rows = rows.join(norms, client).withColumn("z", F.col("z") / F.greatest(F.col("nz"), F.lit(1.0)))
+    clients = F.broadcast(sim.select(client).distinct().agg(F.count(F.lit(1)).alias("k")))
+    total = rows.groupBy("cand_id").agg(F.sum("z").alias("t"))
     noise = sigma * keyed.gaussian(seed, F.col("cand_id")) if sigma else F.lit(0.0)
     return total.crossJoin(clients).select("cand_id", ((F.col("t") + noise) / F.col("k")).alias("score"))
 
@@ -116,15 +124,16 @@ def _partial_moments(batches):
 
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, mean, sample covariance). One partial (d + d * d numbers) a partition; these are summed by position."""
+    """(rows, mean, sample covariance). One partial (1 + d + d * d numbers) a partition; these are summed by position, in one pass."""
     rows = df.select("embedding").filter("embedding IS NOT NULL")
     parts = rows.mapInArrow(_partial_moments, "n long, s array<double>, q array<double>")
-    n = parts.agg(F.sum("n")).first()[0] or 0
+    line = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "q")).alias("pos", "x"))
+    x = np.array([r.x for r in line.groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").collect()])
+    n = int(x[0]) if len(x) else 0
     if n < 2:
         raise ValueError("two rows at least are needed for a covariance")
-    total = lambda c: parts.select(F.posexplode(c).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").collect()
-    s = np.array([r.x for r in total("s")])
-    q = np.array([r.x for r in total("q")]).reshape(len(s), len(s))
+    width = (math.isqrt(4 * len(x) - 3) - 1) // 2
+    s, q = x[1 : width + 1], x[width + 1 :].reshape(width, width)
     mean = s / n
     return n, mean, (q - n * np.outer(mean, mean)) / (n - 1)
 
@@ -416,18 +425,34 @@ def recovery_rate(pairs: DataFrame, chosen="clean_chosen", rejected="clean_rejec
     return pairs.agg(F.avg((F.col(chosen) > F.col(rejected)).cast("double")).alias("recovery_rate"))
 
 
-def weight_update(theta: DataFrame, scores: DataFrame, beta: float, mode: str = "error", only_wrong: bool = False) -> DataFrame:
-    """theta * product over models of beta^(error or loss); sums of each source are kept.
+def weight_update(theta: DataFrame, scores: DataFrame, beta: float, mode: str = "error", only_wrong: bool = False, real: str | None = None) -> DataFrame:
+    """New weights of (source_model, idx, theta): one factor for each model in ``scores``; sums of each source are kept.
 
-    ``only_wrong`` takes only the models whose prediction is wrong.
+    A row that a model gets right shrinks by beta^x, one it gets wrong grows by beta^(-x), where x is the
+    ``error`` or the ``loss``. With ``only_wrong``, right rows keep their weight. Rows marked by the column
+    ``real`` of ``theta`` get b^(-error) from each model in turn, where b is the odds of the weighted
+    average error of the source's real rows (turned over when above 1), by the weights of that moment.
     """
+    keys = ["source_model", "idx"]
     e = v.error_and_confidence(F.col("prob"), F.col("label"))
     x = {"error": e["error"], "loss": e["cross_entropy"]}[mode]
-    x = F.when(~e["correct"], x).otherwise(0.0) if only_wrong else x
-    step = scores.groupBy("source_model", "idx").agg(F.exp(F.sum(x * math.log(beta))).alias("__s"))
-    new = theta.join(step, ["source_model", "idx"]).withColumn("__t", F.col("theta") * F.col("__s"))
+    signed = F.when(e["correct"], F.lit(0.0) if only_wrong else x).otherwise(-x)
+    if real is None:
+        step = scores.groupBy(*keys).agg(F.exp(F.sum(signed * math.log(beta))).alias("__s"))
+        new = theta.join(step, keys).withColumn("__t", F.col("theta") * F.col("__s"))
+    else:
+        new = theta.withColumn("__t", F.col("theta").cast("double"))
+        for (model,) in scores.select("model_id").distinct().orderBy("model_id").collect():
+            one = scores.filter(F.col("model_id") == model).select(*keys, signed.alias("__x"), e["error"].alias("__e"))
+            rows = materialise(new.join(one, keys))
+            mean = (F.sum(F.col("__t") * F.col("__e")) / F.sum("__t")).alias("__m")
+            odds = rows.filter(real).groupBy("source_model").agg(mean).withColumn("__o", F.col("__m") / (1 - F.col("__m")))
+            odds = odds.select("source_model", F.when(F.col("__o") > 1, 1 / F.col("__o")).otherwise(F.col("__o")).alias("__b"))
+            rows = rows.join(F.broadcast(odds), "source_model", "left")
+            factor = F.when(F.col(real), F.pow("__b", -F.col("__e"))).otherwise(F.pow(F.lit(beta), "__x"))
+            new = rows.withColumn("__t", F.col("__t") * factor).drop("__x", "__e", "__b")
     sums = new.groupBy("source_model").agg((F.sum("theta") / F.sum("__t")).alias("__k"))
-    return new.join(sums, "source_model").select("source_model", "idx", (F.col("__t") * F.col("__k")).alias("theta"))
+    return new.join(sums, "source_model").select(*keys, (F.col("__t") * F.col("__k")).alias("theta"))
 
 
 def source_accuracy(scores: DataFrame) -> DataFrame:
@@ -440,6 +465,11 @@ def best_of_run(log: DataFrame, keys=("run",), step="step", value="value") -> Da
         F.min_by(value, step).alias("first"), F.max(value).alias("best"), F.max_by(step, F.struct(F.col(value), -F.col(step))).alias("best_step"))
 
 
+def mean_over_seeds(results: DataFrame, settings, values) -> DataFrame:
+    """(settings, means): results of runs that differ in their seed only, averaged."""
+    return results.groupBy(*settings).agg(*[F.avg(c).alias(c) for c in values])
+
+
 def length_stats(df: DataFrame, by=None, text="text") -> DataFrame:
     return df.groupBy(*([by] if by else [])).agg(F.avg(F.length(text)).alias("mean_length"))
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import materialise
 
 
 def min_words(df: DataFrame, n: int, text="text") -> DataFrame:
@@ -51,26 +58,46 @@ def class_token_rule(df: DataFrame, token: str = "$", cls: int = 4, text="text",
     return df.filter(F.when(F.col(label) == cls, has).otherwise(~has))
 
 
+@lru_cache(maxsize=256)
+def _token_counts(text: str) -> Counter:
+    return Counter(re.findall("[0-9A-Za-z_]{2,}", text.lower()))
+
+
+def _pair_cosine(a: str | None, b: str | None) -> float | None:
+    x, y = _token_counts(a or ""), _token_counts(b or "")
+    if not x and not y:
+        return None
+    private = 1 + math.log(1.5)
+    dot = sum(n * y[w] for w, n in x.items() if w in y)
+    size = [sum((n * (1.0 if w in other else private)) ** 2 for w, n in own.items()) for own, other in ((x, y), (y, x))]
+    return dot / math.sqrt(size[0] * size[1]) if size[0] and size[1] else 0.0
+
+
 def novelty_similarity(pairs: DataFrame, key="id", seed="seed_id", a="text", b="seed_text") -> DataFrame:
-    """(key, seed, similarity): TF-IDF cosine fitted on each pair of texts alone.
+    """(key, seed, similarity): TF-IDF cosine fitted on each pair of texts alone; null where neither has a token.
 
-    With smooth IDF on two texts a shared token weighs 1 and a private one 1 + ln 1.5.
+    With smooth IDF on two texts a shared token weighs 1 and a private one 1 + ln 1.5. A pair is
+    worked out in its row, so nothing is shuffled.
     """
-    private = 1 + F.log(F.lit(1.5))
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([0-9A-Za-z_]{2,})"), F.lit(1))
-    side = lambda c, name: pairs.select(key, seed, F.explode(tokens(F.col(c))).alias("token")).groupBy(key, seed, "token").agg(F.count(F.lit(1)).alias(name))
-    both = side(a, "ca").join(side(b, "cb"), [key, seed, "token"], "full")
-    w = F.when(F.col("ca").isNull() | F.col("cb").isNull(), private).otherwise(1.0)
-    x, y = F.coalesce("ca", F.lit(0)) * w, F.coalesce("cb", F.lit(0)) * w
-    sums = both.groupBy(key, seed).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
-    return sums.select(key, seed, F.coalesce(F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0)), F.lit(0.0)).alias("similarity"))
-
-
-def novelty_filter(pairs: DataFrame, threshold: float = 0.52, key="id", a="text", **names) -> DataFrame:
-    """(key, text, similarity) of texts longer than one character whose similarity to no seed exceeds the threshold."""
-    most = novelty_similarity(pairs, key, a=a, **names).groupBy(key).agg(F.max("similarity").alias("similarity"))
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_pair_cosine(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    found = cosine(F.col(a), F.col(b)).alias("similarity")
+    return pairs.select(key, seed, found)
+
+
+def novelty_filter(pairs: DataFrame, threshold: float = 0.52, key="id", a="text", b="seed_text", **names) -> DataFrame:
+    """(key, text, similarity) of texts longer than one character whose similarity to no seed exceeds the threshold.
+
+    A text is rejected too where it and one of its seeds have no token at all, as nothing can be fitted on them.
+    """
+    scored = novelty_similarity(pairs, key, a=a, b=b, **names).groupBy(key)
+    most = scored.agg(F.max("similarity").alias("similarity"), F.count("similarity").alias("__n"), F.count(F.lit(1)).alias("__all"))
     texts = pairs.select(key, a).dropDuplicates([key]).filter(F.length(a) > 1)
-    return texts.join(most, key, "left").filter(F.coalesce("similarity", F.lit(0.0)) <= threshold)
+    fine = (F.col("__n") == F.col("__all")) & (F.col("similarity") <= threshold)
+    return texts.join(most, key).filter(fine).drop("__n", "__all")
 
 
 def ifd_filter(df: DataFrame, budget: int, conditional="conditional", direct="direct", size="size") -> DataFrame:
@@ -90,8 +117,11 @@ def loss_sign(df: DataFrame, n: int, helpful: bool, value="influence", key="idx"
 
 
 def passed_and_failed(df: DataFrame, good: Column, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write rows that pass to ``path`` and the others to ``path_failed``; both are read back."""
-    marked = df.withColumn("__good", F.coalesce(good, F.lit(False)))
+    """Write rows that pass to ``path`` and the others to ``path_failed``; both are read back.
+
+    The input is worked out once, so with a generator upstream each row lands in exactly one of them.
+    """
+    marked = materialise(df.withColumn("__good", F.coalesce(good, F.lit(False))))
     for flag, where in ((True, path), (False, f"{path}_failed")):
         marked.filter(F.col("__good") == flag).drop("__good").write.mode("overwrite").parquet(where)
     spark = df.sparkSession

@@ -147,7 +147,8 @@ def weighted_resample(df: DataFrame, n: int, seed, weight="w", key="id") -> Data
     within the block, so no task orders all rows.
     """
     rows = df.select(key, F.col(weight).cast("double").alias("w")).filter("w > 0")
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(64))
+    n_blocks = 64 + max(rows.count(), n) // 20_000  # a block holds about 20,000 rows or draws at most
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(n_blocks))
     rows = rows.withColumn("block", block)
     sums = rows.groupBy("block").agg(F.sum("w").alias("s"))
     total = sums.agg(F.sum("s")).first()[0]
@@ -186,15 +187,20 @@ def bernoulli(df: DataFrame, p: float, seed, key="id") -> DataFrame:
 def few_shot_ids(prompts: DataFrame, pool_size: int, k: int, seed, key="prompt_id") -> DataFrame:
     """(prompt, draw, position): k distinct positions in a pool for each prompt.
 
-    A prompt draws 4k + 16 positions; the first k distinct ones count. Join on the pool's position.
+    A prompt draws positions until k are distinct, and the first k distinct ones count. Prompts that
+    fall short after a round of draws draw on. Join on the pool's position.
     """
     if k > pool_size:
         raise ValueError("the pool is smaller than k")
-    tries = min(4 * k + 16, 64 * k)
-    draws = prompts.select(key, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-    at = F.floor(uniform(seed, F.col(key), F.col("try")) * pool_size).cast("long")
-    first = draws.withColumn("position", at).groupBy(key, "position").agg(F.min("try").alias("try"))
-    out = ranked(first, [F.col("try")], key, "draw").filter(F.col("draw") <= k)
+    done, tries, found, short = 0, 4 * k + 16, None, prompts.select(key).distinct()
+    while found is None or not short.isEmpty():
+        draws = short.select(key, F.explode(F.sequence(F.lit(done), F.lit(done + tries - 1))).alias("try"))
+        new = draws.withColumn("position", F.floor(uniform(seed, F.col(key), F.col("try")) * pool_size).cast("long"))
+        new = new.select(key, "position", "try") if found is None else found.unionByName(new.select(key, "position", "try"))
+        found = materialise(new.groupBy(key, "position").agg(F.min("try").alias("try")))
+        short = materialise(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select(key))
+        done, tries = done + tries, 2 * tries
+    out = ranked(found, [F.col("try")], key, "draw").filter(F.col("draw") <= k)
     return out.select(key, "draw", "position")
 
 
@@ -211,16 +217,32 @@ def stratified_sample(df: DataFrame, n: int, seed, label="label", key="id") -> D
     return rows.filter("__r <= __q").drop("__r", "__q")
 
 
+def skewed_quotas(counts: dict, n: int, seed: int, draws: int = 10_000) -> dict:
+    """Quotas of n rows by a Dirichlet(0.3), drawn again until the largest is twice the smallest at least.
+
+    A class has no more than its rows; what it can't give goes to the classes with most rows left.
+    """
+    rng, classes, room = np.random.default_rng(seed), list(counts), np.array(list(counts.values()), int)
+    n = min(n, int(room.sum()))
+    for _ in range(draws):
+        q = np.floor(rng.dirichlet([0.3] * len(classes)) * n).astype(int)
+        q[-1] += n - q.sum()
+        q = np.minimum(q, room)
+        while q.sum() < n:
+            most = int(np.argmax(room - q))
+            q[most] += min(n - q.sum(), room[most] - q[most])
+        if len(classes) == 1 or q.max() >= 2 * max(q.min(), 1):
+            return dict(zip(classes, q.tolist(), strict=True))
+    raise ValueError("no draw makes the largest class twice the smallest")
+
+
 def skewed_sample(df: DataFrame, n: int, seed: int, skewed: bool = True, label="label", key="id") -> DataFrame:
-    """Class quotas from a Dirichlet(0.3), drawn again until the largest is twice the smallest at least; equal ones otherwise."""
+    """n rows by skewed class quotas (see ``skewed_quotas``), or equal ones."""
     counts = _class_counts(df, label)
-    rng, classes = np.random.default_rng(seed), list(counts)
-    quota = {c: min(n // len(classes), counts[c]) for c in classes}
-    for _ in range(1000 if skewed else 0):
-        q = np.minimum(np.round(rng.dirichlet([0.3] * len(classes)) * n), [counts[c] for c in classes])
-        if q.max() >= 2 * max(q.min(), 1):
-            quota = dict(zip(classes, q.astype(int).tolist(), strict=True))
-            break
+    if skewed:
+        quota = skewed_quotas(counts, n, seed)
+    else:
+        quota = {c: min(n // len(counts), rows) for c, rows in counts.items()}
     kind = df.schema[label].dataType.simpleString()
     q = df.sparkSession.createDataFrame(list(quota.items()), f"{label} {kind}, __q long")
     rows = ranked(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").join(F.broadcast(q), label)

@@ -21,8 +21,8 @@ def union_sources(frames: dict[str, DataFrame], cap: int, seed, key="idx") -> Da
 
 def exact_dedup(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """The first row (by ``order``) of each combination stays; copies meet by hash with map-side combine, so a frequent text costs a row a task."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
-    digest = F.sha2(text, 256)
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    digest = F.sha2(F.concat(*[part(F.col(c)) for c in cols]), 256)
     first = df.groupBy(digest.alias("__d")).agg(F.min(order).alias("__k"))
     marked = df.withColumn("__d", digest)
     return marked.join(first, (marked["__d"] == first["__d"]) & (marked[order] == first["__k"]), "left_semi").drop("__d")

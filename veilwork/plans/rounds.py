@@ -141,7 +141,8 @@ def instruction_build(pairs: DataFrame, n_seeds: int, n_prompts: int, k: int, ma
         shots.select("prompt_id", F.col("position").alias("seed_id"), F.col("instruction").alias("seed_text")), "prompt_id")
     fresh = f.novelty_filter(against, threshold).select("id", F.lit(True).alias("fresh"))
     judged = made.join(fresh, "id", "left").withColumn("client_id", F.col("prompt_id") % 4)
-    good, bad = save_rejects(judged, F.col("fresh"), f"{path}/rows")
+    whole = F.col("fresh") & (F.length("output") > 1)
+    good, bad = save_rejects(judged, whole, f"{path}/rows")
     write_client_shards(good.drop("fresh"), f"{path}/shards")
     return good.drop("fresh"), bad.drop("fresh")
 
