@@ -83,13 +83,42 @@ def test_substring_dedup_over_many_buckets(spark, window, seed):
         assert (r.n_symbols, r.n_removed, r.kept_text) == (n, sum(gone), " ".join(x for x, g in zip(s, gone) if not g))
 
 
-def test_line_dedup_over_many_buckets(spark):
-    rng = random.Random(4)
-    rows = [(i, t.replace(" ", "\n")) for i, t in random_docs(rng, 80, [f"line{i}" for i in range(12)], 0, 25, 0.5)]
-    want = covered(rows, 3, lambda t: [x for x in t.split("\n") if x])
-    for r in line_dedup.line_dedup(docs(spark, rows), 3, bucket_bytes=500).collect():
-        n, gone, s = want[r.id]
-        assert (r.n_symbols, r.n_removed, r.kept_text) == (n, sum(gone), "\n".join(x for x, g in zip(s, gone) if not g))
+def lines_by_hand(rows, least):
+    runs = {}
+    for i, text in rows:
+        lines = [(k, x) for k, x in enumerate(text.split("\n")) if x]
+        for p in range(len(lines)):
+            for e in range(p, len(lines)):
+                if sum(len(x.encode()) for _, x in lines[p : e + 1]) >= least:
+                    runs.setdefault(tuple(x for _, x in lines[p : e + 1]), []).append((i, [k for k, _ in lines[p : e + 1]]))
+                    break
+    gone = {i: set() for i, _ in rows}
+    for found in runs.values():
+        for i, places in found:
+            if i > found[0][0] or places[0] > min(p[0] for x, p in found if x == i):
+                gone[i] |= set(places)
+    out = {}
+    for i, text in rows:
+        lines = text.split("\n")
+        kept = "".join(x + "\n" * (k < len(lines) - 1) for k, x in enumerate(lines) if k not in gone[i])
+        out[i] = (sum(map(bool, lines)), len(gone[i]), kept)
+    return out
+
+
+@pytest.mark.parametrize("least,seed", [(1, 4), (12, 5), (50, 6)])
+def test_line_dedup_over_many_buckets(spark, least, seed):
+    rng = random.Random(seed)
+    rows = [(i, t.replace(" ", "\n").replace("line3", "").replace("line7", "a much longer line than the others, Ä")) for i, t in random_docs(rng, 80, [f"line{i}" for i in range(14)], 0, 25, 0.5)]
+    want = lines_by_hand(sorted(rows), least)
+    for r in line_dedup.line_dedup(docs(spark, rows), least, bucket_bytes=500).collect():
+        assert (r.n_symbols, r.n_removed, r.kept_text) == want[r.id]
+
+
+def test_one_long_line_and_repeats_in_a_document_go(spark):
+    long, short = "x" * 60, "too short"
+    rows = [(1, f"{long}\n\n{short}"), (2, f"{short}\n{long}\nown"), (3, f"{long}y\nz\n{long}y"), (3, f"{long}y")]
+    got = sorted((r.id, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
+    assert got == [(1, 0, rows[0][1]), (2, 1, f"{short}\nown"), (3, 0, f"{long}y"), (3, 1, f"{long}y\nz\n")]
 
 
 def same_bytes_removed(got, rows, length=50):

@@ -135,63 +135,81 @@ def _rows(hashes: np.ndarray, lo: np.ndarray) -> pa.Table:
     return pa.table({"h": pa.array(hashes.view(np.int64)), "lo": pa.array(lo)})
 
 
+class WordWindows:
+    """All windows of ``length`` symbols; anchors are the ``anchor_length`` symbols at the places that ``places`` selects."""
+
+    own_repeats = False
+
+    def __init__(self, length: int, anchor_length: int, places: Callable[[Bucket], np.ndarray]):
+        self.length, self.anchor_length, self.places = length, anchor_length, places
+
+    def anchors(self, b: Bucket) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, row's id) of each anchor."""
+        at = self.places(b)
+        return window_hashes(b.hash, self.anchor_length)[at], b.doc[at]
+
+    def windows(self, b: Bucket) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first symbol, symbols, hash) of each window."""
+        start, hashes = b.windows(self.length)
+        return start, np.full(len(start), self.length), hashes
+
+    def near(self, b: Bucket, repeated: np.ndarray) -> np.ndarray:
+        """Which windows hold an anchor of those marked."""
+        marks = np.zeros(len(b.hash) + 1, np.int64)
+        marks[self.places(b)[repeated] + 1] = 1
+        marks = np.cumsum(marks)
+        start, _ = b.windows(self.length)
+        return marks[start + self.length - self.anchor_length + 1] > marks[start]
+
+    def kept(self, b: Bucket, kept: np.ndarray) -> pa.Array:
+        """Each row's kept symbols joined by one blank."""
+        return joined_text(b, kept, b" ")
+
+
 def remove_repeats(
-    docs: DataFrame,
-    length: int,
-    kind: str,
-    anchor_length: int,
-    anchors: Callable[[Bucket], np.ndarray],
-    separator: bytes,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    bucket_bytes: int = BUCKET_BYTES,
+    docs: DataFrame, kind: str, rule, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """(id, n_symbols, n_removed, kept_text) for each row.
-
-    ``anchors`` returns the bucket's selected places, whose ``anchor_length`` symbols lie within
-    their document. Kept symbols are joined by ``separator``.
-    """
+    """(id, n_symbols, n_removed, kept_text) for each row; ``rule`` is like ``WordWindows``. With ``own_repeats``
+    windows that stand earlier in the same row are removed too."""
     dealt, n_buckets = bucketed(docs, id_col, text_col, bucket_bytes)
     emitted = "h long, lo long"
 
     def anchor_rows(rows: pa.Table) -> pa.Table:
-        b = Bucket(rows, kind)
-        at = anchors(b)
-        h, lo, _, _ = smallest(window_hashes(b.hash, anchor_length)[at], b.doc[at])
+        h, lo, _, _ = smallest(*rule.anchors(Bucket(rows, kind)))
         return _rows(h, lo)
 
     def window_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _rows(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         b = Bucket(rows, kind)
-        at = anchors(b)
-        hashes = window_hashes(b.hash, anchor_length)[at]
         shared = np.sort(np.asarray(known.column("h").combine_chunks()).view(np.uint64))
-        h, lo, hi, number = smallest(hashes, b.doc[at])
+        h, lo, hi, number = smallest(*rule.anchors(b))
         repeated = contains(shared, h) | (lo < hi)
-        marks = np.zeros(len(b.hash) + 1, np.int64)
-        marks[at[repeated[number]] + 1] = 1
-        marks = np.cumsum(marks)
-        start, window = b.windows(length)
-        near = marks[start + length - anchor_length + 1] > marks[start]
+        near = rule.near(b, repeated[number])
+        start, _, window = rule.windows(b)
         h, lo, _, _ = smallest(window[near], b.doc[start[near]])
         return _rows(h, lo)
 
     def kept_rows(key, rows: pa.Table, known: pa.Table) -> pa.Table:
         b = Bucket(rows, kind)
-        start, window = b.windows(length)
+        start, size, window = rule.windows(b)
         before = np.sort(np.asarray(known.column("h").combine_chunks()).view(np.uint64))
         h, lo, _, number = smallest(window, b.doc[start])
-        gone = start[(contains(before, h)[number] | (b.doc[start] > lo[number])) if len(start) else np.zeros(0, bool)]
+        gone = (contains(before, h)[number] | (b.doc[start] > lo[number])) if len(start) else np.zeros(0, bool)
+        row = np.repeat(np.arange(len(b.ids)), b.counts)
+        if rule.own_repeats and len(start):
+            order = np.lexsort((start, number, row[start]))
+            again = (np.diff(number[order]) == 0) & (np.diff(row[start][order]) == 0)
+            gone[order[1:][again]] = True
         change = np.zeros(len(b.hash) + 1, np.int64)
-        np.add.at(change, gone, 1)
-        np.add.at(change, gone + length, -1)
+        np.add.at(change, start[gone], 1)
+        np.add.at(change, (start + size)[gone], -1)
         kept = np.cumsum(change)[:-1] == 0
         return pa.table({
             "id": rows.column("id"),
             "n_symbols": pa.array(b.counts),
-            "n_removed": pa.array(np.bincount(np.repeat(np.arange(len(b.ids)), b.counts), ~kept, len(b.ids)).astype(np.int64)),
-            "kept_text": joined_text(b, kept, separator),
+            "n_removed": pa.array(np.bincount(row, ~kept, len(b.ids)).astype(np.int64)),
+            "kept_text": rule.kept(b, kept),
         })
 
     def shared_by_two(rows: DataFrame) -> DataFrame:

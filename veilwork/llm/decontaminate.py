@@ -2,8 +2,10 @@
 
 Every window of ``window`` consecutive words of a benchmark item (a shorter item is one window) is
 a pattern. For patterns of one length, the shift table tells for each block of two words how far
-the search may jump without missing a pattern; where the shift is zero, the bucket of the pattern's
-hash selects candidates and a direct comparison of the words confirms them. Documents pass in Arrow
+the search may jump without missing a pattern; the table grows with the patterns, so that jumps stay
+long. Where the shift is zero, the bucket of the block's hash holds the patterns with this suffix,
+those with another first block are passed over, and a direct comparison of the words confirms the
+others. Documents pass in Arrow
 batches without a shuffle.
 
 Patterns are handed to the tasks in blocks of at most ``block`` patterns, so memory has a bound
@@ -31,7 +33,6 @@ from ._words import Words, mix, window_hashes
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BITS = 18
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -56,29 +57,29 @@ class WuManber:
         h = Words(np.frombuffer(data, np.uint8), offsets, "alnum_lower").hash.reshape(len(patterns), length)
         self.block = min(2, length)
         far = length - self.block + 1
-        self.shift = np.full(1 << _BITS, far, np.uint8)
-        for end in range(self.block, length + 1):
-            self.shift[self._blocks(h[:, end - self.block : end].ravel())[:: self.block]] = np.minimum(
-                self.shift[self._blocks(h[:, end - self.block : end].ravel())[:: self.block]], length - end
-            )
-        self.buckets = defaultdict(list)
-        for i, value in enumerate(window_hashes(h.ravel(), length)[::length].tolist()):
-            self.buckets[value].append(i)
+        # eight cells or more for each block of a pattern, so that other blocks seldom fall on one
+        self.bits = min(28, max(10, (8 * far * len(patterns)).bit_length()))
+        self.shift = np.full(1 << self.bits, min(far, 255), np.uint8)
+        blocks = np.stack([self._blocks(h[:, at : at + self.block].ravel())[:: self.block] for at in range(far)])
+        for at in range(far):
+            cells = (blocks[at] >> np.uint64(64 - self.bits)).astype(np.int64)
+            self.shift[cells] = np.minimum(self.shift[cells], min(far - 1 - at, 255))
+        self.order = np.argsort(blocks[-1], kind="stable")
+        self.suffix, self.prefix = blocks[-1][self.order], blocks[0][self.order]
 
     def _blocks(self, h: np.ndarray) -> np.ndarray:
-        """Table places of the blocks that start at each word."""
-        if self.block == 2:
-            joined = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
-        else:
-            joined = h
-        return (joined >> np.uint64(64 - _BITS)).astype(np.int64)
+        """Hashes of the blocks that start at each word (one fewer than words for blocks of two)."""
+        if self.block == 1:
+            return mix(h)
+        return mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
 
     def search(self, words: Words, lowered: bytes) -> Iterator[tuple[int, int]]:
         """(first word, pattern) of each occurrence; windows that cross rows are no occurrences."""
-        m, n, h = self.length, len(words.hash), words.hash
+        m, n = self.length, len(words.hash)
         if n < m:
             return
-        shift = self.shift[self._blocks(h)].tobytes()
+        blocks = self._blocks(words.hash)
+        shift = self.shift[(blocks >> np.uint64(64 - self.bits)).astype(np.int64)].tobytes()
         back, at, ends = self.block - 1, m - 1, []
         while at < n:
             jump = shift[at - back]
@@ -90,17 +91,18 @@ class WuManber:
         if not ends:
             return
         firsts = np.array(ends) - (m - 1)
-        row_end = words.rows[1:][words.row_of()[firsts]]
-        firsts = firsts[firsts + m <= row_end]
-        value = np.zeros(len(firsts), np.uint64)
-        if len(firsts):
-            parts = np.stack([h[firsts + i] for i in range(m)], 1)
-            value = window_hashes(parts.ravel(), m)[::m]
-        for first, v in zip(firsts.tolist(), value.tolist(), strict=True):
-            for i in self.buckets.get(v, ()):
-                found = b" ".join(lowered[words.starts[k] : words.ends[k]] for k in range(first, first + m))
-                if found == self.patterns[i]:
-                    yield first, i
+        firsts = firsts[firsts + m <= words.rows[1:][words.row_of()[firsts]]]
+        # the suffix's bucket, then the prefix, then the words themselves
+        suffix = blocks[firsts + m - self.block]
+        low = np.searchsorted(self.suffix, suffix, "left")
+        size = np.searchsorted(self.suffix, suffix, "right") - low
+        candidate = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        first = np.repeat(firsts, size)
+        fits = self.prefix[candidate] == blocks[first]
+        for first, i in zip(first[fits].tolist(), self.order[candidate[fits]].tolist(), strict=True):
+            found = b" ".join(lowered[words.starts[k] : words.ends[k]] for k in range(first, first + m))
+            if found == self.patterns[i]:
+                yield first, i
 
 
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

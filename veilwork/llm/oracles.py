@@ -121,6 +121,28 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS {counted}, coalesce(n_removed, 0)::BI
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
+OP7 = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS q, len(l) AS n FROM d),
+w AS (
+  SELECT doc_id, q, line, row_number() OVER o AS p, sum(strlen(line)) OVER o AS c
+  FROM s WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY q)),
+lines AS (SELECT doc_id, list(line ORDER BY q) AS w FROM w GROUP BY doc_id),
+runs AS (
+  SELECT a.doc_id, a.p, b.p AS e FROM w a ASOF JOIN w b ON a.doc_id = b.doc_id AND a.c - strlen(a.line) + 50 <= b.c),
+seq AS (SELECT doc_id, p, e, array_to_string(w[p:e], chr(10)) AS seq FROM runs JOIN lines USING (doc_id)),
+dup AS (
+  SELECT doc_id, p, e, min(doc_id) OVER (PARTITION BY seq) < doc_id OR min(p) OVER (PARTITION BY seq, doc_id) < p AS gone FROM seq),
+cov AS (SELECT DISTINCT doc_id, unnest(range(p, e + 1)) AS p FROM dup WHERE gone),
+m AS (
+  SELECT s.doc_id, s.q, s.n, s.line, w.p, cov.p IS NOT NULL AS gone
+  FROM s LEFT JOIN w ON w.doc_id = s.doc_id AND w.q = s.q LEFT JOIN cov ON cov.doc_id = s.doc_id AND cov.p = w.p)
+SELECT doc_id, count(p)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line || CASE WHEN q < n THEN chr(10) ELSE '' END, '' ORDER BY q) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words('text', _SPACE, True)} AS w FROM documents),
 s AS (
@@ -168,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": _op3(),
         "op4_substring_dedup": _repeats(_words("text", _SPACE, False), 50, "' '", "n_words"),
         "op6_ngram_jaccard_join": OP6,
-        "op7_line_dedup": _repeats(_words("text", r"[^\x0A]+", False), 3, "chr(10)", "n_lines"),
+        "op7_line_dedup": OP7,
         "op8_exact_dedup": OP8,
         "op9_license_scan": _op9(),
     }

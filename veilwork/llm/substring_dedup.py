@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._repeats import Bucket, remove_repeats
+from ._repeats import Bucket, WordWindows, remove_repeats
 
 #: Perfect difference sets (period: places); every residue is a difference of two places.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -32,4 +32,4 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         long_enough = np.repeat(b.counts >= window, b.counts)
         return np.flatnonzero(cover[b.place % period] & (b.left >= anchor) & long_enough)
 
-    return remove_repeats(docs, window, "space", anchor, places, b" ", id_col, text_col, **options)
+    return remove_repeats(docs, "space", WordWindows(window, anchor, places), id_col, text_col, **options)

@@ -58,7 +58,7 @@ _BASE = 0x9E3779B97F4A7C15
 _CORE = 258
 
 
-class _Powers:
+class Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
 
     up = np.ones(1, np.uint64)
@@ -103,7 +103,7 @@ class Runs:
         self.row = np.searchsorted(offsets, self.first, side="right") - 1
         self.owner = owner[at]
         self.anchor = gram[self.owner]
-        up, down = _Powers.until(n)
+        up, down = Powers.until(n)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value * up, dtype=np.uint64)])
         size = self.last + length - self.first
         self.content = mix(mix((sums[self.last + length] - sums[self.first]) * down[self.first]) + size.astype(np.uint64))
