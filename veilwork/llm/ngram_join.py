@@ -15,8 +15,8 @@ Sets are represented by their digest, so copies are one entity. Before anything
 without any possible partner leave: in the order of hashes, the first n - ceil(t * n) + 1 + n / 8
 elements of two similar sets have more than k in common, k being an eighth of the smaller set, and
 that has ceil(t * n) elements at least. An entity of whose first elements no more than so many stand
-among the first elements of others has no partner. Elements met twice in one batch
-are settled there and travel as two rows, so a common element costs two rows a batch. Entities that share an index entry
+among the first elements of others has no partner. Elements met twice among the
+texts that a task takes at once (``FIRST_ROWS`` elements) are settled there and travel as two rows. Entities that share an index entry
 are first compared with one of them, the one that shares most entries with others (in a group of
 near copies that is their common original); what exact verification confirms is merged into
 components. Entries whose members then still lie in several components yield the remaining pairs
@@ -75,6 +75,8 @@ def set_digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 SKETCH_WORDS = 16
+BLOCK = 1 << 20
+FIRST_ROWS = 1 << 18
 COLLISION = 32
 SMALLEST_MEAN = 4
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -172,7 +174,7 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _sets_of(batch: pa.RecordBatch, size: int):
     data, offsets = utf8_buffers(batch.column("text"))
-    for lo, hi in row_blocks(offsets):
+    for lo, hi in row_blocks(offsets, BLOCK):
         yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
 
 
@@ -191,37 +193,40 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 def _first_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(token, d, kind, weight). Kind 1: elements among the first ones of set ``d``, weighing 1 unless the batch has
     shown them to be common; kind 0: one row a set, the number of its common elements less the number needed."""
-    for batch in batches:
-        tokens, owners, digests, needed = [], [], [], []
-        base, done = 0, set()
-        for _, _, h, at in _sets_of(batch, size):
-            d, n = set_digests(h, at), np.diff(at)
-            new = np.array([x != 0 and x not in done and not done.add(x) for x in d.tolist()], bool)
-            n, first, d = n[new], at[:-1][new], d[new]
-            p = np.minimum(n, n - -(-n * percent // 100) + 1 + n // 8)
-            tokens.append(h[_ranges(first, p)])
-            owners.append(np.repeat(np.arange(len(n)) + base, p))
-            digests.append(d)
-            needed.append(-(-n * percent // 100) // 8 + 1)
-            base += len(n)
-        if not base:
-            continue
-        token, owner, d, need = (np.concatenate(x) for x in (tokens, owners, digests, needed))
+
+    def told(sets: list) -> pa.RecordBatch:
+        token, owner, d, need = (np.concatenate(x) for x in zip(*sets, strict=True))
         order = np.argsort(token)
         token, owner = token[order], owner[order]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         times = np.diff(np.append(start, len(token)))
         common = np.bincount(owner, np.repeat(times > 1, times), len(d)).astype(np.int64)
-        told = np.sort(np.concatenate([start, start[times > 1] + 1]))
+        at = np.sort(np.concatenate([start, start[times > 1] + 1]))
         weight = np.repeat((times == 1).astype(np.int32), np.minimum(times, 2))
         d = d.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([token[told].view(np.int64), d])), pa.array(np.concatenate([d[owner[told]], d])),
-             pa.array(np.concatenate([np.ones(len(told), np.int32), np.zeros(len(d), np.int32)])),
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([token[at].view(np.int64), d])), pa.array(np.concatenate([d[owner[at]], d])),
+             pa.array(np.concatenate([np.ones(len(at), np.int32), np.zeros(len(d), np.int32)])),
              pa.array(np.concatenate([weight, (common - need).astype(np.int32)]))],
             ["token", "d", "kind", "weight"],
         )
 
+    for batch in batches:
+        sets, base, held, done = [], 0, 0, set()
+        for _, _, h, at in _sets_of(batch, size):
+            d, n = set_digests(h, at), np.diff(at)
+            new = np.array([x != 0 and x not in done and not done.add(x) for x in d.tolist()], bool)
+            n, first, d = n[new], at[:-1][new], d[new]
+            p = np.minimum(n, n - -(-n * percent // 100) + 1 + n // 8)
+            if len(n):
+                sets.append((h[_ranges(first, p)], np.repeat(np.arange(len(n)) + base, p), d, -(-n * percent // 100) // 8 + 1))
+                base, held = base + len(n), held + int(p.sum())
+            if held > FIRST_ROWS:
+                yield told(sets)
+                sets, base, held, done = [], 0, 0, set()
+        if sets:
+            yield told(sets)
+
 
 def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -248,7 +253,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         data, offsets = utf8_buffers(batch.column("text_b"))
         firsts = batch.column("a").to_pylist()
         keep = np.zeros(batch.num_rows, bool)
-        for lo, hi in row_blocks(offsets):
+        for lo, hi in row_blocks(offsets, BLOCK):
             h, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
             for i in range(lo, hi):
                 if firsts[i] != last or last_set is None:
