@@ -315,3 +315,34 @@ def test_class_feedback_gives_each_class_its_quota(spark, sf):
     got, c = rounds.class_feedback_round(private, cand, 3, 5.0, 2.0, "s").toPandas(), cand.toPandas()
     assert (got.groupby("label").size() == 3).all() and not got.id.duplicated().any()
     assert set(zip(got.id, got.label)) <= set(zip(c.id, c.label)) and set(got["round"]) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("block", [40, 7])
+def test_blocks_of_candidates_give_the_same_as_one(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3 if i % 10 else None, rng.normal(size=4).tolist() if i % 17 else None) for i in range(60)]
+    p, c = vectors(spark, rows[:35]), vectors(spark, rows[25:])
+    for rule in ("all", "same", "other"):
+        one, many = (j.knn(p, c, 2, rule, block=b).select("id", "cand_id", "rank").collect() for b in (j.BLOCK, block))
+        assert one and set(one) == set(many) and len(one) == len(many)
+    for operator, columns in ((j.mean_cross_distance, ("mean_l2", "mean_cosine")), (j.mean_pair_psnr, ("psnr",))):
+        one, many = ({r.label: r for r in operator(p, c, block=b).collect()} for b in (j.BLOCK, block))
+        assert set(one) == set(many) and len(one) >= 3
+        assert all(one[k][x] == pytest.approx(many[k][x]) for k in one if k is not None for x in columns)
+    x, y = ([(r[1], np.array(r[2], np.float32).astype(float)) for r in part if r[1] is not None and r[2]] for part in (rows[:35], rows[25:]))
+    score = lambda m: min(-10 * math.log10(m), 100.0) if m > 0 else 100.0
+    for label, psnr in j.mean_pair_psnr(p, c, block=block).collect():
+        assert psnr == pytest.approx(np.mean([score(((e - g) ** 2).sum() / 4 / 3) for k, e in x for n, g in y if k == n == label]))
+    assert j.knn(p, c.limit(0), block=block).count() == 0 and j.knn(p.limit(0), c, block=block).count() == 0
+
+
+def test_class_ranks_and_first_rows_match_a_window(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 3 > 0], float(i * 37 % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label string, x double").repartition(6)
+    want = s.ranked(df, [F.col("x").desc(), F.col("id")], "label").collect()
+    got = s.class_ranks(df, [F.col("x").desc(), F.col("id")], "label").select(*df.columns, "rank").collect()
+    assert set(got) == set(want) and len(got) == len(want)
+    order = [F.col("x"), F.col("id")]
+    few, many = s.first_rows(df, order, 150), s.first_rows(df, order, 150, few=10)
+    assert set(few.collect()) == set(many.collect()) and many.count() == 150
+    assert s.first_rows(df.limit(0), order, 150, few=10).count() == 0 and s.class_ranks(df.limit(0), order, "label").count() == 0

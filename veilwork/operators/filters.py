@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..sources.tables import materialise
+from .selection import first_rows
 
 
 def min_words(df: DataFrame, n: int, text="text") -> DataFrame:
@@ -113,7 +114,7 @@ def reward_floor(df: DataFrame, previous: DataFrame, ratio: float, reward="rewar
 
 def loss_sign(df: DataFrame, n: int, helpful: bool, value="influence", key="idx") -> DataFrame:
     rows = df.filter(F.col(value) < 0 if helpful else F.col(value) > 0)
-    return rows.orderBy(F.col(value) if helpful else F.col(value).desc(), key).limit(n)
+    return first_rows(rows, [F.col(value) if helpful else F.col(value).desc(), F.col(key)], n)
 
 
 def passed_and_failed(df: DataFrame, good: Column, path: str) -> tuple[DataFrame, DataFrame]:

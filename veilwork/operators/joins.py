@@ -1,14 +1,15 @@
 """Nearest neighbours, similarities and other joins of private rows and candidates.
 
-Frames of vectors are (id, embedding, label, ...). Searches run in blocks: candidates are cut into
-blocks of bounded size, each block is handed to the tasks once, and private rows stream past it in
-Arrow batches; winners of several blocks meet in one aggregation by private row. Distances of the
-winners are recomputed from differences, so the expanded form's rounding doesn't decide ties.
+Frames of vectors are (id, embedding, label, ...). Searches run in blocks of bounded size, in one plan:
+candidates that fit a block are broadcast and private rows stream past them in Arrow batches; more
+are dealt into blocks, private rows into parts, and each block meets each part in a task of its own.
+Winners of several blocks meet in one aggregation by private row. Distances of the winners are
+recomputed from differences, so the expanded form's rounding doesn't decide ties.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,43 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array([x if x is not None else [np.nan] * width for x in column.to_pylist()], float)
 
 
-def candidate_blocks(cand: DataFrame, block: int = BLOCK) -> list:
-    """Broadcast blocks (ids, labels, vectors) of at most about ``block`` candidates each."""
-    n = max(1, -(-cand.count() // max(1, block // 2)))
-    marked = cand.select("id", "label", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-    blocks = []
-    for no in range(n):
-        rows = marked.filter(F.col("block") == no).orderBy("id").collect()
-        ids = np.array([r.id for r in rows], np.int64)
-        labels = np.array([-1 if r.label is None else r.label for r in rows], np.int64)
-        vectors_ = np.array([r.embedding for r in rows], float)
-        blocks.append(cand.sparkSession.sparkContext.broadcast((ids, labels, vectors_)))
-    return blocks
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, labels, vectors) by rising id; a null label is -1."""
+    ids = np.asarray(rows.column("id").combine_chunks())
+    order = np.argsort(ids, kind="stable")
+    labels = np.asarray(rows.column("label").fill_null(-1).combine_chunks())
+    return ids[order], labels[order], matrix(rows.column("embedding"))[order]
+
+
+def _each_block(rows: DataFrame, cand: DataFrame, block: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` of every part of ``rows`` with every block of ``cand``, as one frame; both have (id, label, embedding).
+
+    Up to ``block`` candidates are broadcast. Beyond that a row goes to each block and a candidate to each
+    part, so a task holds about ``block`` rows of either side and nothing passes through the driver.
+    """
+    columns = ["id", F.col("label").cast("long").alias("label"), "embedding"]
+    rows, cand = (df.select(*columns).filter("embedding IS NOT NULL") for df in (rows, cand))
+    n = cand.count()
+    if n <= block:
+        shared = cand.sparkSession.sparkContext.broadcast(cand.toArrow())
+
+        def stream(batches):
+            for batch in batches:
+                if batch.num_rows and shared.value.num_rows:
+                    yield from work(pa.Table.from_batches([batch]), shared.value).to_batches()
+
+        return rows.mapInArrow(stream, schema)
+    blocks, parts = -(-n // max(1, block // 2)), max(1, -(-rows.count() // max(1, block // 2)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("*", dealt(parts).alias("part"), every(blocks).alias("block"))
+    right = cand.select("*", dealt(blocks).alias("block"), every(parts).alias("part"))
+    empty = pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))})
+
+    def meet(key, x: pa.Table, c: pa.Table) -> pa.Table:
+        return work(x, c) if x.num_rows and c.num_rows else work(empty, empty)
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, schema)
 
 
 def _crowded(rank: np.ndarray, near: np.ndarray, q: int, squares: np.ndarray, width: int) -> dict[int, np.ndarray]:
@@ -58,44 +84,36 @@ def _crowded(rank: np.ndarray, near: np.ndarray, q: int, squares: np.ndarray, wi
     return {int(i): np.flatnonzero((rank[i] <= limit[i]) & np.isfinite(rank[i])) for i in full}
 
 
-def _search(batches: Iterator[pa.RecordBatch], shared, q: int, rule: str, far: bool) -> Iterator[pa.RecordBatch]:
-    ids, labels, c = shared.value
+def _search(rows: pa.Table, cand: pa.Table, q: int, rule: str, far: bool) -> pa.Table:
+    ids, labels, c = _vectors(cand)
     largest = (c * c).sum(1).max() if len(ids) else 0.0
-    for batch in batches:
-        if not batch.num_rows or not len(ids):
-            continue
-        x = matrix(batch.column("embedding"))
-        own = np.asarray(batch.column("label").fill_null(-1))
-        out: list[tuple] = []
-        for lo in range(0, len(x), 256):
-            part, mine = x[lo : lo + 256], own[lo : lo + 256]
-            d = (part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)
-            sign = -1.0 if far else 1.0
-            rank = sign * d
-            if rule != "all":
-                same = mine[:, None] == labels
-                rank = np.where(same if rule == "same" else ~same, rank, np.inf)
-            take = min(q + 8, len(ids))
-            near = np.argpartition(rank, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-            crowded = _crowded(rank, near, q, (part * part).sum(1) + largest, c.shape[1]) if take < len(ids) else {}
-            exact = np.sqrt(((part[:, None, :] - c[near]) ** 2).sum(2))
-            value = np.where(np.isfinite(np.take_along_axis(rank, near, 1)), sign * exact, np.inf)
-            order = np.lexsort((ids[near], value), axis=1)[:, :q]
-            for i, row in enumerate(order):
-                if i not in crowded:
-                    out += [(lo + i, ids[near[i, k]], exact[i, k]) for k in row if np.isfinite(value[i, k])]
-                    continue
-                at, low = crowded[i], np.sqrt(((part[i] - c[crowded[i]]) ** 2).sum(1))
-                out += [(lo + i, ids[at[k]], low[k]) for k in np.lexsort((ids[at], sign * low))[:q]]
-        at = np.array([o[0] for o in out], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id").take(pa.array(at)),
-                pa.array([o[1] for o in out], pa.int64()),
-                pa.array([o[2] for o in out], pa.float64()),
-            ],
-            ["id", "cand_id", "dist"],
-        )
+    x = matrix(rows.column("embedding"))
+    own = np.asarray(rows.column("label").fill_null(-1))
+    sign = -1.0 if far else 1.0
+    out: list[tuple] = []
+    for lo in range(0, len(x), 256):
+        part, mine = x[lo : lo + 256], own[lo : lo + 256]
+        rank = sign * ((part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1))
+        if rule != "all":
+            same = mine[:, None] == labels
+            rank = np.where(same if rule == "same" else ~same, rank, np.inf)
+        take = min(q + 8, len(ids))
+        near = np.argpartition(rank, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
+        crowded = _crowded(rank, near, q, (part * part).sum(1) + largest, c.shape[1]) if take < len(ids) else {}
+        exact = np.sqrt(((part[:, None, :] - c[near]) ** 2).sum(2))
+        value = np.where(np.isfinite(np.take_along_axis(rank, near, 1)), sign * exact, np.inf)
+        order = np.lexsort((ids[near], value), axis=1)[:, :q]
+        for i, row in enumerate(order):
+            if i not in crowded:
+                out += [(lo + i, ids[near[i, k]], exact[i, k]) for k in row if np.isfinite(value[i, k])]
+                continue
+            at, low = crowded[i], np.sqrt(((part[i] - c[crowded[i]]) ** 2).sum(1))
+            out += [(lo + i, ids[at[k]], low[k]) for k in np.lexsort((ids[at], sign * low))[:q]]
+    return pa.table({
+        "id": rows.column("id").take(pa.array([o[0] for o in out], pa.int64())),
+        "cand_id": pa.array([o[1] for o in out], pa.int64()),
+        "dist": pa.array([o[2] for o in out], pa.float64()),
+    })
 
 
 def knn(private: DataFrame, cand: DataFrame, q: int = 1, rule: str = "all", farthest: bool = False, block: int = BLOCK) -> DataFrame:
@@ -104,14 +122,7 @@ def knn(private: DataFrame, cand: DataFrame, q: int = 1, rule: str = "all", fart
     ``rule``: all candidates, those of the ``same`` or of an ``other`` label. Ties go to the smaller
     candidate id. Rows without a vector have no neighbours.
     """
-    rows = private.select("id", F.col("label").cast("long").alias("label"), "embedding").filter("embedding IS NOT NULL")
-    parts = [
-        rows.mapInArrow(lambda b, s=s: _search(b, s, q, rule, farthest), "id long, cand_id long, dist double")
-        for s in candidate_blocks(cand.filter("embedding IS NOT NULL"), block)
-    ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = _each_block(private, cand, block, lambda x, c: _search(x, c, q, rule, farthest), "id long, cand_id long, dist double")
     first = F.col("dist").desc() if farthest else F.col("dist")
     rank = F.row_number().over(W.partitionBy("id").orderBy(first, "cand_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= q)
@@ -166,41 +177,52 @@ def max_self_similarity(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mean_cross_distance(syn: DataFrame, real: DataFrame, block: int = BLOCK) -> DataFrame:
     """(label, mean_l2, mean_cosine) over all pairs of equal label; a class missing on one side gives null."""
-    parts = [
-        syn.select("label", "embedding").mapInArrow(lambda b, s=s: _pair_sums(b, s), "label long, l2 double, cosine double, n long")
-        for s in candidate_blocks(real, block)
-    ]
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
+    sums = _each_block(syn.filter("label IS NOT NULL"), real.filter("label IS NOT NULL"), block, _pair_sums, "label long, l2 double, cosine double, n long")
     out = sums.groupBy("label").agg((F.sum("l2") / F.sum("n")).alias("mean_l2"), (F.sum("cosine") / F.sum("n")).alias("mean_cosine"))
     labels = syn.select(F.col("label").cast("long").alias("label")).union(real.select(F.col("label").cast("long").alias("label"))).distinct()
     return labels.join(out, "label", "left")
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    _, labels, c = shared.value
-    for batch in batches:
-        x, own = matrix(batch.column("embedding")), np.asarray(batch.column("label"))
-        rows = []
-        for label in np.unique(own):
-            a, b = x[own == label], c[labels == label]
-            if not len(b):
-                continue
-            l2 = sum(float(np.sqrt(((b - row) ** 2).sum(1)).sum()) for row in a)
-            unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-            rows.append((int(label), l2, float(unit(a).sum(0) @ unit(b).sum(0)), len(a) * len(b)))
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(("label", "l2", "cosine", "n"), r, strict=True)) for r in rows],
-            pa.schema([("label", pa.int64()), ("l2", pa.float64()), ("cosine", pa.float64()), ("n", pa.int64())]),
-        )
-
-
-def mean_pair_psnr(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(label, psnr): mean over all pairs of a class of 10 log10(1 / (MSE / 3)), 100 where equal."""
-    j = a.select("label", F.col("embedding").alias("x")).join(b.select("label", F.col("embedding").alias("y")), "label")
-    mse = v.squared_l2(F.col("x"), F.col("y")) / F.size("x") / 3
-    return j.groupBy("label").agg(F.avg(F.when(mse > 0, F.least(10 * F.log10(1 / mse), F.lit(100.0))).otherwise(100.0)).alias("psnr"))
+def _classes(rows: pa.Table, cand: pa.Table):
+    """(label, vectors of one side, vectors of the other) of each label that both have."""
+    _, own, x = _vectors(rows)
+    _, labels, c = _vectors(cand)
+    for label in np.intersect1d(own, labels):
+        yield int(label), x[own == label], c[labels == label]
+
+
+def _pair_sums(rows: pa.Table, cand: pa.Table) -> pa.Table:
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    out = []
+    for label, a, b in _classes(rows, cand):
+        l2 = sum(float(np.sqrt(((b - row) ** 2).sum(1)).sum()) for row in a)
+        out.append((label, l2, float(unit(a).sum(0) @ unit(b).sum(0)), len(a) * len(b)))
+    label, l2, cosine, n = zip(*out, strict=True) if out else ((),) * 4
+    return pa.table({
+        "label": pa.array(label, pa.int64()), "l2": pa.array(l2, pa.float64()), "cosine": pa.array(cosine, pa.float64()), "n": pa.array(n, pa.int64())
+    })
+
+
+def mean_pair_psnr(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(label, psnr): mean over all pairs of a class of 10 log10(1 / (MSE / 3)), 100 where equal.
+
+    Pairs are summed block by block and never become rows. Rows without a vector or a label have no pairs.
+    """
+    kind = a.schema["label"].dataType
+    sums = _each_block(a.filter("label IS NOT NULL"), b.filter("label IS NOT NULL"), block, _psnr_sums, "label long, s double, n long")
+    return sums.groupBy(F.col("label").cast(kind).alias("label")).agg((F.sum("s") / F.sum("n")).alias("psnr"))
+
+
+def _psnr_sums(rows: pa.Table, cand: pa.Table) -> pa.Table:
+    out = []
+    for label, x, c in _classes(rows, cand):
+        total = 0.0
+        for row in x:
+            mse = ((c - row) ** 2).sum(1) / c.shape[1] / 3
+            total += float(np.where(mse > 0, np.minimum(-10 * np.log10(np.where(mse > 0, mse, 1.0)), 100.0), 100.0).sum())
+        out.append((label, total, len(x) * len(c)))
+    label, s, n = zip(*out, strict=True) if out else ((),) * 3
+    return pa.table({"label": pa.array(label, pa.int64()), "s": pa.array(s, pa.float64()), "n": pa.array(n, pa.int64())})
 
 
 def align_by_index(a: DataFrame, b: DataFrame, key="idx") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..functions.keyed import gaussian, gumbel, uniform
 from ..sources.tables import materialise
-from .selection import cut_points, ranked, reindex
+from .selection import class_ranks, cut_points, first_rows, ranked, reindex
 
 
 def iid_clients(df: DataFrame, k: int, seed, key="id") -> DataFrame:
@@ -52,8 +52,8 @@ def assign_by_shares(df: DataFrame, shares: dict, seed, label="label", key="id")
     table = spark.createDataFrame(rows, f"{label} {kind}, client_id long, p double")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     cuts = cut_points(counts, table, label)
-    rank = F.row_number().over(W.partitionBy(label).orderBy(uniform(seed, F.col(key)), key)) - 1
-    placed = df.withColumn("__r", rank).join(F.broadcast(cuts), label)
+    rows = class_ranks(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").withColumn("__r", F.col("__r") - 1)
+    placed = rows.join(F.broadcast(cuts), label)
     return placed.filter("__r >= first AND __r < last").drop("__r", "first", "last")
 
 
@@ -70,8 +70,8 @@ def dirichlet_clients_pinned(df: DataFrame, k: int, beta: float, seed: int, cap:
     if cap * k < df.count():
         raise ValueError("the caps don't hold all rows")
     is_pinned = placed.join(pinned.select(key, F.lit(1).alias("__pin")), key, "left")
-    rank = F.row_number().over(W.partitionBy("client_id").orderBy(F.coalesce("__pin", F.lit(0)).desc(), uniform(seed, F.col(key), 1), key))
-    ranked_ = materialise(is_pinned.withColumn("__r", rank).drop("__pin"))
+    order = [F.coalesce("__pin", F.lit(0)).desc(), uniform(seed, F.col(key), 1), F.col(key)]
+    ranked_ = materialise(class_ranks(is_pinned, order, "client_id", "__r").drop("__pin"))
     over = reindex(ranked_.filter(F.col("__r") > cap), ["client_id", "__r"], "__slot").drop("client_id", "__r")
     sizes = ranked_.groupBy("client_id").agg(F.count(F.lit(1)).alias("__n"))
     clients = df.sparkSession.range(k).select(F.col("id").alias("client_id")).join(sizes, "client_id", "left").fillna(0, ["__n"])
@@ -102,8 +102,8 @@ def fixed_size_clients(df: DataFrame, size: int, alpha: float, seed: int, label=
     q = df.sparkSession.createDataFrame(quotas, f"{label} {kind}, client_id long, q long")
     run = F.sum("q").over(W.partitionBy(label).orderBy("client_id").rowsBetween(W.unboundedPreceding, 0))
     cuts = q.select(label, "client_id", (run - F.col("q")).alias("first"), run.alias("last"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(uniform(seed, F.col(key)), key)) - 1
-    placed = df.withColumn("__r", rank).join(F.broadcast(cuts), label)
+    rows = class_ranks(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").withColumn("__r", F.col("__r") - 1)
+    placed = rows.join(F.broadcast(cuts), label)
     return placed.filter("__r >= first AND __r < last").drop("__r", "first", "last")
 
 
@@ -112,8 +112,8 @@ def class_skew_clients(df: DataFrame, k: int, s: int, seed, label="label", key="
     classes = df.select(label).distinct()
     c = classes.withColumn("__c", F.row_number().over(W.orderBy(label)) - 1).withColumn("__k", F.count(F.lit(1)).over(W.partitionBy()))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(uniform(seed, F.col(key)), key)) - 1
-    rows = df.withColumn("__r", rank).join(F.broadcast(c.join(counts, label)), label)
+    rows = class_ranks(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").withColumn("__r", F.col("__r") - 1)
+    rows = rows.join(F.broadcast(c.join(counts, label)), label)
     slices = F.greatest(F.floor(F.lit(k * s) / F.col("__k")), F.lit(1))
     j = F.least(F.floor(F.col("__r") * slices / F.col("__n")), slices - 1)
     client = F.floor((F.col("__c") * slices + j) / s) % k
@@ -129,8 +129,8 @@ def category_shards(df: DataFrame, k: int, category="label", key="id") -> DataFr
     cats = cats.select("*", mine)
     first = F.sum("__s").over(order.rowsBetween(W.unboundedPreceding, -1))
     cats = cats.withColumn("__first", F.coalesce(first, F.lit(0))).filter("__s > 0")
-    rank = F.row_number().over(W.partitionBy(category).orderBy(key)) - 1
-    rows = df.withColumn("__r", rank).join(F.broadcast(cats), category)
+    rows = class_ranks(df, [F.col(key)], category, "__r").withColumn("__r", F.col("__r") - 1)
+    rows = rows.join(F.broadcast(cats), category)
     size = F.greatest(F.floor(F.col("__n") / F.col("__s")), F.lit(1))
     rows = rows.withColumn("__shard", F.floor(F.col("__r") / size)).filter("__shard < __s")
     return rows.withColumn("client_id", (F.col("__first") + F.col("__shard")).cast("long")).drop("__r", "__n", "__i", "__c", "__s", "__first", "__shard")
@@ -167,17 +167,17 @@ def weighted_resample(df: DataFrame, n: int, seed, weight="w", key="id") -> Data
 def weighted_sample(df: DataFrame, n: int, seed, weight="w", key="id") -> DataFrame:
     """n rows without replacement, P proportional to the weight: exponential keys, n smallest."""
     e = -F.log(uniform(seed, F.col(key))) / F.col(weight)
-    return df.filter(F.col(weight) > 0).withColumn("__e", e).orderBy("__e", key).limit(n).drop("__e")
+    return first_rows(df.filter(F.col(weight) > 0).withColumn("__e", e), [F.col("__e"), F.col(key)], n).drop("__e")
 
 
 def entropy_sample(df: DataFrame, n: int, sign: int, seed, prob="prob", key="id") -> DataFrame:
     """n rows, P proportional to exp(sign * entropy), by Gumbel keys."""
     g = sign * v.entropy(F.col(prob)) + gumbel(seed, F.col(key))
-    return df.withColumn("__g", g).orderBy(F.col("__g").desc(), key).limit(n).drop("__g")
+    return first_rows(df.withColumn("__g", g), [F.col("__g").desc(), F.col(key)], n).drop("__g")
 
 
 def random_rows(df: DataFrame, n: int, seed, key="id") -> DataFrame:
-    return df.withColumn("__u", uniform(seed, F.col(key))).orderBy("__u", key).limit(n).drop("__u")
+    return first_rows(df.withColumn("__u", uniform(seed, F.col(key))), [F.col("__u"), F.col(key)], n).drop("__u")
 
 
 def bernoulli(df: DataFrame, p: float, seed, key="id") -> DataFrame:
@@ -206,14 +206,14 @@ def few_shot_ids(prompts: DataFrame, pool_size: int, k: int, seed, key="prompt_i
 
 def clients_of_round(clients: DataFrame, m: int, round_no: int, seed, key="client_id") -> DataFrame:
     u = uniform(seed, F.concat_ws(":", F.lit(round_no).cast("string"), F.col(key).cast("string")))
-    return clients.withColumn("__u", u).orderBy("__u", key).limit(m).drop("__u")
+    return first_rows(clients.withColumn("__u", u), [F.col("__u"), F.col(key)], m).drop("__u")
 
 
 def stratified_sample(df: DataFrame, n: int, seed, label="label", key="id") -> DataFrame:
     """round(n * share) rows of each class."""
     total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__t")))
     quota = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).crossJoin(total).select(label, F.round(n * F.col("__n") / F.col("__t")).alias("__q"))
-    rows = ranked(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").join(F.broadcast(quota), label)
+    rows = class_ranks(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").join(F.broadcast(quota), label)
     return rows.filter("__r <= __q").drop("__r", "__q")
 
 
@@ -245,7 +245,7 @@ def skewed_sample(df: DataFrame, n: int, seed: int, skewed: bool = True, label="
         quota = {c: min(n // len(counts), rows) for c, rows in counts.items()}
     kind = df.schema[label].dataType.simpleString()
     q = df.sparkSession.createDataFrame(list(quota.items()), f"{label} {kind}, __q long")
-    rows = ranked(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").join(F.broadcast(q), label)
+    rows = class_ranks(df, [uniform(seed, F.col(key)), F.col(key)], label, "__r").join(F.broadcast(q), label)
     return rows.filter("__r <= __q").drop("__r", "__q")
 
 

@@ -29,6 +29,25 @@ def ranked(df: DataFrame, order: list, by: list | str | None = None, name: str =
     return reindex(df, order, name).withColumn(name, F.col(name) + 1)
 
 
+def class_ranks(df: DataFrame, order: list, by: str, name: str = "rank") -> DataFrame:
+    """1-based rank within few large classes. A class is sorted by many tasks (see ``reindex``), not by one."""
+    rows = reindex(df, [F.col(by), *order], "__no")
+    first = rows.groupBy(F.col(by).alias("__class")).agg(F.min("__no").alias("__from"))
+    numbered = rows.join(first, F.col(by).eqNullSafe(F.col("__class")))
+    return numbered.withColumn(name, F.col("__no") - F.col("__from") + 1).drop("__no", "__class", "__from")
+
+
+#: So many rows are merged by one task at most.
+FEW = 10_000
+
+
+def first_rows(df: DataFrame, order: list, n: int, few: int = FEW) -> DataFrame:
+    """The n first rows: a distributed top-k, or beyond ``few`` the first numbers of a range-partitioned sort."""
+    if n <= few:
+        return df.orderBy(*order).limit(n)
+    return reindex(df, order, "__first").filter(F.col("__first") < n).drop("__first")
+
+
 def rank_in_prompt(df: DataFrame, r: int, prompt="prompt", score="score", pos="pos", text="text") -> DataFrame:
     """(prompt, chosen, rejected): the best-scored answer and the one at 0-based rank r."""
     one = ranked(df, [F.col(score).desc(), F.col(pos)], prompt)
@@ -96,10 +115,10 @@ def interleave(df: DataFrame, chunk="chunk", order="pos") -> DataFrame:
 
 
 def top(df: DataFrame, n: int, by: list | str | None = None, value="votes", key="id", ascending=False) -> DataFrame:
-    """The n first rows overall (a distributed top-k) or in each group."""
+    """The n first rows overall or in each group."""
     first = F.col(value) if ascending else F.col(value).desc()
     if not by:
-        return df.orderBy(first, key).limit(n)
+        return first_rows(df, [first, F.col(key)], n)
     return ranked(df, [first, F.col(key)], by).filter(F.col("rank") <= n).drop("rank")
 
 
@@ -147,7 +166,7 @@ def easy_and_ambiguous_v2(df: DataFrame, n_ambiguous: int, n_total: int, guess:
     one = one.withColumn("kind", F.when((F.col("tier") < 2) & (F.col("__r") <= n_ambiguous), "ambiguous"))
     taken = materialise(one)
     left = max(n_total - taken.filter("kind IS NOT NULL").count(), 0)
-    easy = taken.filter("kind IS NULL").orderBy(value, key).limit(left).withColumn("kind", F.lit("easy"))
+    easy = first_rows(taken.filter("kind IS NULL"), [F.col(value), F.col(key)], left).withColumn("kind", F.lit("easy"))
     return taken.filter("kind IS NOT NULL").unionByName(easy).drop("__by", "__r")
 
 
@@ -163,7 +182,7 @@ def influence_and_variability(df: DataFrame, n: int, influence="influence", valu
 
 def keep_kth(df: DataFrame, k: int, value="votes") -> DataFrame:
     """Values below the k-th largest become 0; ties with it stay."""
-    kth = df.orderBy(F.col(value).desc()).limit(k).agg(F.min(value).alias("__kth"))
+    kth = first_rows(df, [F.col(value).desc()], k).agg(F.min(value).alias("__kth"))
     return df.crossJoin(F.broadcast(kth)).withColumn(value, F.when(F.col(value) >= F.col("__kth"), F.col(value)).otherwise(0)).drop("__kth")
 
 
@@ -194,7 +213,7 @@ def low_error_fill(df: DataFrame, n: int, own: int, source="source_model", error
     """Wrong rows of other sources first, then own rows with the lowest error."""
     first = F.when((F.col(source) != own) & ~F.col(correct), 0).when(F.col(source) == own, 1)
     rows = df.withColumn("priority", first).filter("priority IS NOT NULL")
-    return rows.orderBy("priority", error, key, source).limit(n)
+    return first_rows(rows, [F.col(c) for c in ("priority", error, key, source)], n)
 
 
 def top_ifd(df: DataFrame, rate: float, ratio="ratio", key="id") -> DataFrame:
