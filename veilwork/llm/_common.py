@@ -31,11 +31,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _OWN[application]
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write once into the shared checkpoint folder as Parquet and read back."""
+    """Cut the lineage: write once into the shared checkpoint folder as Parquet and read back.
+
+    What was shuffled for the write is of no further use, so the executors may delete it when the write
+    ends, instead of when the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
