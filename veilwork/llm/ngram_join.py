@@ -23,7 +23,8 @@ components. Entries whose members then still lie in several components yield the
 between these, which are verified too. So no pair is lost, and large groups of near copies cost a
 link each and not all pairs. Before texts are fetched, pairs pass an exact bound inside the join:
 each set has a sketch of parities (bit i: is the number of elements with hash i modulo 1024 odd),
-and two sets differ in at least as many elements as their sketches in bits.
+and two sets differ in at least as many elements as their sketches in bits. Texts of entities that
+may have partners travel compressed.
 
 Defined cases: null or blank texts have an empty set and stay alone; texts with fewer words than a
 shingle count as one shingle of all their words; a null id counts as the largest; texts of one id,
@@ -37,11 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, row_blocks, utf8_buffers
-from ._repeats import NO_ID
+from ._repeats import NO_ID, _packed, unpacked
 from ._words import Words, mix, window_hashes
 from .components import connected_components
 
@@ -172,10 +174,21 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, size) + np.arange(int(size.sum()))
 
 
-def _sets_of(batch: pa.RecordBatch, size: int):
-    data, offsets = utf8_buffers(batch.column("text"))
+def _blocks(column: pa.Array):
+    """(lo, hi, bytes, offsets) of texts, ``BLOCK`` bytes or one text at a time; packed texts are unpacked by block."""
+    if pa.types.is_binary(column.type):
+        sizes = [zstandard.frame_content_size(x) for x in column.to_pylist()]
+        for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), BLOCK):
+            yield lo, hi, *unpacked(column.slice(lo, hi - lo))
+        return
+    data, offsets = utf8_buffers(column)
     for lo, hi in row_blocks(offsets, BLOCK):
-        yield lo, hi, *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
+def _sets_of(batch: pa.RecordBatch, size: int):
+    for lo, hi, data, offsets in _blocks(batch.column("text")):
+        yield lo, hi, *shingle_sets(data, offsets, size)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -237,7 +250,7 @@ def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, bands: Bands) -> I
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Texts with the digest of their own set, the first of each digest in a task."""
+    """Packed texts with the digest of their own set, the first of each digest in a task."""
     done: set[int] = set()
     for batch in batches:
         for lo, hi, h, at in _sets_of(batch, size):
@@ -247,17 +260,16 @@ def _digest_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
 
 
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their texts, those that are similar."""
+    """Of pairs with their packed texts, those that are similar."""
     last, last_set = None, None
     for batch in batches:
-        data, offsets = utf8_buffers(batch.column("text_b"))
         firsts = batch.column("a").to_pylist()
         keep = np.zeros(batch.num_rows, bool)
-        for lo, hi in row_blocks(offsets, BLOCK):
-            h, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        for lo, hi, data, offsets in _blocks(batch.column("text_b")):
+            h, at = shingle_sets(data, offsets, size)
             for i in range(lo, hi):
                 if firsts[i] != last or last_set is None:
-                    one, ends = utf8_buffers(batch.column("text_a").slice(i, 1))
+                    one, ends = unpacked(batch.column("text_a").slice(i, 1))
                     last, last_set = firsts[i], shingle_sets(one, ends, size)[0]
                 other = h[at[i - lo] : at[i - lo + 1]]
                 where = np.searchsorted(last_set, other)
@@ -317,8 +329,9 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     score = F.when((F.col("kind") == 0) | several, F.col("weight")).otherwise(0)
     possible_d = firsts.repartition("token").select("d", score.alias("score")).groupBy("d").agg(F.sum("score").alias("score"))
     alive = materialise(entities.join(possible_d.filter("score >= 0"), "d", "left_semi"))
-    own = texts.join(alive.select(F.col("rep").alias("id"), F.col("rep_t").alias("t")), ["id", "t"], "left_semi").select("text")
-    held = materialise(own.mapInArrow(lambda b: _digest_rows(b, size), "d long, text string").dropDuplicates(["d"]))
+    packed = texts.mapInArrow(_packed, "id long, t long, text binary")
+    own = packed.join(alive.select(F.col("rep").alias("id"), F.col("rep_t").alias("t")), ["id", "t"], "left_semi").select("text")
+    held = materialise(own.mapInArrow(lambda b: _digest_rows(b, size), "d long, text binary").dropDuplicates(["d"]))
 
     entries = held.mapInArrow(lambda b: _entry_rows(b, size, bands), "entry long, d long")
     held_by = F.count(F.lit(1)).over(Window.partitionBy("entry"))
