@@ -33,7 +33,7 @@ def test_query_equals_its_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_operator_has_its_query(name):
-    assert re.fullmatch(r"op([1-9]|10)_\w+", name)
+    assert re.fullmatch(r"op([1-9]|1[0-3])_\w+", name)
 
 
 def random_docs(rng, n, words, low, high, copies):
@@ -213,8 +213,7 @@ def test_bands_allow_every_similar_pair():
             low, high = b.of(np.array([n]))[0], b.of(np.array([other]))[0]
             assert high - low in (0, 1)
             assert (n + other) * 15 // 185 <= b.differ[low]
-    whole = ~b.deletion
-    assert b.deletion.any() and (b.segments >= b.differ + 1 + b.slack)[whole].all() and (2 * b.segments > b.differ)[~whole].all()
+    assert b.deletion.any() and (b.segments + b.deletion >= b.differ + 1 + b.slack).all()
 
 
 def test_components(spark):

@@ -183,6 +183,26 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+OP12 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS a, c.id AS c, a.label = c.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score
+  FROM v a JOIN v c ON a.id % 100 = 0 AND a.id <> c.id),
+p AS (
+  SELECT * FROM (SELECT a, c, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (
+  SELECT p.a, p.c AS p, p.score AS ps, s.c, s.score, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, r::INTEGER AS rank, c AS negative_id, ps AS positive_score, score AS negative_score
+FROM n WHERE r <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": OP1,
@@ -193,4 +213,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": OP7,
         "op8_exact_dedup": OP8,
         "op9_license_scan": _op9(),
+        "op12_hard_negatives": OP12,
     }
