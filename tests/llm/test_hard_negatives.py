@@ -35,14 +35,12 @@ def found(spark, rows, **options):
 
 
 @pytest.mark.parametrize("seed,dims,block", [(1, 8, 4096), (2, 13, 2), (3, 64, 3)])
-def test_equals_brute_force_with_ties_and_a_hot_label(spark, monkeypatch, seed, dims, block):
-    monkeypatch.setattr(hard_negatives, "CHUNK", 16)
-    monkeypatch.setattr(hard_negatives, "SUB_BLOCK", 3)
+def test_equals_brute_force_with_ties_and_a_hot_label(spark, seed, dims, block):
     rng = random.Random(seed)
     vectors = [[rng.choice([-1.0, -0.5, 0.25, 0.5, 1.0, rng.random()]) for _ in range(dims)] for _ in range(60)]
     rows = [(i * 5, rng.choice(vectors), rng.choice([0, 0, 0, 1, 2, -3]), "x", 1.0) for i in range(300)]
     want = brute(rows)
-    assert want and found(spark, rows, block=block) == want
+    assert want and found(spark, rows, block=block, together=(16, 3)) == want
 
 
 def test_edges(spark):

@@ -118,11 +118,11 @@ class TopLists:
         return self.parts[0]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], anchors: tuple, scale: float, same_label: bool):
+def _meet(batches: Iterator[pa.RecordBatch], anchors: tuple, scale: float, same_label: bool, together: tuple[int, int]):
     """Yields (anchor numbers, candidate ids, scores, whether the label is the anchor's) of chunks that meet.
 
     Anchors are sorted by label; with ``same_label`` only rows of a label meet its anchors."""
-    a_ids, a_labels, a = anchors
+    (a_ids, a_labels, a), (chunk, sub_block) = anchors, together
     for batch in batches:
         x = rounded(batch.column("vector"), scale)
         x = np.pad(x[:, : a.shape[1]], ((0, 0), (0, max(0, a.shape[1] - x.shape[1]))))
@@ -137,12 +137,12 @@ def _meet(batches: Iterator[pa.RecordBatch], anchors: tuple, scale: float, same_
             cuts = [((0, len(a_ids)), (0, len(ids)))]
         for (a_lo, a_hi), (lo, hi) in cuts:
             planes = bit_planes(x[lo:hi])
-            for s in range(a_lo, a_hi, SUB_BLOCK):
-                numbers = np.arange(s, min(s + SUB_BLOCK, a_hi))
+            for s in range(a_lo, a_hi, sub_block):
+                numbers = np.arange(s, min(s + sub_block, a_hi))
                 tables = subset_sums(a[numbers], largest)
-                for c in range(0, hi - lo, CHUNK):
-                    part = slice(lo + c, min(lo + c + CHUNK, hi))
-                    yield numbers, ids[part], scores(planes[:, c : c + CHUNK], tables), labels[part, None] == a_labels[numbers]
+                for c in range(0, hi - lo, chunk):
+                    part = slice(lo + c, min(lo + c + chunk, hi))
+                    yield numbers, ids[part], scores(planes[:, c : c + chunk], tables), labels[part, None] == a_labels[numbers]
 
 
 def _out(lists: TopLists, names: list[str]) -> pa.RecordBatch:
@@ -154,7 +154,7 @@ def _ranked(found: DataFrame, group: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _of_block(rows: DataFrame, block: list, scale: float, positives: int, negatives: int, low: int, high: int, path: str) -> None:
+def _of_block(rows: DataFrame, block: list, scale: float, positives: int, negatives: int, low: int, high: int, path: str, together: tuple) -> None:
     """Writes the hard negatives of the anchors in ``block``."""
     spark = rows.sparkSession
     block.sort(key=lambda r: (r.label, r.id, r.vector))
@@ -164,7 +164,7 @@ def _of_block(rows: DataFrame, block: list, scale: float, positives: int, negati
 
     def best_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = TopLists(len(shared.value[0]), positives)
-        for numbers, ids, s, _ in _meet(batches, shared.value, scale, True):
+        for numbers, ids, s, _ in _meet(batches, shared.value, scale, True, together):
             c, a = np.nonzero((s >= lists.least[numbers]) & (ids[:, None] != shared.value[0][numbers]))
             lists.add(numbers[a], s[c, a].astype(np.int64), ids[c])
         yield _out(lists, ["anchor", "score", "id"])
@@ -182,7 +182,7 @@ def _of_block(rows: DataFrame, block: list, scale: float, positives: int, negati
     def best_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair_of, bounds, named = pairs.value
         lists = TopLists(len(bounds), negatives)
-        for numbers, ids, s, same in _meet(batches, shared.value, scale, False):
+        for numbers, ids, s, same in _meet(batches, shared.value, scale, False, together):
             other = ~same & (ids[:, None] != shared.value[0][numbers])
             for nth in range(positives):
                 pair = pair_of[numbers, nth]
@@ -210,6 +210,7 @@ def hard_negatives(
     high: int = 90,
     scale: float = 256.0,
     block: int = 4096,
+    together: tuple[int, int] = (CHUNK, SUB_BLOCK),
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -223,7 +224,7 @@ def hard_negatives(
     blocks = -(-anchors.count() // block)
     number = F.pmod(F.xxhash64("id", "label", "vector"), F.lit(blocks))
     for b in range(blocks):
-        _of_block(rows, anchors.filter(number == b).collect(), scale, positives, negatives, low, high, f"{path}/block={b}")
+        _of_block(rows, anchors.filter(number == b).collect(), scale, positives, negatives, low, high, f"{path}/block={b}", together)
     if not blocks:
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).parquet(f"{path}/*")

@@ -203,6 +203,41 @@ FROM n WHERE r <= 10
 """
 
 
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 5 AS b, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+own AS (
+  SELECT h.c, 0 AS part, pos, r, x FROM h JOIN t ON t.c = h.b AND pos < h
+  UNION ALL SELECT h.c, 1, pos, r, x FROM h JOIN t ON t.c = h.c AND pos >= h),
+turn AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, r, x FROM own),
+prefix AS (
+  SELECT c, d, octet_length(encode(x)) AS bytes,
+    string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (PARTITION BY c ORDER BY d) AS k FROM turn
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+path AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, lead(k) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM prefix),
+node AS (
+  SELECT k, min(c) AS conv_id, min(d) AS depth, min(up) AS up, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM path GROUP BY k),
+child AS (SELECT up AS k, count(*) AS n_children FROM node GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+below AS (
+  SELECT v.k, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved_tokens
+  FROM full_node v JOIN full_node u ON starts_with(u.k, v.k) GROUP BY v.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  n.ends_sha256
+FROM full_node n JOIN below USING (k) LEFT JOIN node p ON p.k = n.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": OP1,
@@ -214,4 +249,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": OP8,
         "op9_license_scan": _op9(),
         "op12_hard_negatives": OP12,
+        "op13_prefix_trie": OP13,
     }

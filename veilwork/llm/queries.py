@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, prefix_trie, quality, substring_dedup, suffix_dedup, url_filter
 from ._common import table
 
 
@@ -86,5 +86,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.withColumn("label", noisy))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
