@@ -223,6 +223,18 @@ def test_components(spark):
     assert got == want
 
 
+def test_digest_index_reopened_under_another_shuffle_setting(spark, tmp_path):
+    path, texts = str(tmp_path / "index"), docs(spark, [(i, f"text {i}") for i in range(400)])
+    first = exact_dedup.DigestIndex(spark, path, 8)
+    assert exact_dedup.new_rows(texts, first, batch="one").count() == 400
+    for buckets in (3, 8, None):
+        again = exact_dedup.DigestIndex(spark, path, buckets)
+        assert again.buckets == 8
+        assert exact_dedup.new_rows(texts, again, batch=f"again {buckets}").count() == 0
+    more = docs(spark, [(i, f"text {i}") for i in range(390, 410)])
+    assert exact_dedup.new_rows(more, exact_dedup.DigestIndex(spark, path, 5)).count() == 10
+
+
 def test_digest_index_persists_and_appends(spark, tmp_path):
     path = str(tmp_path / "index")
     index = exact_dedup.DigestIndex(spark, path, 4)

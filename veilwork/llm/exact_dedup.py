@@ -34,14 +34,20 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """Digests seen so far: (digest, keep_id, group_size, batch), in ``buckets`` buckets sorted by digest.
 
-    ``path`` is a folder shared by the cluster; opened again later, it holds all that was appended.
+    ``path`` is a folder shared by the cluster; opened again later, it holds all that was appended. The number
+    of buckets is written beside the digests when the folder is first used and followed ever after, whatever
+    ``buckets`` or the session's shuffle setting says by then: files dealt by one number can't be read by another.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = f"digest_index_{uuid.uuid4().hex}"
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        where = f"LOCATION '{path}'" if path else ""
+        if path:
+            noted = f"{path.rstrip('/')}/buckets"
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("ignore").parquet(noted)
+            buckets = spark.read.schema("buckets int").parquet(noted).first()[0]
+        where = f"LOCATION '{path.rstrip('/')}/digests'" if path else ""
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS {where}"
