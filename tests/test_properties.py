@@ -230,6 +230,19 @@ def test_weight_update_by_hand(spark):
     assert all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
 
 
+def test_weight_update_without_own_sources_keeps_every_row(spark):
+    theta = spark.createDataFrame([(0, 0, 1.0, False), (0, 1, 2.0, True), (1, 0, 1.0, False), (1, 1, 4.0, False)], "source_model long, idx long, theta double, is_real boolean")
+    rows = [(1, 0, 0, [0.7, 0.3]), (1, 0, 1, [0.4, 0.6]), (0, 1, 0, [0.2, 0.8]), (0, 0, 0, [0.1, 0.9]), (1, 1, 1, [0.5, 0.5])]  # row (1, 1) has no other model's score
+    scores = spark.createDataFrame([(m, s, i, 0, p, int(p[1] > p[0])) for m, s, i, p in rows], "model_id long, source_model long, idx long, label int, prob array<double>, pred int")
+    want = {(0, 0): 0.5**0.3, (0, 1): 2 * (0.4 / 0.6) ** -0.6, (1, 0): 0.5**-0.8, (1, 1): 4.0}
+    total = {0: 3 / (want[0, 0] + want[0, 1]), 1: 5 / (want[1, 0] + want[1, 1])}
+    got = {(r.source_model, r.idx): r.theta for r in a.weight_update(theta, scores, 0.5, real="is_real", scope="other").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - w * total[k[0]]) < 1e-12 for k, w in want.items())
+    one = a.weight_update(theta.filter("source_model = 0"), scores, 0.5, scope="other").collect()  # a single source is judged by all
+    assert {r.idx for r in one} == {0, 1}
+
+
 def test_client_scores_without_clipping_are_the_mean_similarity(spark):
     sim = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 1.0), ("b", 2, 5.0)], "party string, cand_id long, similarity double")
     assert {r.cand_id: r.score for r in a.client_scores(sim, clip=False).collect()} == {1: 1.5, 2: 4.5}

@@ -402,6 +402,29 @@ SELECT source_model, idx, round(t2 * sum(theta) OVER (PARTITION BY source_model)
         _weights(_mode, _wrong)
 
 
+for _scope, _where in (("other", "model_id % 3 <> source_model"), ("own", "model_id % 3 = source_model")):
+
+    def _scoped(scope, where):
+        @case(f"a35_weight_update_{scope}_sources", f"""WITH {SCORES_SQL}, x AS (SELECT *, 1 - prob[label + 1] AS x FROM scores WHERE {where}),
+s AS (SELECT source_model, idx, product(CASE WHEN pred = label THEN pow(0.8, x) ELSE pow(0.8, -x) END) AS s FROM x GROUP BY ALL),
+t AS (SELECT source_model, idx, 1 + {u_sql('idx', '7')} AS theta FROM scores WHERE model_id = 0), n AS (SELECT t.*, theta * coalesce(s, 1) AS t2 FROM t LEFT JOIN s USING (source_model, idx))
+SELECT source_model, idx, round(t2 * sum(theta) OVER (PARTITION BY source_model) / sum(t2) OVER (PARTITION BY source_model), 6) AS theta FROM n""")
+        def run(spark, d):
+            new = a.weight_update(theta(spark, d), scores(spark, d), 0.8, scope=scope, trained_on=F.col("model_id") % 3)
+            return new.withColumn("theta", r6("theta"))
+
+    _scoped(_scope, _where)
+
+
+@case("a35_weight_update_beta_by_rows", f"""WITH {SCORES_SQL},
+b AS (SELECT source_model, 1 + sqrt(greatest(1, 2 * ln(count(*) / 5))) AS beta FROM scores WHERE model_id = 0 GROUP BY 1),
+s AS (SELECT source_model, idx, product(pow(beta, CASE WHEN pred = label THEN 1 ELSE -1 END * (1 - prob[label + 1]))) AS s FROM scores JOIN b USING (source_model) GROUP BY ALL),
+n AS (SELECT source_model, idx, 1 + {u_sql('idx', '7')} AS theta, (1 + {u_sql('idx', '7')}) * s AS t2 FROM s)
+SELECT source_model, idx, round(t2 * sum(theta) OVER (PARTITION BY source_model) / sum(t2) OVER (PARTITION BY source_model), 6) AS theta FROM n""")
+def a35_beta(spark, d):
+    return a.weight_update(theta(spark, d), scores(spark, d), rounds=5).withColumn("theta", r6("theta"))
+
+
 _REAL = "idx % 4 = 1"
 
 

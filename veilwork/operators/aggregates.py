@@ -425,32 +425,53 @@ def recovery_rate(pairs: DataFrame, chosen="clean_chosen", rejected="clean_rejec
     return pairs.agg(F.avg((F.col(chosen) > F.col(rejected)).cast("double")).alias("recovery_rate"))
 
 
-def weight_update(theta: DataFrame, scores: DataFrame, beta: float, mode: str = "error", only_wrong: bool = False, real: str | None = None) -> DataFrame:
+def weight_update(
+    theta: DataFrame,
+    scores: DataFrame,
+    beta: float = 0.9,
+    mode: str = "error",
+    only_wrong: bool = False,
+    real: str | None = None,
+    scope: str = "all",
+    trained_on: Column | None = None,
+    rounds: int | None = None,
+) -> DataFrame:
     """New weights of (source_model, idx, theta): one factor for each model in ``scores``; sums of each source are kept.
 
     A row that a model gets right shrinks by beta^x, one it gets wrong grows by beta^(-x), where x is the
     ``error`` or the ``loss``. With ``only_wrong``, right rows keep their weight. Rows marked by the column
     ``real`` of ``theta`` get b^(-error) from each model in turn, where b is the odds of the weighted
     average error of the source's real rows (turned over when above 1), by the weights of that moment.
+
+    ``scope``: models judge ``all`` sources, ``other`` ones than they were trained on, or their ``own``
+    (``trained_on`` is the source of a model, its model_id by default); a single source is judged by all.
+    A model without a score for a row leaves its weight as it is. With ``rounds``, beta follows a source's
+    number of rows n instead: 1 + sqrt(max(1, 2 ln(n / rounds))).
     """
     keys = ["source_model", "idx"]
+    if scope != "all" and theta.select("source_model").distinct().limit(2).count() > 1:
+        of = F.col("model_id") if trained_on is None else trained_on
+        scores = scores.filter({"other": of != F.col("source_model"), "own": of == F.col("source_model")}[scope])
+    new = theta.withColumn("__t", F.col("theta").cast("double")).withColumn("__beta", F.lit(float(beta)))
+    if rounds is not None:
+        n = theta.groupBy("source_model").agg((1 + F.sqrt(F.greatest(F.lit(1.0), 2 * F.log(F.count(F.lit(1)) / rounds)))).alias("__beta"))
+        new = new.drop("__beta").join(n, "source_model")
     e = v.error_and_confidence(F.col("prob"), F.col("label"))
     x = {"error": e["error"], "loss": e["cross_entropy"]}[mode]
     signed = F.when(e["correct"], F.lit(0.0) if only_wrong else x).otherwise(-x)
     if real is None:
-        step = scores.groupBy(*keys).agg(F.exp(F.sum(signed * math.log(beta))).alias("__s"))
-        new = theta.join(step, keys).withColumn("__t", F.col("theta") * F.col("__s"))
+        step = scores.groupBy(*keys).agg(F.sum(signed).alias("__x"))
+        new = new.join(step, keys, "left").withColumn("__t", F.col("__t") * F.pow("__beta", F.coalesce("__x", F.lit(0.0))))
     else:
-        new = theta.withColumn("__t", F.col("theta").cast("double"))
         for (model,) in scores.select("model_id").distinct().orderBy("model_id").collect():
             one = scores.filter(F.col("model_id") == model).select(*keys, signed.alias("__x"), e["error"].alias("__e"))
-            rows = materialise(new.join(one, keys))
+            rows = materialise(new.join(one, keys, "left"))
             mean = (F.sum(F.col("__t") * F.col("__e")) / F.sum("__t")).alias("__m")
-            odds = rows.filter(real).groupBy("source_model").agg(mean).withColumn("__o", F.col("__m") / (1 - F.col("__m")))
+            odds = rows.filter(F.col(real) & F.col("__e").isNotNull()).groupBy("source_model").agg(mean).withColumn("__o", F.col("__m") / (1 - F.col("__m")))
             odds = odds.select("source_model", F.when(F.col("__o") > 1, 1 / F.col("__o")).otherwise(F.col("__o")).alias("__b"))
-            rows = rows.join(F.broadcast(odds), "source_model", "left")
-            factor = F.when(F.col(real), F.pow("__b", -F.col("__e"))).otherwise(F.pow(F.lit(beta), "__x"))
-            new = rows.withColumn("__t", F.col("__t") * factor).drop("__x", "__e", "__b")
+            rows = rows.join(odds, "source_model", "left")
+            factor = F.when(F.col(real), F.pow("__b", -F.col("__e"))).otherwise(F.pow("__beta", "__x"))
+            new = rows.withColumn("__t", F.col("__t") * F.coalesce(factor, F.lit(1.0))).drop("__x", "__e", "__b")
     sums = new.groupBy("source_model").agg((F.sum("theta") / F.sum("__t")).alias("__k"))
     return new.join(sums, "source_model").select(*keys, (F.col("__t") * F.col("__k")).alias("theta"))
 
