@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed
 from ..functions import vectors as v
 from ..sources.tables import materialise
-from .joins import matrix
+from .blocks import matrix
 
 
 def vote_histogram(nn: DataFrame, cand: DataFrame) -> DataFrame:

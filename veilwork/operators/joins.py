@@ -1,10 +1,10 @@
 """Nearest neighbours, similarities and other joins of private rows and candidates.
 
-Frames of vectors are (id, embedding, label, ...). Searches run in blocks of bounded size, in one plan:
-candidates that fit a block are broadcast and private rows stream past them in Arrow batches; more
-are dealt into blocks, private rows into parts, and each block meets each part in a task of its own.
-Winners of several blocks meet in one aggregation by private row. Distances of the winners are
-recomputed from differences, so the expanded form's rounding doesn't decide ties.
+Frames of vectors are (id, embedding, label, ...). Candidates that fit a block are broadcast and private
+rows stream past them in Arrow batches. More are written once in blocks that the tasks of the private
+rows read for themselves (``blocks``), skipping those that can't hold a winner; nothing is replicated.
+Every private row meets all its candidates in one task, so its ranks need no shuffle. Distances of the
+winners are computed from differences, so the expanded form's rounding doesn't decide ties.
 """
 
 from __future__ import annotations
@@ -18,22 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..sources.tables import shared_folder
+from . import blocks
+from .blocks import matrix
 
 BLOCK = 16_384
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows x dimensions, in double precision; a null vector is a row of NaN."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, 0))
-    width = max((len(x) for x in column[:64].to_pylist() if x is not None), default=0)
-    flat = column.flatten()
-    if column.null_count == 0 and len(flat) == width * len(column):
-        return np.asarray(flat, np.float64).reshape(len(column), width)
-    return np.array([x if x is not None else [np.nan] * width for x in column.to_pylist()], float)
-
-
 def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, labels, vectors) by rising id; a null label is -1."""
     ids = np.asarray(rows.column("id").combine_chunks())
@@ -42,14 +33,21 @@ def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[order], labels[order], matrix(rows.column("embedding"))[order]
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("label").cast("long").alias("label"), "embedding").filter("embedding IS NOT NULL")
+
+
+def _readable(df: DataFrame) -> bool:
+    return blocks.readable(shared_folder(df.sparkSession) if "://" in shared_folder(df.sparkSession) else f"file://{shared_folder(df.sparkSession)}")
+
+
 def _each_block(rows: DataFrame, cand: DataFrame, block: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` of every part of ``rows`` with every block of ``cand``, as one frame; both have (id, label, embedding).
 
-    Up to ``block`` candidates are broadcast. Beyond that a row goes to each block and a candidate to each
-    part, so a task holds about ``block`` rows of either side and nothing passes through the driver.
+    Up to ``block`` candidates are broadcast; more are files of the shared folder. Only where tasks can't
+    open such files are rows sent to each block and candidates to each part by a shuffle.
     """
-    columns = ["id", F.col("label").cast("long").alias("label"), "embedding"]
-    rows, cand = (df.select(*columns).filter("embedding IS NOT NULL") for df in (rows, cand))
+    rows, cand = _plain(rows), _plain(cand)
     n = cand.count()
     if n <= block:
         shared = cand.sparkSession.sparkContext.broadcast(cand.toArrow())
@@ -60,11 +58,25 @@ def _each_block(rows: DataFrame, cand: DataFrame, block: int, work: Callable[[pa
                     yield from work(pa.Table.from_batches([batch]), shared.value).to_batches()
 
         return rows.mapInArrow(stream, schema)
-    blocks, parts = -(-n // max(1, block // 2)), max(1, -(-rows.count() // max(1, block // 2)))
+    if _readable(cand):
+        files = blocks.store_plain(cand, max(1, block // 2))
+
+        def meet_files(batches):
+            for chunk in blocks.chunks(batches):
+                for file in files:
+                    yield from work(chunk, blocks.open_block(file)).to_batches()
+
+        return rows.mapInArrow(meet_files, schema)
+    return _dealt(rows, cand, n, block, work, schema)
+
+
+def _dealt(rows: DataFrame, cand: DataFrame, n: int, block: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Rows dealt into parts and candidates into blocks, each pair of them in a task: the way without a readable folder."""
+    n_blocks, parts = -(-n // max(1, block // 2)), max(1, -(-rows.count() // max(1, block // 2)))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("*", dealt(parts).alias("part"), every(blocks).alias("block"))
-    right = cand.select("*", dealt(blocks).alias("block"), every(parts).alias("part"))
+    left = rows.select("*", dealt(parts).alias("part"), every(n_blocks).alias("block"))
+    right = cand.select("*", dealt(n_blocks).alias("block"), every(parts).alias("part"))
     empty = pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))})
 
     def meet(key, x: pa.Table, c: pa.Table) -> pa.Table:
@@ -84,14 +96,13 @@ def _crowded(rank: np.ndarray, near: np.ndarray, q: int, squares: np.ndarray, wi
     return {int(i): np.flatnonzero((rank[i] <= limit[i]) & np.isfinite(rank[i])) for i in full}
 
 
-def _search(rows: pa.Table, cand: pa.Table, q: int, rule: str, far: bool) -> pa.Table:
+def _winners(x: np.ndarray, own: np.ndarray, cand: pa.Table, q: int, rule: str, far: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, candidate ids), rows x q, in order; the places left over hold infinity and -1."""
     ids, labels, c = _vectors(cand)
     largest = (c * c).sum(1).max() if len(ids) else 0.0
-    x = matrix(rows.column("embedding"))
-    own = np.asarray(rows.column("label").fill_null(-1))
     sign = -1.0 if far else 1.0
-    out: list[tuple] = []
-    for lo in range(0, len(x), 256):
+    dist, found = np.full((len(x), q), np.inf), np.full((len(x), q), -1, np.int64)
+    for lo in range(0, len(x) if len(ids) else 0, 256):
         part, mine = x[lo : lo + 256], own[lo : lo + 256]
         rank = sign * ((part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1))
         if rule != "all":
@@ -103,29 +114,69 @@ def _search(rows: pa.Table, cand: pa.Table, q: int, rule: str, far: bool) -> pa.
         exact = np.sqrt(((part[:, None, :] - c[near]) ** 2).sum(2))
         value = np.where(np.isfinite(np.take_along_axis(rank, near, 1)), sign * exact, np.inf)
         order = np.lexsort((ids[near], value), axis=1)[:, :q]
-        for i, row in enumerate(order):
-            if i not in crowded:
-                out += [(lo + i, ids[near[i, k]], exact[i, k]) for k in row if np.isfinite(value[i, k])]
-                continue
-            at, low = crowded[i], np.sqrt(((part[i] - c[crowded[i]]) ** 2).sum(1))
-            out += [(lo + i, ids[at[k]], low[k]) for k in np.lexsort((ids[at], sign * low))[:q]]
-    return pa.table({
-        "id": rows.column("id").take(pa.array([o[0] for o in out], pa.int64())),
-        "cand_id": pa.array([o[1] for o in out], pa.int64()),
-        "dist": pa.array([o[2] for o in out], pa.float64()),
-    })
+        value, near = np.take_along_axis(value, order, 1), np.take_along_axis(near, order, 1)
+        here = slice(lo, lo + len(part))
+        dist[here, : order.shape[1]] = np.where(np.isinf(value), np.inf, sign * value)
+        found[here, : order.shape[1]] = np.where(np.isinf(value), -1, ids[near])
+        for i, at in crowded.items():
+            low = np.sqrt(((part[i] - c[at]) ** 2).sum(1))
+            first = np.lexsort((ids[at], sign * low))[:q]
+            dist[lo + i, : len(first)], found[lo + i, : len(first)] = low[first], ids[at[first]]
+    return dist, found
 
 
 def knn(private: DataFrame, cand: DataFrame, q: int = 1, rule: str = "all", farthest: bool = False, block: int = BLOCK) -> DataFrame:
     """(id, cand_id, dist, rank): the q nearest (or farthest) candidates of each private row by L2.
 
     ``rule``: all candidates, those of the ``same`` or of an ``other`` label. Ties go to the smaller
-    candidate id. Rows without a vector have no neighbours.
+    candidate id. Rows without a vector have no neighbours; repeated rows have their own.
+
+    Beyond ``block`` candidates, private rows are sorted by range of their nearest pivot, so that a chunk's
+    rows need the same few blocks of candidates (see ``blocks``).
     """
-    found = _each_block(private, cand, block, lambda x, c: _search(x, c, q, rule, farthest), "id long, cand_id long, dist double")
-    first = F.col("dist").desc() if farthest else F.col("dist")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(first, "cand_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= q)
+    rows, cand = _plain(private), _plain(cand).withColumn("label", F.coalesce("label", F.lit(-1)))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, cand_id long, dist double, rank int"
+
+    def found(chunk: pa.Table, search) -> pa.RecordBatch:
+        own = np.asarray(chunk.column("label").fill_null(-1))
+        dist, ids = search(matrix(chunk.column("embedding")), own)
+        row, place = np.nonzero(np.isfinite(dist))
+        return pa.RecordBatch.from_arrays(
+            [chunk.column("id").combine_chunks().take(pa.array(row)), pa.array(ids[row, place]), pa.array(dist[row, place]), pa.array((place + 1).astype(np.int32))],
+            ["id", "cand_id", "dist", "rank"],
+        )
+
+    n = cand.count()
+    if n <= block:
+        shared = cand.sparkSession.sparkContext.broadcast(cand.toArrow())
+
+        def stream(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield found(pa.Table.from_batches([batch]), lambda x, own: _winners(x, own, shared.value, q, rule, farthest))
+
+        return rows.mapInArrow(stream, schema)
+    if not _readable(cand):
+
+        def pairs(x: pa.Table, c: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([found(x, lambda v, own: _winners(v, own, c, q, rule, farthest))])
+
+        met = _dealt(rows, cand, n, block, pairs, schema).drop("rank")
+        first = F.col("dist").desc() if farthest else F.col("dist")
+        rank = F.row_number().over(W.partitionBy("id").orderBy(first, "cand_id"))
+        return met.withColumn("rank", rank).filter(F.col("rank") <= q)
+    rings = blocks.store_rings(cand, max(1, block // 2), rule == "same")
+    shared = cand.sparkSession.sparkContext.broadcast(rings)
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, label long, embedding {rows.schema['embedding'].dataType.simpleString()}"
+    placed = rows.mapInArrow(lambda b: blocks.to_pivot(b, shared.value.pivots), kind + ", pivot long, reach double, slack double")
+    near = ["label", "pivot", "reach", "id"] if rule == "same" else ["pivot", "reach", "id"]
+
+    def visit(batches):
+        for chunk in blocks.chunks(batches):
+            search = lambda x, own, c: _winners(x, own, c, q, rule, farthest)
+            yield found(chunk, lambda x, own: blocks.visit(x, own, shared.value, search, q, farthest))
+
+    return placed.drop("slack").repartitionByRange(*near).sortWithinPartitions(*near).mapInArrow(visit, schema)
 
 
 def nearest(private: DataFrame, cand: DataFrame) -> DataFrame:
