@@ -122,6 +122,52 @@ def test_resample_follows_the_weights(spark):
     assert 3 not in n and sum(n.values()) == 4000 and abs(n[2] / 4000 - 0.75) < 0.03
 
 
+def test_resample_with_one_heavy_row_and_many_light_ones(spark):
+    w = [1.0 if i % 3 else 0.0 for i in range(3000)]
+    w[1501] = 60_000.0
+    df = spark.createDataFrame(list(enumerate(w)), "id long, w double").repartition(7)
+    got = m.weighted_resample(df, 5000, "k")
+    ends = np.cumsum(w)
+    x = [(r.draw, r.u * ends[-1]) for r in spark.range(5000).select(F.col("id").alias("draw"), keyed.uniform("k", F.col("id"), "draw").alias("u")).collect()]
+    want = {draw: int(np.searchsorted(ends, at, side="right")) for draw, at in x}
+    assert {r.draw: r.id for r in got.collect()} == want and sum(v == 1501 for v in want.values()) > 4500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_merged_draws_take_the_last_row_before(spark, parts):
+    rng = np.random.default_rng(6)
+    at = np.sort(rng.random(40)) * 10
+    rows = spark.createDataFrame([(f"k{i}", float(x)) for i, x in enumerate(at)], "key string, at double")
+    draws = [(i, float(x)) for i, x in enumerate(np.r_[rng.random(500) * 2 + 4, at[:5], -1.0])]
+    got = {r.draw: r.key for r in s.last_before(rows.repartition(parts), spark.createDataFrame(draws, "draw long, at double").repartition(parts)).collect()}
+    assert got == {i: f"k{np.searchsorted(at, x, side='right') - 1}" for i, x in draws if x >= at[0]}
+
+
+def test_prefix_sums_and_correlation_against_numpy(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 6, 900).astype(float), rng.normal(size=900).round(1)
+    x[:300] = 2.0  # a third of the rows share a value
+    rows = [(float(p), float(q)) for p, q in zip(x, y)]
+    got = a.correlation(spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "a double, b double").repartition(5), "a", "b").first()
+    want = pd.DataFrame({"a": x, "b": y})
+    assert np.isclose(got.pearson, want.corr().iloc[0, 1]) and np.isclose(got.spearman, want.rank().corr().iloc[0, 1])
+    constant = a.correlation(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double"), "a", "b").first()
+    assert constant.pearson is None and constant.spearman is None
+    assert a.correlation(spark.createDataFrame([], "a double, b double"), "a", "b").first().pearson is None
+    sums = s.prefix_sums(spark.createDataFrame([(i, i % 7) for i in range(500)], "k long, w long").repartition(6), "k", "w").orderBy("k").collect()
+    assert [r.before for r in sums] == list(np.r_[0, np.cumsum([i % 7 for i in range(499)])]) and [r.previous for r in sums] == [None, *range(499)]
+    hist = spark.createDataFrame([(float(p), float(q)) for p, q in rng.random((300, 2)).round(2)], "p double, q double")
+    p, q = np.sort([r.p for r in hist.collect()]), np.sort([r.q for r in hist.collect()])
+    assert np.isclose(a.histogram_distances(hist).first().wasserstein, np.abs(p - q).mean())
+    for plan in (a.correlation(hist, "p", "q"), a.histogram_distances(hist)):
+        for line in plan._jdf.queryExecution().executedPlan().toString().splitlines():
+            assert "Window" not in line or "__part" in line  # only over a row for each task
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert s.reindex(df, ["doc_id"]).count() == 0

@@ -508,10 +508,10 @@ def a43(spark, d):
 
 
 @case("a44_correlation", f"""WITH {DYN_SQL}, r AS (SELECT confidence, variability, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2 AS rx, rank() OVER (ORDER BY variability) + (count(*) OVER (PARTITION BY variability) - 1) / 2 AS ry
-FROM (SELECT round(confidence, 3) AS confidence, round(variability, 3) AS variability FROM dyn))
+FROM (SELECT round(confidence, 9) AS confidence, round(variability, 9) AS variability FROM dyn))
 SELECT round(corr(confidence, variability), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""")
 def a44(spark, d):
-    dyn = a.training_dynamics(epochs(spark, d)).select(F.round("confidence", 3).alias("x"), F.round("variability", 3).alias("y"))
+    dyn = a.training_dynamics(epochs(spark, d)).select(F.round("confidence", 9).alias("x"), F.round("variability", 9).alias("y"))
     return a.correlation(dyn, "x", "y").select(r6("pearson").alias("pearson"), r6("spearman").alias("spearman"))
 
 

@@ -298,7 +298,9 @@ def m7(spark, d):
     return m.label_parties(docs_as(spark, d)).select("id", "client_id")
 
 
-@case("m8_weighted_resample")
+@case("m8_weighted_resample", f"""WITH c AS (SELECT doc_id AS id, sum(n_chars) OVER (ORDER BY doc_id) AS hi, n_chars AS w FROM documents WHERE n_chars > 0),
+d AS (SELECT draw, {U('draw', "'draw'")} * (SELECT sum(n_chars) FROM documents)::DOUBLE AS x FROM range(500) AS r(draw))
+SELECT draw, id FROM d JOIN c ON x >= hi - w AND x < hi""")
 def m8(spark, d):
     docs = docs_as(spark, d, F.col("n_chars").alias("w"))
     return m.weighted_resample(docs, 500, SEED)

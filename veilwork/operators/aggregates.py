@@ -15,6 +15,7 @@ from ..functions import keyed
 from ..functions import vectors as v
 from ..sources.tables import materialise
 from .blocks import matrix
+from .selection import prefix_sums
 
 
 def vote_histogram(nn: DataFrame, cand: DataFrame) -> DataFrame:
@@ -208,9 +209,10 @@ def histogram_distances(hist: DataFrame) -> DataFrame:
         (F.sum(F.abs(p - q)) / 2).alias("total_variation"),
         F.sum(frontier).alias("frontier_integral"),
     )
-    n = lambda c: F.row_number().over(W.orderBy(c))
-    a, b = hist.select("p", n("p").alias("i")), hist.select("q", n("q").alias("i"))
-    return sums.crossJoin(a.join(b, "i").agg(F.avg(F.abs(p - q)).alias("wasserstein")))
+    values = hist.select(p.alias("v"), F.lit(1).alias("w")).unionAll(hist.select(q.alias("v"), F.lit(-1).alias("w")))
+    values = prefix_sums(values.groupBy("v").agg(F.sum("w").alias("w")), "v", "w")  # before: how many more p than q lie below
+    gaps = F.sum(F.abs("before") * (F.col("v") - F.col("previous"))) / hist.count()
+    return sums.crossJoin(values.agg(F.coalesce(gaps, F.lit(0.0)).alias("wasserstein")))
 
 
 def js_divergence(a: DataFrame, b: DataFrame, axes: list[str], bins: int = 8) -> DataFrame:
@@ -545,18 +547,30 @@ def correctness_band(df: DataFrame, value="correctness") -> DataFrame:
     return df.crossJoin(most).withColumn("band", F.round(F.col(value) / F.col("__m"), 1)).drop("__m")
 
 
-def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Ranks with ties averaged, from counts of distinct values (a running sum over these, not over rows)."""
-    n = df.groupBy(F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    below = F.coalesce(F.sum("__c").over(W.orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select("__v", (below + (F.col("__c") + 1) / 2).alias(name))
-    return df.join(ranks, df[col].eqNullSafe(ranks["__v"])).drop("__v")
+def average_rank(counts: DataFrame, col: str, name: str) -> DataFrame:
+    """(value, name): ranks with ties averaged, of the values of ``col`` that stand ``n`` times; see ``prefix_sums``."""
+    n = counts.groupBy(F.col(col).alias("__v")).agg(F.sum("n").alias("__c"))
+    ranks = prefix_sums(n, "__v", "__c", "__below", "__prev")
+    return ranks.select(F.col("__v").alias(col), (F.col("__below") + (F.col("__c") + 1) / 2).alias(name))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(pearson, spearman)."""
-    r = average_rank(average_rank(df.select(x, y), x, "__x"), y, "__y")
-    return r.agg(F.corr(x, y).alias("pearson"), F.corr("__x", "__y").alias("spearman"))
+    """(pearson, spearman) over the rows where both are given; null where either is constant.
+
+    Equal pairs are counted first, so values that many rows share are ranked and joined once.
+    """
+    pairs = materialise(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    n = F.sum("n").alias("n")
+    means = pairs.agg(n, (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("my")).first()
+    middle = ((means.n or 0) + 1) / 2
+
+    def corr(a, b):
+        up, left, right = (F.sum(F.col("n") * z) for z in (a * b, a * a, b * b))
+        return up / F.nullif(F.sqrt(left * right), F.lit(0.0))
+
+    r = pairs.join(average_rank(pairs, "x", "rx"), "x").join(average_rank(pairs, "y", "ry"), "y")
+    rank = corr(F.col("rx") - middle, F.col("ry") - middle).alias("spearman")
+    return r.agg(corr(F.col("x") - F.lit(means.mx), F.col("y") - F.lit(means.my)).alias("pearson"), rank)
 
 
 def selected_per_origin(selected: DataFrame, origins: DataFrame, origin="origin") -> DataFrame:

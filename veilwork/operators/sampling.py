@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..functions.keyed import gaussian, gumbel, uniform
 from ..sources.tables import materialise
-from .selection import class_ranks, cut_points, first_rows, ranked, reindex
+from .selection import class_ranks, cut_points, first_rows, last_before, prefix_sums, ranked, reindex
 
 
 def iid_clients(df: DataFrame, k: int, seed, key="id") -> DataFrame:
@@ -143,25 +143,17 @@ def label_parties(df: DataFrame, label="label") -> DataFrame:
 def weighted_resample(df: DataFrame, n: int, seed, weight="w", key="id") -> DataFrame:
     """(draw, key): n draws with replacement, P proportional to the weight.
 
-    Rows are numbered in blocks; a draw first meets its block's interval, then the row's interval
-    within the block, so no task orders all rows.
+    By rising key each row owns an interval as long as its weight; a draw takes the row in whose interval it
+    falls. Interval ends are prefix sums over ranges of rows, and draws are sorted and merged with them, so a
+    heavy row, however many draws it takes, keeps no task busier than others.
     """
-    rows = df.select(key, F.col(weight).cast("double").alias("w")).filter("w > 0")
-    n_blocks = 64 + max(rows.count(), n) // 20_000  # a block holds about 20,000 rows or draws at most
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(n_blocks))
-    rows = rows.withColumn("block", block)
-    sums = rows.groupBy("block").agg(F.sum("w").alias("s"))
-    total = sums.agg(F.sum("s")).first()[0]
+    rows = df.select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w")).filter("w > 0")
+    total = rows.agg(F.sum("w")).first()[0]
     if not total:
         raise ValueError("all weights are zero")
-    order = W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)
-    blocks = sums.select("block", (F.sum("s").over(order) - F.col("s")).alias("a"), F.sum("s").over(order).alias("b"))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform(seed, F.col("id"), "draw") * total).alias("x"))
-    placed = draws.join(F.broadcast(blocks), (F.col("x") >= F.col("a")) & (F.col("x") < F.col("b")))
-    placed = placed.select("draw", "block", (F.col("x") - F.col("a")).alias("y"))
-    run = F.sum("w").over(W.partitionBy("block").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
-    inside = rows.select(key, F.col("block").alias("rb"), (run - F.col("w")).alias("lo"), run.alias("hi"))
-    return placed.join(inside, (F.col("block") == F.col("rb")) & (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).select("draw", key)
+    starts = prefix_sums(rows, "key", "w", "at").select("key", "at")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform(seed, F.col("id"), "draw") * total).alias("at"))
+    return last_before(starts, draws).withColumnRenamed("key", key)
 
 
 def weighted_sample(df: DataFrame, n: int, seed, weight="w", key="id") -> DataFrame:

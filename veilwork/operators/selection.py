@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialise
 
@@ -22,6 +27,67 @@ def reindex(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     return numbered.drop("__part", "__at", "__before")
 
 
+def _local_sums(batches: Iterator[pa.RecordBatch], order: str, weight: str) -> Iterator[pa.RecordBatch]:
+    """Adds the weight and the order value of the rows before, within the task."""
+    total, last = 0.0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w, value = np.asarray(batch.column(weight).cast(pa.float64()).fill_null(0.0)), batch.column(order)
+        run = total + np.cumsum(w)
+        before = np.r_[total, run[:-1]]
+        head = pa.array([last], value.type)
+        yield batch.append_column("__before", pa.array(before)).append_column("__previous", pa.concat_arrays([head, value.slice(0, len(value) - 1)]))
+        total, last = float(run[-1]), value[-1].as_py()
+
+
+def prefix_sums(df: DataFrame, order: str, weight: str, before: str = "before", previous: str = "previous") -> DataFrame:
+    """Adds the summed weight of all rows before a row, and the order value of the row before it (null for the first).
+
+    Rows are sorted by range, summed within their tasks, and what the tasks before hold (a row a task) is added
+    to each: no task sees all rows. Integer weights are summed exactly up to 2^53; null orders come first.
+    """
+    kinds = T.StructType([*df.schema.fields, T.StructField("__before", T.DoubleType()), T.StructField("__previous", df.schema[order].dataType)])
+    ranged = df.orderBy(order).mapInArrow(lambda b: _local_sums(b, order, weight), kinds)
+    ranged = materialise(ranged.withColumn("__part", F.spark_partition_id()))
+    past = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    tasks = ranged.groupBy("__part").agg(F.sum(F.col(weight).cast("double")).alias("__sum"), F.max(order).alias("__max"))
+    tasks = tasks.select("__part", F.coalesce(F.sum("__sum").over(past), F.lit(0.0)).alias("__offset"), F.max("__max").over(past).alias("__carry"))
+    out = ranged.join(tasks, "__part").withColumn(before, F.col("__before") + F.col("__offset"))
+    out = out.withColumn(previous, F.coalesce("__previous", "__carry"))
+    return out.drop("__part", "__before", "__offset", "__previous", "__carry")
+
+
+def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fills each draw with the key of the last row before it in the task (null at its head); rows stay."""
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, is_row = batch.column("key"), np.asarray(batch.column("draw").is_null())
+        at = np.maximum.accumulate(np.where(is_row, np.arange(len(is_row)) + 1, 0))
+        seen = pa.concat_arrays([pa.array([carry], key.type), key]).take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([batch.column("at"), seen, batch.column("draw")], ["at", "key", "draw"])
+        carry = seen[-1].as_py()
+
+
+def last_before(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """(draw, key): for each of ``draws`` (draw, at) the key of the last of ``rows`` (key, at) at or before it.
+
+    Both are sorted together by range and merged within the tasks; the last row of the tasks before fills the
+    draws at a task's head. A row that a great share of the draws falls on spans as many tasks as its draws need.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = rows.select("at", "key", none(draws, "draw")).unionAll(draws.select("at", none(rows, "key"), "draw"))
+    merged = both.orderBy("at", F.col("draw").asc_nulls_first()).mapInArrow(_last_seen, both.schema)
+    merged = materialise(merged.withColumn("part", F.spark_partition_id()))
+    ends = merged.filter("draw IS NULL").groupBy("part").agg(F.max_by("key", "at").alias("last"))
+    parts = merged.select("part").distinct().join(ends, "part", "left")
+    past = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("part", F.last("last", ignorenulls=True).over(past).alias("carry"))
+    return merged.filter("draw IS NOT NULL").join(parts, "part").select("draw", F.coalesce("key", "carry").alias("key")).filter("key IS NOT NULL")
+
+
 def ranked(df: DataFrame, order: list, by: list | str | None = None, name: str = "rank") -> DataFrame:
     """1-based rank within groups; without groups the rank is global (see ``reindex``)."""
     if by:
