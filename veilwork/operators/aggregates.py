@@ -15,7 +15,7 @@ from ..functions import keyed
 from ..functions import vectors as v
 from ..sources.tables import materialise
 from .blocks import matrix
-from .selection import prefix_sums
+from .selection import prefix_sums, reindex
 
 
 def vote_histogram(nn: DataFrame, cand: DataFrame) -> DataFrame:
@@ -209,10 +209,8 @@ def histogram_distances(hist: DataFrame) -> DataFrame:
         (F.sum(F.abs(p - q)) / 2).alias("total_variation"),
         F.sum(frontier).alias("frontier_integral"),
     )
-    values = hist.select(p.alias("v"), F.lit(1).alias("w")).unionAll(hist.select(q.alias("v"), F.lit(-1).alias("w")))
-    values = prefix_sums(values.groupBy("v").agg(F.sum("w").alias("w")), "v", "w")  # before: how many more p than q lie below
-    gaps = F.sum(F.abs("before") * (F.col("v") - F.col("previous"))) / hist.count()
-    return sums.crossJoin(values.agg(F.coalesce(gaps, F.lit(0.0)).alias("wasserstein")))
+    a, b = reindex(hist.select("p"), ["p"], "i"), reindex(hist.select("q"), ["q"], "i")
+    return sums.crossJoin(a.join(b, "i").agg(F.avg(F.abs(p - q)).alias("wasserstein")))
 
 
 def js_divergence(a: DataFrame, b: DataFrame, axes: list[str], bins: int = 8) -> DataFrame:
