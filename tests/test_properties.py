@@ -242,6 +242,17 @@ def test_elite_beyond_the_first_block_matches_the_walk(spark, n, pool, threshold
     assert diverse_elite(df.limit(0), n, threshold, pool).count() == 0
 
 
+def test_elite_of_a_hundred_thousand_rows_of_a_class(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 6))
+    x = (centres[np.sort(rng.integers(0, 30, 100_000))] + 0.05 * rng.normal(size=(100_000, 6))).astype(np.float32)  # runs of like rows
+    spark.sparkContext.setLogLevel("ERROR")
+    df = spark.createDataFrame([(i, 1, float(-i), e.tolist()) for i, e in enumerate(x)], "id long, label int, votes double, embedding array<float>")
+    taken, last = walk(x.astype(float), 24, 0.3)
+    got = sorted((r.place, r.id, r.threshold) for r in diverse_elite(df, 24, 0.3).collect())
+    assert got == [(p + 1, i, round(last, 6)) for p, i in enumerate(taken)]
+
+
 @pytest.mark.parametrize("rule,far", [("all", False), ("same", False), ("other", False), ("same", True)])
 def test_knn_keeps_the_smallest_ids_of_many_copies(spark, rule, far):
     rng = np.random.default_rng(3)
