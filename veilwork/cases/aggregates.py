@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..operators import aggregates as a
 from ..operators import joins as j
+from ..operators.clusters import cluster_histograms
 from ._case import (
     EMB_SQL, SCORES_SQL, SEED, case, pairs, PAIRS_SQL, r6, read, scores, split_embeddings, u, u_sql,
 )
@@ -158,7 +158,7 @@ def a14(spark, d):
 @case("a15_cluster_histograms")
 def a15(spark, d):
     p, c = split_embeddings(spark, d)
-    return a.cluster_histograms(p, c)
+    return cluster_histograms(p, c)
 
 
 PQ_SQL = """pq AS (SELECT source, count(*) FILTER (lang = 'en')::DOUBLE AS a, count(*) FILTER (lang <> 'en')::DOUBLE AS b FROM documents GROUP BY source),

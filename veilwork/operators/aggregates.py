@@ -154,26 +154,6 @@ def mean_distance(a: DataFrame, b: DataFrame, by="label") -> DataFrame:
     return p.join(q, by).select(by, v.squared_l2(F.col("embedding"), F.col("__q")).alias("distance"))
 
 
-def cluster_histograms(a: DataFrame, b: DataFrame, variance: float = 0.9, seed: int = 1) -> DataFrame:
-    """(cluster, p, q): shares of two sets over k-means clusters of their normalised, projected vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    both = a.select("embedding", F.lit("p").alias("set")).unionByName(b.select("embedding", F.lit("q").alias("set")))
-    both = both.select("set", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    unit = Normalizer(inputCol="v", outputCol="u").transform(both)
-    width = len(a.first().embedding)
-    full = PCA(k=width, inputCol="u", outputCol="z").fit(unit)
-    k_axes = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), variance)) + 1
-    axes = PCA(k=min(k_axes, width), inputCol="u", outputCol="x").fit(unit).transform(unit)
-    k = max(2, round(min(a.count(), b.count()) / 10))
-    model = KMeans(k=k, seed=seed, featuresCol="x", predictionCol="cluster").fit(axes)
-    counts = model.transform(axes).groupBy("cluster").pivot("set", ["p", "q"]).count().fillna(0)
-    total = F.broadcast(counts.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")))
-    return counts.crossJoin(total).select("cluster", (F.col("p") / F.col("tp")).alias("p"), (F.col("q") / F.col("tq")).alias("q"))
-
-
 def kl_term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
 

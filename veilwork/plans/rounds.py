@@ -15,6 +15,7 @@ from ..operators import joins as j
 from ..operators import sampling as m
 from ..operators import selection as s
 from ..operators import sets
+from ..operators.clusters import cluster_histograms
 from ..operators.elite import diverse_elite
 from ..sources.readers import append_round, save_rejects, write_client_shards
 from ..sources.tables import fresh_path, materialise
@@ -150,7 +151,7 @@ def instruction_build(pairs: DataFrame, n_seeds: int, n_prompts: int, k: int, ma
 def corpus_report(syn: DataFrame, real: DataFrame) -> DataFrame:
     """(metric, value): Frechet distance, mean distance, mauve, self-similarity and cross distances of two vector sets."""
     spark = syn.sparkSession
-    hist = materialise(a.cluster_histograms(syn, real))
+    hist = materialise(cluster_histograms(syn, real))
     rows = [("frechet", a.frechet(syn, real)), ("mauve", a.mauve(hist).first()[0])]
     rows += [(n, v) for n, v in a.histogram_distances(hist).first().asDict().items()]
     rows.append(("self_similarity", j.mean_self_similarity(syn).first()["mean_cosine"]))
