@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import softmax
 from ..operators import aggregates as a
 from ..operators import joins as j
 from ..operators.elite import diverse_elite
 from ..plans import rounds as p
 from ..sources.tables import fresh_path
 from ..streaming.rounds import vote_stream
-from ._case import EMB_SQL, SEED, candidates, case, pairs, r6, scores, split_embeddings, u_sql
+from ._case import EMB_SQL, SEED, candidates, case, pairs, r6, read, scores, split_embeddings, u_sql
 from .aggregates import CLIENT_SQL, HIST_SQL
 from .selection import BW_SQL
 
@@ -41,6 +42,15 @@ def l2(spark, d):
     return p.preference_round(pr, c.withColumn("prompt", F.col("label")), 4, 0, 3, SEED)[0]
 
 
+@case("l2_recovery_rate", f"""WITH {EMB_SQL.replace('priv AS (SELECT * FROM emb WHERE id % 5 <> 0)', f'priv AS (SELECT * FROM emb WHERE id % 5 <> 0 AND party IN ({_CHOSEN}))')}, {CLIENT_SQL},
+r AS (SELECT label AS prompt, score, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, cand_id) AS k FROM cs JOIN cand ON cand.id = cand_id),
+p AS (SELECT max(score) FILTER (k = 1) AS chosen, max(score) FILTER (k = 4) AS rejected FROM r GROUP BY prompt)
+SELECT round(avg((chosen > rejected)::INT), 6) AS recovery_rate FROM p WHERE rejected IS NOT NULL""")
+def l2_recovery(spark, d):
+    pr, c = split_embeddings(spark, d)
+    return p.preference_round(pr, c.withColumn("prompt", F.col("label")), 4, 0, 3, SEED)[1].withColumn("recovery_rate", r6("recovery_rate"))
+
+
 @case("l3_class_feedback_round")
 def l3(spark, d):
     pr, c = split_embeddings(spark, d)
@@ -57,14 +67,47 @@ def l4(spark, d):
 @case("l5_fusion_round")
 def l5(spark, d):
     pr, c = split_embeddings(spark, d)
-    out = p.fusion_round(pr, c, scores(spark, d), 600, 3, 0.5, SEED)
+    out = p.fusion_round(pr, with_text(spark, d, c), scores(spark, d), 600, 3, 0.5, SEED)
     none = F.lit(None)
     rows = [out["quota"].select(F.lit("quota").alias("part"), "source_model", none.cast("long").alias("label"), none.cast("long").alias("id"), F.col("quota").cast("double").alias("value"))]
     rows += [out[k].select(F.lit(k).alias("part"), "source_model", "label", F.col("cand_id").alias("id"), F.col("votes").alias("value")) for k in ("near", "far")]
     rows.append(out["pool"].select(F.col("kind").alias("part"), "source_model", none.cast("long").alias("label"), F.col("idx").alias("id"), F.col("variability").alias("value")))
+    rows.append(out["prompts"].select(F.lit("prompt").alias("part"), none.cast("long").alias("source_model"), F.col("label").cast("long").alias("label"),
+                                      F.col("prompt_id").alias("id"), F.length("prompt").cast("double").alias("value")))
     return reduce(lambda x, y: x.unionByName(y), rows)
 
 
+def with_text(spark, d, vectors):
+    """Candidates with the text of the document of the same number (modulo the documents), empty without one."""
+    docs = read(spark, d, "documents").select((F.col("doc_id")).alias("id"), "text")
+    return vectors.join(docs, "id", "left").fillna("", "text")
+
+
+def _answers():
+    """A stand-in generator: the first words of each example of the prompt."""
+    return lambda prompt: [" ".join(line.split()[3:12]) for line in prompt.split("\n")[1:]]
+
+
+def _directions():
+    """A stand-in encoder: 64 numbers from the text's digest."""
+    import hashlib
+
+    return lambda texts: [[(x - 127.5) / 1020 for x in hashlib.sha512(text.encode()).digest()] for text in texts]
+
+
+def _stand_in_scores(cand):
+    """Probabilities of two models that follow the row's first coordinates."""
+    rows = [cand.select(F.lit(m).alias("model_id"), F.col("id").alias("idx"), "source_model", (F.col("label") % 4).alias("label"), softmax(F.slice("embedding", 4 * m + 1, 4)).alias("prob")) for m in (0, 1)]
+    return rows[0].unionByName(rows[1])
+
+
+@case("l5_fusion_rounds")
+def l5_rounds(spark, d):
+    pr, c = split_embeddings(spark, d)
+    out = p.fusion_rounds(pr, with_text(spark, d, c), _stand_in_scores, _answers, _directions, 2, 60, 3, 0.5, SEED, fresh_path(spark, "fusion"))
+    return out.select("id", "source_model", "label", "round", F.length("text").alias("n_chars"))
+
+
 REVISED_SQL = f"rev AS (SELECT question, 'revised ' || response AS response, {u_sql('pos', '9')} AS reward FROM answers WHERE pos % 3 = 0)"
 
 
@@ -100,7 +143,7 @@ def l8(spark, d):
 @case("l9_corpus_report")
 def l9(spark, d):
     pr, c = split_embeddings(spark, d)
-    return p.corpus_report(c, pr).withColumn("value", r6("value"))
+    return p.corpus_report(with_text(spark, d, c), with_text(spark, d, pr), "party", "text").withColumn("value", r6("value"))
 
 
 @case("stream_votes", f"WITH {HIST_SQL} SELECT cand_id, votes, round(mean_dist, 6) AS mean_dist, 0 AS round FROM hist")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -141,13 +143,95 @@ def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def frechet(a: DataFrame, b: DataFrame) -> float:
     """Squared mean distance + tr(S1 + S2 - 2 (S1 S2)^1/2); only d x d matrices reach the driver."""
-    (_, m1, s1), (_, m2, s2) = moments(a), moments(b)
+    return frechet_of(moments(a), moments(b))
+
+
+def frechet_of(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> float:
+    (_, m1, s1), (_, m2, s2) = a, b
     w, q = np.linalg.eigh(s1)
     root = (q * np.sqrt(np.maximum(w, 0))) @ q.T
     cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ s2 @ root), 0)).sum()
     return float(((m1 - m2) ** 2).sum() + np.trace(s1) + np.trace(s2) - 2 * cross)
 
 
+@dataclass(frozen=True)
+class SideSums:
+    """What one pass over a set of vectors gathers: sums by class (rows, text lengths, vectors, unit vectors) and of products."""
+
+    classes: dict  # label -> (rows, rows with a text, characters, rows with a direction, sum of vectors, sum of unit vectors)
+    products: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return int(sum(c[0] for c in self.classes.values()))
+
+    def mean_length(self) -> float | None:
+        texts = sum(c[1] for c in self.classes.values())
+        return sum(c[2] for c in self.classes.values()) / texts if texts else None
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """(rows, mean, sample covariance)."""
+        if self.n < 2:
+            raise ValueError("two rows at least are needed for a covariance")
+        mean = sum(c[4] for c in self.classes.values()) / self.n
+        return self.n, mean, (self.products - self.n * np.outer(mean, mean)) / (self.n - 1)
+
+    def self_similarity(self) -> float | None:
+        """Mean cosine of all ordered pairs of different rows that have a direction."""
+        k, s = sum(c[3] for c in self.classes.values()), sum(c[5] for c in self.classes.values())
+        return float((s @ s - k) / (k * (k - 1))) if k > 1 else None
+
+    def _shared(self, other: SideSums) -> list:
+        return [(self.classes[c], other.classes[c]) for c in self.classes if c in other.classes and c is not None]
+
+    def cross_cosine(self, other: SideSums) -> float | None:
+        """Mean over the classes of both of the mean cosine of all pairs of a class."""
+        found = [float(x[5] @ y[5]) / (x[3] * y[3]) for x, y in self._shared(other) if x[3] and y[3]]
+        return float(np.mean(found)) if found else None
+
+    def class_mean_distance(self, other: SideSums) -> float | None:
+        found = [float(((x[4] / x[0] - y[4] / y[0]) ** 2).sum()) for x, y in self._shared(other)]
+        return float(np.mean(found)) if found else None
+
+
+def _side_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums: a line a class, and one without a class of the products."""
+    classes: dict = {}
+    products = 0.0
+    for batch in batches:
+        x = matrix(batch.column("embedding"))
+        if not len(x):
+            continue
+        norm = np.linalg.norm(x, axis=1)
+        unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+        length = np.asarray(batch.column("length").cast(pa.float64()).fill_null(np.nan))
+        labels = np.array(batch.column("label").to_pylist(), object)
+        products = products + x.T @ x
+        for label in set(labels.tolist()):
+            at = np.array([y == label for y in labels])
+            line = [at.sum(), np.isfinite(length[at]).sum(), np.nansum(length[at]), (norm[at] > 0).sum(), *x[at].sum(0), *unit[at].sum(0)]
+            classes[label] = classes.get(label, 0.0) + np.array(line, float)
+    if classes:
+        lines = [("class", k, v.tolist()) for k, v in classes.items()] + [("products", None, products.ravel().tolist())]
+        kind, label, v = zip(*lines, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(label, pa.string()), pa.array(v, pa.list_(pa.float64()))], ["kind", "label", "v"])
+
+
+def side_sums(df: DataFrame, text: str | None = None, label: str = "label") -> SideSums:
+    """One pass over (label, embedding, text): parts of the tasks are summed by class and position."""
+    length = F.length(text).cast("double") if text else F.lit(None).cast("double")
+    rows = df.filter("embedding IS NOT NULL").select(F.col(label).cast("string").alias("label"), "embedding", length.alias("length"))
+    parts = rows.mapInArrow(_side_parts, "kind string, label string, v array<double>")
+    summed = parts.select("kind", "label", F.posexplode("v").alias("pos", "x")).groupBy("kind", "label", "pos").agg(F.sum("x").alias("x"))
+    lines: dict = {}
+    for r in summed.orderBy("kind", "label", "pos").collect():
+        lines.setdefault((r.kind, r.label), []).append(r.x)
+    products = np.array(lines.pop(("products", None), []))
+    width = math.isqrt(len(products))
+    classes = {k: (*v[:4], np.array(v[4 : 4 + width]), np.array(v[4 + width :])) for (_, k), v in lines.items()}
+    return SideSums(classes, products.reshape(width, width))
+
+
 def mean_distance(a: DataFrame, b: DataFrame, by="label") -> DataFrame:
     """(label, distance): squared L2 distance of the class means."""
     p, q = prototypes(a, by), prototypes(b, by).withColumnRenamed("embedding", "__q")

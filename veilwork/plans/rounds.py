@@ -79,11 +79,38 @@ def elite_round(private: DataFrame, cand: DataFrame, n: int, threshold: float, s
     return sets.merge_operator_outputs(streams, "place")
 
 
-def fusion_round(private: DataFrame, cand: DataFrame, scores: DataFrame, total: int, q: int, sigma: float, seed) -> dict[str, DataFrame]:
+def contrast_prompts(near: DataFrame, far: DataFrame, texts: DataFrame, header: str, k: int, variants: int, seed) -> DataFrame:
+    """(prompt_id, label, prompt): for each class ``variants`` prompts that show half of its ``k`` far texts as bad, then
+    the other half's number of its ``k`` near texts as good, drawn anew for each prompt. Braces leave the texts.
+
+    ``near`` and ``far``: (label, cand_id, votes); ``texts``: (id, text).
+    """
+
+    def drawn(votes: DataFrame, side: str, m: int) -> DataFrame:
+        rows = s.top(votes, k, "label", "votes", "cand_id").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
+        key = F.concat_ws(":", F.lit(side), F.col("label"), F.col("variant"), F.col("cand_id"))
+        rows = rows.withColumn("__class", F.concat_ws(":", F.col("label"), F.col("variant")))
+        rows = s.ranked(rows, [uniform(seed, key), F.col("cand_id")], "__class", "draw").filter(F.col("draw") <= m).withColumn("bad", F.lit(side == "bad"))
+        return rows.select("label", "variant", "bad", "draw", "cand_id")
+
+    shots = drawn(far, "bad", k // 2).unionByName(drawn(near, "good", k - k // 2))
+    shots = shots.join(texts.select(F.col("id").alias("cand_id"), "text"), "cand_id")
+    line = F.concat(F.when(F.col("bad"), "A bad example: ").otherwise("A good example: "), F.translate(t.flatten_whitespace(F.col("text")), "{}", ""))
+    ordered = F.array_sort(F.collect_list(F.struct((~F.col("bad")).alias("good"), "draw", line.alias("line"))))
+    lines = shots.groupBy("label", "variant").agg(ordered.alias("s"))
+    prompt = F.concat(F.lit(header + "\n"), F.array_join(F.col("s.line"), "\n"))
+    return lines.select((F.col("label").cast("long") * variants + F.col("variant")).alias("prompt_id"), "label", prompt.alias("prompt"))
+
+
+def fusion_round(
+    private: DataFrame, cand: DataFrame, scores: DataFrame, total: int, q: int, sigma: float, seed, k: int = 8, variants: int = 6,
+    header: str = "Write one more example.",
+) -> dict[str, DataFrame]:
     """Ranked private votes of parties over the candidates of several sources.
 
     Returns ``quota`` (rows to ask of each source), ``near`` and ``far`` (candidates to imitate and
-    to avoid, by class) and ``pool`` (easy and ambiguous rows by variability).
+    to avoid, by class) and ``pool`` (easy and ambiguous rows by variability); where the candidates have
+    a ``text``, also ``prompts`` (see ``contrast_prompts``).
     """
     party = private.select("id", "party")
 
@@ -95,12 +122,40 @@ def fusion_round(private: DataFrame, cand: DataFrame, scores: DataFrame, total:
     near, far = materialise(votes(False)), materialise(votes(True))
     clamped = near.withColumn("votes", F.greatest("votes", F.lit(0.0)))
     pool = s.easy_and_ambiguous(a.confidence_variability(scores), total // 10, total // 10, "source_model")
-    return {
+    out = {
         "quota": a.apportion(a.source_score(clamped), total, 1.0).select("source_model", "quota"),
         "near": s.top(near, q, "label", "votes", "cand_id"),
         "far": s.top(far, q, "label", "votes", "cand_id"),
         "pool": pool,
     }
+    return out | ({"prompts": contrast_prompts(near, far, cand, header, k, variants, seed)} if "text" in cand.columns else {})
+
+
+def fusion_rounds(
+    private: DataFrame, first: DataFrame, score: Callable[[DataFrame], DataFrame], make_generator, make_encoder, rounds: int, total: int,
+    q: int, sigma: float, seed, path: str, start: int = 1, **prompts,
+) -> DataFrame:
+    """All rows of all rounds: (id, source_model, label, text, embedding, round), also kept as a table at ``path``.
+
+    Round 0 is ``first``. Each later round votes on the rows of the rounds before it, asks every source for its
+    quota, dealt over the round's prompts, and appends what comes back with ids of its own. A round that is run
+    again (``start``) sees the same earlier rows and replaces its own, so a retry doubles nothing.
+    """
+    spark, names = private.sparkSession, ["id", "source_model", "label", "text", "embedding"]
+    if start == 1:
+        append_round(first.select(*names), path, 0)
+    for no in range(start, start + rounds):
+        cand = spark.read.parquet(path).filter(F.col("round") < no).drop("round")
+        out = fusion_round(private, cand, score(cand), total, q, sigma, f"{seed}:{no}", **prompts)
+        asked = s.reindex(materialise(out["prompts"]).join(out["quota"], F.lit(True)), ["source_model", "prompt_id"], "ask")
+        n = out["prompts"].count()
+        share = F.floor(F.col("quota") / n) + (F.col("ask") % n < F.col("quota") % n).cast("long")
+        asked = materialise(asked.withColumn("share", share).filter("share > 0"))
+        made = hooks.generate(asked.select(F.col("ask").alias("prompt_id"), "prompt"), make_generator).withColumnRenamed("prompt_id", "ask")
+        made = made.join(asked.select("ask", "source_model", "label", "share"), "ask").filter("attempt < share AND text IS NOT NULL")
+        rows = s.reindex(made, ["ask", "attempt"], "place").withColumn("id", F.lit(no * (1 << 40)) + F.col("place"))
+        append_round(hooks.embed(rows, make_encoder).select(*names), path, no)
+    return spark.read.parquet(path)
 
 
 def reward_refine(answers: DataFrame, revised: DataFrame, alpha: float, parts: int, ratio: float) -> DataFrame:
@@ -148,16 +203,24 @@ def instruction_build(pairs: DataFrame, n_seeds: int, n_prompts: int, k: int, ma
     return good.drop("fresh"), bad.drop("fresh")
 
 
-def corpus_report(syn: DataFrame, real: DataFrame) -> DataFrame:
-    """(metric, value): Frechet distance, mean distance, mauve, self-similarity and cross distances of two vector sets."""
+def corpus_report(syn: DataFrame, real: DataFrame, client: str | None = None, text: str | None = None) -> DataFrame:
+    """(metric, value) of two sets of (id, label, embedding, ...): Frechet and class mean distances, mauve and histogram
+    distances, self-similarity, cross distances, and of each side rows, mean text length, and mean and deviation of the
+    clients' sizes (without a ``client`` column, of the classes').
+
+    One pass a side gathers all sums that can be merged (``aggregates.side_sums``); only clusters, distances over
+    all pairs and client sizes take passes of their own.
+    """
     spark = syn.sparkSession
+    one, two = a.side_sums(syn, text), a.side_sums(real, text)
     hist = materialise(cluster_histograms(syn, real))
-    rows = [("frechet", a.frechet(syn, real)), ("mauve", a.mauve(hist).first()[0])]
-    rows += [(n, v) for n, v in a.histogram_distances(hist).first().asDict().items()]
-    rows.append(("self_similarity", j.mean_self_similarity(syn).first()["mean_cosine"]))
-    cross = j.mean_cross_distance(syn, real).agg(F.avg("mean_l2").alias("cross_l2"), F.avg("mean_cosine").alias("cross_cosine")).first()
-    rows += list(cross.asDict().items())
-    rows.append(("class_mean_distance", a.mean_distance(syn, real).agg(F.avg("distance")).first()[0]))
+    rows = [("frechet", a.frechet_of(one.moments(), two.moments())), ("mauve", a.mauve(hist).first()[0])]
+    rows += list(a.histogram_distances(hist).first().asDict().items())
+    rows += [("self_similarity", one.self_similarity()), ("cross_cosine", one.cross_cosine(two)), ("class_mean_distance", one.class_mean_distance(two))]
+    rows.append(("cross_l2", j.mean_cross_distance(syn, real).agg(F.avg("mean_l2")).first()[0]))
+    for side, df, sums in (("syn", syn, one), ("real", real, two)):
+        sizes = a.client_sizes(df, client or "label").first()
+        rows += [(f"{side}_rows", sums.n), (f"{side}_mean_length", sums.mean_length()), (f"{side}_client_size_mean", sizes[0]), (f"{side}_client_size_std", sizes[1])]
     return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "metric string, value double")
 
 
