@@ -12,6 +12,7 @@ from veilwork.functions import vectors as v
 from veilwork.operators import aggregates as a
 from veilwork.operators import filters as f
 from veilwork.operators import joins as j
+from veilwork.operators import overlap
 from veilwork.operators import sampling as m
 from veilwork.operators import selection as s
 from veilwork.operators import sets
@@ -203,7 +204,7 @@ def test_ties_in_ranks_and_equal_scores(spark):
 
 def test_rouge_of_short_texts(spark):
     df = spark.createDataFrame([(1, ["a"], ["a"]), (2, [], ["a"]), (3, ["a", "b", "c"], ["a", "c"])], "id long, cand array<string>, ref array<string>")
-    got = {r.id: r.rouge_l for r in a.pair_rouge(df).collect()}
+    got = {r.id: r.rouge_l for r in overlap.pair_rouge(df).collect()}
     assert got[1] == 1.0 and got[2] == 0.0 and math.isclose(got[3], 0.8)
 
 
@@ -416,3 +417,17 @@ def test_class_ranks_and_first_rows_match_a_window(spark):
     few, many = s.first_rows(df, order, 150), s.first_rows(df, order, 150, few=10)
     assert set(few.collect()) == set(many.collect()) and many.count() == 150
     assert s.first_rows(df.limit(0), order, 150, few=10).count() == 0 and s.class_ranks(df.limit(0), order, "label").count() == 0
+
+
+def test_a_class_of_most_rows_is_picked_from_by_combined_aggregates(spark):
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 10 == 0, F.lit("small")).otherwise("big").alias("label"), F.when(F.col("id") % 7 > 0, F.col("id") % 13).cast("double").alias("score"))
+    picked = m.exponential_pick(df, 5.0, 2.0, "s")
+    want = {}
+    for r in df.withColumn("g", keyed.gumbel("s", F.col("id"))).collect():
+        u = 0.0 if r.score is None else math.exp(2.0 * (r.score / 12 - 1))
+        want.setdefault(r.label, []).append((-(u * 2.5 / 2 + r.g), r.id))
+    assert {r.label: r.id for r in picked.collect()} == {k: min(x)[1] for k, x in want.items()} and picked.columns == df.columns
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan
+    spans = s.interleave(df.select("id", "label"), "label", "id").collect()
+    assert len(spans) == 800 and {(r.label, r.id) for r in spans if r.turn == 2} == {("small", 10), ("big", 2)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators import aggregates as a
 from ..operators import joins as j
+from ..operators import overlap
 from ..operators.clusters import cluster_histograms
 from ._case import (
     EMB_SQL, SCORES_SQL, SEED, case, pairs, PAIRS_SQL, r6, read, scores, split_embeddings, u, u_sql,
@@ -351,7 +352,7 @@ l AS ({' UNION ALL '.join(f'SELECT ln((sum(matched) + 1) / (sum(nc) + 1)) AS l F
 s AS (SELECT sum(len(cand)) AS c, sum(len(ref)) AS r FROM tx)
 SELECT round(CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END * exp((SELECT avg(l) FROM l)), 6) AS bleu FROM s""")
 def a32(spark, d):
-    return a.corpus_bleu(texts(spark, d)).withColumn("bleu", r6("bleu"))
+    return overlap.corpus_bleu(texts(spark, d)).withColumn("bleu", r6("bleu"))
 
 
 @case("a33_pair_bleu", f"""WITH {PAIRS_SQL}, {TEXTS_SQL}, {GRAMS_SQL}
@@ -359,18 +360,25 @@ SELECT id, round(CASE WHEN len(cand) >= len(ref) THEN 1 ELSE exp(1 - len(ref) /
 {' + '.join(f'ln(coalesce((g{n}.matched + 1) / (g{n}.nc + 1), 1))' for n in (1, 2, 3, 4))}) / 4), 6) AS bleu
 FROM tx {' '.join(f'LEFT JOIN g{n} USING (id)' for n in (1, 2, 3, 4))}""")
 def a33(spark, d):
-    return a.pair_bleu(texts(spark, d)).withColumn("bleu", r6("bleu"))
+    return overlap.pair_bleu(texts(spark, d)).withColumn("bleu", r6("bleu"))
 
 
 @case("a33_pair_rouge_n", f"""WITH {PAIRS_SQL}, {TEXTS_SQL}, {GRAMS_SQL}
 SELECT id, round(coalesce(2 * g1.matched / (g1.nc + g1.nr), 0), 6) AS rouge1, round(coalesce(2 * g2.matched / nullif(g2.nc + g2.nr, 0), 0), 6) AS rouge2 FROM tx LEFT JOIN g1 USING (id) LEFT JOIN g2 USING (id)""")
 def a33b(spark, d):
-    return a.pair_rouge(texts(spark, d)).select("id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
+    return overlap.pair_rouge(texts(spark, d)).select("id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
 
 
-@case("a33_pair_rouge_l")
+@case("a33_pair_rouge_l", f"""WITH RECURSIVE {PAIRS_SQL}, {TEXTS_SQL},
+l(id, i, k, v) AS (
+  SELECT id, 0, unnest(range(0, len(ref) + 1)), 0 FROM tx
+  UNION ALL
+  SELECT id, i + 1, k, max(t) OVER (PARTITION BY id ORDER BY k) FROM (
+    SELECT l.id, i, k, CASE WHEN k > 0 AND ref[k] = cand[i + 1] THEN 1 + lag(v) OVER (PARTITION BY l.id ORDER BY k) ELSE v END AS t
+    FROM l JOIN tx USING (id) WHERE i < len(cand)))
+SELECT id, round(coalesce(2 * max(v) / nullif(any_value(len(cand) + len(ref)), 0), 0), 6) AS rouge_l FROM l JOIN tx USING (id) GROUP BY id""")
 def a33c(spark, d):
-    return a.pair_rouge(texts(spark, d)).select("id", r6("rouge_l").alias("rouge_l"))
+    return overlap.pair_rouge(texts(spark, d)).select("id", r6("rouge_l").alias("rouge_l"))
 
 
 REC_SQL = f"rp AS (SELECT doc_id, {u_sql('doc_id', '1')} AS c, {u_sql('doc_id', '2')} AS r FROM documents)"

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -416,75 +415,6 @@ def inception_score(df: DataFrame, splits: int = 5, order="idx") -> DataFrame:
     return kl.agg(F.avg(F.exp("kl")).alias("score"))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    size = F.size(words)
-    at = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
-def ngram_matches(df: DataFrame, n: int, key="id", cand="cand", ref="ref") -> DataFrame:
-    """(key, matched, n_cand, n_ref): clipped n-gram matches of word arrays."""
-    side = lambda c, name: df.select(key, F.explode(ngrams(F.col(c), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
-    both = side(cand, "nc").join(side(ref, "nr"), [key, "g"], "full").fillna(0, ["nc", "nr"])
-    return both.groupBy(key).agg(F.sum(F.least("nc", "nr")).alias("matched"), F.sum("nc").alias("n_cand"), F.sum("nr").alias("n_ref"))
-
-
-def corpus_bleu(df: DataFrame, key="id", cand="cand", ref="ref", orders: int = 4) -> DataFrame:
-    """(bleu): clipped matches of orders 1..4 over the corpus with +1 smoothing, and the brevity penalty."""
-    logs = None
-    for n in range(1, orders + 1):
-        m = ngram_matches(df, n, key, cand, ref).agg(((F.coalesce(F.sum("matched"), F.lit(0)) + 1) / (F.coalesce(F.sum("n_cand"), F.lit(0)) + 1)).alias("p"))
-        one = m.select(F.log("p").alias("l"))
-        logs = one if logs is None else logs.unionByName(one)
-    sizes = df.agg(F.sum(F.size(cand)).alias("c"), F.sum(F.size(ref)).alias("r"))
-    brevity = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("c")))
-    return logs.agg(F.avg("l").alias("l")).crossJoin(sizes).select((brevity * F.exp("l")).alias("bleu"))
-
-
-def pair_bleu(df: DataFrame, key="id", cand="cand", ref="ref", orders: int = 4) -> DataFrame:
-    """(key, bleu) of each row, +1 smoothed."""
-    out = df.select(key, F.size(cand).alias("c"), F.size(ref).alias("r"))
-    for n in range(1, orders + 1):
-        m = ngram_matches(df, n, key, cand, ref).select(key, ((F.col("matched") + 1) / (F.col("n_cand") + 1)).alias(f"p{n}"))
-        out = out.join(m, key, "left").fillna(1.0, [f"p{n}"])
-    brevity = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.greatest(F.col("c"), F.lit(1))))
-    log = sum((F.log(f"p{n}") for n in range(1, orders + 1)), F.lit(0.0)) / orders
-    return out.select(key, (brevity * F.exp(log)).alias("bleu"))
-
-
-def _lcs(x, y) -> int:
-    x, y = list(x if x is not None else ()), list(y if y is not None else ())
-    if not x or not y:
-        return 0
-    codes = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
-    y = np.array([codes[w] for w in y])
-    row = np.zeros(len(y) + 1, np.int64)
-    for w in x:
-        row[1:] = np.maximum.accumulate(np.maximum(np.where(y == codes[w], row[:-1] + 1, row[1:]), row[1:]))
-    return int(row[-1])
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two word arrays."""
-
-    @F.pandas_udf("int")
-    def lengths(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_lcs(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
-
-    return lengths(a, b)
-
-
-def pair_rouge(df: DataFrame, key="id", cand="cand", ref="ref") -> DataFrame:
-    """(key, rouge1, rouge2, rouge_l): F1 of n-gram overlap and of the longest common subsequence; no stemming."""
-    out = df.select(key, F.size(cand).alias("c"), F.size(ref).alias("r"), lcs_length(F.col(cand), F.col(ref)).alias("lcs"))
-    for n in (1, 2):
-        m = ngram_matches(df, n, key, cand, ref)
-        f1 = F.coalesce(2 * F.col("matched") / F.nullif(F.col("n_cand") + F.col("n_ref"), F.lit(0)), F.lit(0.0))
-        out = out.join(m.select(key, f1.alias(f"rouge{n}")), key, "left").fillna(0.0, [f"rouge{n}"])
-    long = F.coalesce(2 * F.col("lcs") / F.nullif(F.col("c") + F.col("r"), F.lit(0)), F.lit(0.0))
-    return out.select(key, "rouge1", "rouge2", long.alias("rouge_l"))
-
-
 def recovery_rate(pairs: DataFrame, chosen="clean_chosen", rejected="clean_rejected") -> DataFrame:
     return pairs.agg(F.avg((F.col(chosen) > F.col(rejected)).cast("double")).alias("recovery_rate"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..functions.keyed import gaussian, gumbel, uniform
 from ..sources.tables import materialise
-from .selection import class_ranks, cut_points, first_rows, last_before, prefix_sums, ranked, reindex
+from .selection import class_ranks, cut_points, first_of_group, first_rows, last_before, prefix_sums, ranked, reindex
 
 
 def iid_clients(df: DataFrame, k: int, seed, key="id") -> DataFrame:
@@ -253,15 +253,13 @@ def exponential_pick(df: DataFrame, eps: float, tau: float, seed, label="label",
     Null scores keep weight exp(0) = 1, as every candidate must stay possible. The budget is shared
     by the classes. Where a class has equal scores the pick is uniform.
     """
-    w = W.partitionBy(label)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
+    ends = materialise(df.groupBy(label).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi")))
+    lo, hi = F.col("__lo"), F.col("__hi")
     s = F.when(hi > lo, (F.col(score) - lo) / (hi - lo) - 1).otherwise(0.0)
     utility = F.when(F.col(score).isNull() & (hi > lo), 0.0).when(hi > lo, F.exp(tau * s)).otherwise(1.0)
-    classes = F.broadcast(df.select(label).distinct().agg(F.count(F.lit(1)).alias("__c")))
-    rows = df.withColumn("__u", utility).crossJoin(classes)
-    g = F.col("__u") * (eps / F.col("__c")) / 2 + gumbel(seed, F.col(key))
-    rows = rows.withColumn("__g", g)
-    return rows.withColumn("__r", F.row_number().over(w.orderBy(F.col("__g").desc(), key))).filter("__r = 1").drop("__u", "__c", "__g", "__r")
+    rows = df.join(ends.withColumnRenamed(label, "__class"), F.col(label).eqNullSafe(F.col("__class")))
+    g = utility * (eps / max(ends.count(), 1)) / 2 + gumbel(seed, F.col(key))
+    return first_of_group(rows.withColumn("__g", g), label, F.struct(-F.col("__g"), F.col(key)), df.columns)
 
 
 def feedback_draw(df: DataFrame, seed, label="label", weight="picks", key="id") -> DataFrame:

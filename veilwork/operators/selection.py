@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +115,12 @@ def first_rows(df: DataFrame, order: list, n: int, few: int = FEW) -> DataFrame:
     return reindex(df, order, "__first").filter(F.col("__first") < n).drop("__first")
 
 
+def first_of_group(df: DataFrame, by: str, order: Column, columns: list[str]) -> DataFrame:
+    """The row of each group that comes first in ``order``, by an aggregate that tasks start before the shuffle."""
+    best = df.groupBy(by).agg(F.min_by(F.struct(*[F.col(c) for c in columns]), order).alias("__first"))
+    return best.select("__first.*")
+
+
 def rank_in_prompt(df: DataFrame, r: int, prompt="prompt", score="score", pos="pos", text="text") -> DataFrame:
     """(prompt, chosen, rejected): the best-scored answer and the one at 0-based rank r."""
     one = ranked(df, [F.col(score).desc(), F.col(pos)], prompt)
@@ -174,8 +181,8 @@ def best_so_far(log: DataFrame, patience: int, run="run", step="step", value="va
 
 
 def interleave(df: DataFrame, chunk="chunk", order="pos") -> DataFrame:
-    """Rows of all chunks in turn; what longer chunks have beyond the shortest is dropped."""
-    out = ranked(df, [F.col(order)], chunk, "turn")
+    """Rows of all chunks in turn; what longer chunks have beyond the shortest is dropped. Large chunks are ranked by range."""
+    out = class_ranks(df, [F.col(order)], chunk, "turn")
     shortest = df.groupBy(chunk).count().agg(F.min("count").alias("shortest"))
     return out.crossJoin(F.broadcast(shortest)).filter("turn <= shortest").drop("shortest")
 
@@ -215,11 +222,17 @@ def top_weight(df: DataFrame, importance: DataFrame, rule: str, n: int = 0, sour
 
 
 def easy_and_ambiguous(df: DataFrame, n_easy: int, n_ambiguous: int, by=None, value="variability", key="idx") -> DataFrame:
-    """Lowest values are easy, highest ambiguous; a row can't be both (easy first)."""
-    low = ranked(df, [F.col(value), F.col(key)], by, "__low")
-    both = ranked(low, [F.col(value).desc(), F.col(key).desc()], by, "__high")
-    kind = F.when(F.col("__low") <= n_easy, "easy").when(F.col("__high") <= n_ambiguous, "ambiguous")
-    return both.withColumn("kind", kind).filter("kind IS NOT NULL").drop("__low", "__high")
+    """Lowest values are easy, highest ambiguous; a row can't be both (easy first).
+
+    Either end is a top list that tasks shorten before the shuffle; ranks of whole groups aren't needed.
+    """
+    easy = top(df, n_easy, by, value, key, ascending=True).withColumn("kind", F.lit("easy"))
+    ends = [F.col(value).desc(), F.col(key).desc()]
+    high = ranked(df, ends, by).filter(F.col("rank") <= n_ambiguous).drop("rank") if by else first_rows(df, ends, n_ambiguous)
+    keys = [*([by] if isinstance(by, str) else by or []), key]
+    taken = easy.select(*[F.col(c).alias(f"__{c}") for c in keys])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    return easy.unionByName(high.join(taken, same, "left_anti").withColumn("kind", F.lit("ambiguous")))
 
 
 def easy_and_ambiguous_v2(df: DataFrame, n_ambiguous: int, n_total: int, guess: float, value="variability", key="idx") -> DataFrame:
