@@ -81,13 +81,29 @@ def s8(spark, d):
     return spark.read.schema("doc_id long, client_id string").json(path)
 
 
-@case("s9_merge_by_file_name", f"""WITH {PAIRS_SQL} SELECT 'part.txt' AS file_name, q AS instruction, r AS response FROM pairs""")
+_S9_FILES = "(SELECT count(*) // 2000 + 4 FROM pairs)"
+
+
+@case("s9_merge_by_file_name", f"""WITH {PAIRS_SQL} SELECT (conv_id % {_S9_FILES})::VARCHAR || '.json' AS file_name, q AS instruction, r AS response FROM pairs""")
 def s9(spark, d):
     p = pairs(spark, d).select("conv_id", F.struct(F.col("q").alias("instruction"), F.col("r").alias("response")).alias("o"))
-    path = fresh_path(spark, "merge")
-    p.filter("conv_id % 2 = 0").select(F.to_json("o").alias("value")).coalesce(1).write.text(f"{path}/lines")
-    p.filter("conv_id % 2 = 1").groupBy().agg(F.to_json(F.collect_list("o")).alias("value")).write.text(f"{path}/list")
-    return r.merge_by_file_name(spark, path).select(F.lit("part.txt").alias("file_name"), "instruction", "response")
+    files, root = p.count() // 2000 + 4, fresh_path(spark, "merge")  # files of bounded size
+    p = p.withColumn("file", F.col("conv_id") % files)
+    lines = p.filter("conv_id % 3 = 0").select("file", F.to_json("o").alias("value"))
+    lists = p.filter("conv_id % 3 > 0").groupBy("file", (F.col("conv_id") % 3).alias("kind")).agg(F.to_json(F.collect_list("o")).alias("value"))
+    for folder, rows in (("lines", lines), ("list", lists.filter("kind = 1")), ("other/list", lists.filter("kind = 2"))):
+        rows.select("file", "value").repartition(files, "file").write.partitionBy("file").text(f"{root}/{folder}")
+        _name_by_partition(spark, f"{root}/{folder}", files)
+    return r.merge_by_file_name(spark, root).select("file_name", "instruction", "response")
+
+
+def _name_by_partition(spark, folder, n):
+    """The one file of each partition ``file=k`` becomes ``k.json`` in the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(n):
+        for found in store.globStatus(path(f"{folder}/file={k}/part-*")) or []:
+            store.rename(found.getPath(), path(f"{folder}/{k}.json"))
 
 
 @case("s11_read_run_log", """SELECT (user_id % 6)::VARCHAR AS model, (event_id % 30)::VARCHAR AS iter, round(value, 3) AS test_acc_ft FROM events""")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quoted import array_elements, client_elements
+
 LABELLED = T.StructType([
     T.StructField("idx", T.LongType()), T.StructField("C", T.StringType()), T.StructField("X", T.StringType()),
     T.StructField("Y", T.IntegerType()), T.StructField("is_syn", T.BooleanType()),
@@ -23,12 +25,8 @@ QA = T.StructType([
 
 
 def read_text_array(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sample_id, text) of files that each hold one JSON array of strings.
-
-    One file is one task; convert a large one to JSON lines once.
-    """
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<string>").alias("v"))
-    return rows.select("file", F.posexplode("v").alias("sample_id", "text"))
+    """(file, sample_id, text) of files that each hold one JSON array of strings (or nulls); a large file is read by many tasks."""
+    return array_elements(spark, path).select(F.col("name").alias("file"), F.col("at").cast("int").alias("sample_id"), "text")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = LABELLED) -> DataFrame:
@@ -38,9 +36,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = LABELLED)
 
 
 def read_client_map(spark: SparkSession, path: str) -> DataFrame:
-    """(client_id, pos, text) of a JSON object client -> list of strings."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("client_id", "v"))
-    return rows.select("client_id", F.posexplode("v").alias("pos", "text"))
+    """(client_id, pos, text) of JSON objects client -> list of strings (or nulls); a large object is read by many tasks."""
+    return client_elements(spark, path)
 
 
 def read_csv_corpus(spark: SparkSession, path: str, columns=("text", "label1", "label2")) -> DataFrame:
