@@ -1,9 +1,13 @@
 """Word overlap of pairs against plain counting and the textbook table."""
 
+import math
 import random
+import re
 from collections import Counter
 
-from veilwork.operators import overlap
+import pyarrow as pa
+
+from veilwork.operators import filters, overlap
 
 
 def lcs(x, y):
@@ -34,3 +38,24 @@ def test_overlap_equals_brute_force(spark, monkeypatch):
     plan = overlap.corpus_bleu(spark.createDataFrame(rows, "id long, cand array<string>, ref array<string>"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate " not in plan
     assert spark.createDataFrame([], "id long, cand array<string>, ref array<string>").transform(overlap.pair_bleu).count() == 0
+
+
+def test_pair_cosines_equal_the_closed_form():
+    rng = random.Random(5)
+    words = ["Ab", "a", "ab", "zz9", "é", "x_y", "..", "İq", "KK", "foo", "bar", "the-end"]
+    texts = [None, "", "a . é", "ab", *[" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(40)]]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(500)]
+
+    def one(a, b):
+        x, y = (Counter(re.findall("[0-9A-Za-z_]{2,}", (t or "").lower())) for t in (a, b))
+        if not x and not y:
+            return None
+        size = [sum((n * (1.0 if w in o else 1 + math.log(1.5))) ** 2 for w, n in s.items()) for s, o in ((x, y), (y, x))]
+        return sum(n * y[w] for w, n in x.items()) / math.sqrt(size[0] * size[1]) if size[0] and size[1] else 0.0
+
+    want = [one(*p) for p in pairs]
+    for at_once in (1 << 22, 7):
+        got = filters.pair_cosines(*(pa.array(x, pa.string()) for x in zip(*pairs)), at_once)
+        assert [g is None for g in got] == [w is None for w in want] and all(g is None or abs(g - w) < 1e-12 for g, w in zip(got, want))
+    none = pa.array([], pa.string())
+    assert filters.pair_cosines(none, none) == []

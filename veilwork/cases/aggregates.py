@@ -132,12 +132,12 @@ def a11(spark, d):
 
 
 @case("a12_moments", f"""WITH {EMB_SQL}, x AS (SELECT id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS i FROM priv),
-c AS (SELECT p.i, q.i AS j, covar_samp(p.x, q.x) AS cov FROM x p JOIN x q ON p.id = q.id AND p.i < 8 AND q.i < 8 GROUP BY ALL)
+c AS (SELECT p.i, q.i AS j, covar_samp(p.x, q.x) AS cov FROM x p JOIN x q ON p.id = q.id GROUP BY ALL)
 SELECT c.i, c.j, round(m.mean, 6) AS mean, round(cov, 6) AS cov FROM c JOIN (SELECT i, avg(x) AS mean FROM x GROUP BY i) m ON m.i = c.i""")
 def a12(spark, d):
     p, _ = split_embeddings(spark, d)
     _, mean, cov = a.moments(p)
-    rows = [(i, k, float(mean[i]), float(cov[i, k])) for i in range(8) for k in range(8)]
+    rows = [(i, k, float(mean[i]), float(cov[i, k])) for i in range(len(mean)) for k in range(len(mean))]
     out = spark.createDataFrame(rows, "i int, j int, mean double, cov double")
     return out.select("i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
 
@@ -202,13 +202,13 @@ def a18(spark, d):
     return a.js_divergence(p, c, ["x", "y"]).withColumn("js", r6("js"))
 
 
-@case("a19_classification_report", f"""WITH {SCORES_SQL}, s AS (SELECT label, pred FROM scores WHERE model_id = 0),
+@case("a19_classification_report", f"""WITH {SCORES_SQL}, s AS (SELECT label, pred FROM scores),
 k AS (SELECT DISTINCT label AS k FROM s UNION SELECT DISTINCT pred FROM s),
 t AS (SELECT k, (SELECT count(*) FROM s WHERE label = k) AS ac, (SELECT count(*) FROM s WHERE pred = k) AS gu, (SELECT count(*) FROM s WHERE label = k AND pred = k) AS tp FROM k),
 m AS (SELECT *, coalesce(tp / nullif(gu, 0), 0) AS p, coalesce(tp / nullif(ac, 0), 0) AS r FROM t)
 SELECT round(sum(tp) / sum(ac), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 6) AS macro_f1 FROM m""")
 def a19(spark, d):
-    out = a.classification_report(scores(spark, d).filter("model_id = 0"))
+    out = a.classification_report(scores(spark, d))
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 

@@ -212,10 +212,10 @@ def t13(spark, d):
     return out.select("side", "label", "cand_id", "votes")
 
 
-@case("u1_union_sources", " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id AS idx, '{x}' AS source FROM documents WHERE lang = '{x}' ORDER BY {U('doc_id')}, doc_id LIMIT 30)" for x in ("en", "fr", "de")))
+@case("u1_union_sources", " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id AS idx, '{x}' AS source FROM documents WHERE lang = '{x}' ORDER BY {U('doc_id')}, doc_id LIMIT 30)" for x in ("en", "fr", "de", "es")))
 def u1(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), "lang")
-    return sets.union_sources({x: docs.filter(F.col("lang") == x) for x in ("en", "fr", "de")}, 90, SEED).select("idx", "source")
+    return sets.union_sources({x: docs.filter(F.col("lang") == x) for x in ("en", "fr", "de", "es")}, 120, SEED).select("idx", "source")
 
 
 @case("u2_exact_dedup", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")

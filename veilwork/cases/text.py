@@ -146,9 +146,9 @@ def joint(spark, d):
     return docs.select("doc_id", a.alias("category"), b.alias("rating"), joined.alias("joined"), F.split(joined, "_")[1].alias("second"))
 
 
-@case("p15_reindex", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS idx FROM documents WHERE lang = 'en'")
+@case("p15_reindex", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS idx FROM documents")
 def reindex(spark, d):
-    docs = read(spark, d, "documents").filter("lang = 'en'").select("doc_id", "n_chars")
+    docs = read(spark, d, "documents").select("doc_id", "n_chars")
     return selection.reindex(docs, [F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", "idx")
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import words
 from ..sources.tables import materialise
@@ -59,19 +60,50 @@ def class_token_rule(df: DataFrame, token: str = "$", cls: int = 4, text="text",
     return df.filter(F.when(F.col(label) == cls, has).otherwise(~has))
 
 
-@lru_cache(maxsize=256)
-def _token_counts(text: str) -> Counter:
-    return Counter(re.findall("[0-9A-Za-z_]{2,}", text.lower()))
-
-
-def _pair_cosine(a: str | None, b: str | None) -> float | None:
-    x, y = _token_counts(a or ""), _token_counts(b or "")
-    if not x and not y:
-        return None
-    private = 1 + math.log(1.5)
-    dot = sum(n * y[w] for w, n in x.items() if w in y)
-    size = [sum((n * (1.0 if w in other else private)) ** 2 for w, n in own.items()) for own, other in ((x, y), (y, x))]
-    return dot / math.sqrt(size[0] * size[1]) if size[0] and size[1] else 0.0
+#: Fixed value: the weight of a token that one of the two texts lacks, by smooth inverse document frequency.
+PRIVATE = 1 + math.log(1.5)
+
+
+def _counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, counts, width): text * width + token, rising, with how often the text has the token."""
+    lower = pa.array([(t or "").lower() for t in texts], pa.large_string())
+    words = pc.utf8_split_whitespace(pc.replace_substring_regex(lower, "[^0-9A-Za-z_]+", " "))
+    flat, text = words.flatten(), np.asarray(pc.list_parent_indices(words), np.int64)
+    long = np.asarray(pc.greater_equal(pc.utf8_length(flat), 2), bool)
+    codes = pa.chunked_array([flat]).dictionary_encode().combine_chunks().indices if len(flat) else pa.array([], pa.int32())
+    codes, width = np.asarray(codes, np.int64), len(flat) + 1
+    keys, counts = np.unique(text[long] * width + codes[long], return_counts=True)
+    return keys, counts.astype(float), width
+
+
+def pair_cosines(a: pa.Array, b: pa.Array, at_once: int = 1 << 22) -> list[float | None]:
+    """TF-IDF cosine of each pair, fitted on the two texts alone. Each different text is tokenised once, all pairs share numpy lookups."""
+    if not len(a):
+        return []
+    both = pa.chunked_array([a.cast(pa.large_string()), b.cast(pa.large_string())]).dictionary_encode(null_encoding="encode").combine_chunks()
+    of, n = np.asarray(both.indices, np.int64), len(a)
+    x, y = of[:n], of[n:]
+    keys, counts, width = _counted(both.dictionary.to_pylist())
+    first = np.searchsorted(keys, np.arange(len(both.dictionary) + 1) * width)
+    squares = np.add.reduceat(np.r_[counts**2, 0], first[:-1]) * (np.diff(first) > 0) if len(first) > 1 else np.zeros(0)
+    size = np.diff(first)[x]
+    ends, out, lo = np.cumsum(size), [], 0
+    while lo < n:
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, side="right")), lo + 1)
+        pair = np.repeat(np.arange(hi - lo), size[lo:hi])
+        at = np.repeat(first[x[lo:hi]] - (ends[lo:hi] - size[lo:hi]), size[lo:hi]) + np.arange(ends[lo] - size[lo], ends[hi - 1])
+        wanted = y[lo:hi][pair] * width + keys[at] % width
+        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        shared = keys[place] == wanted if len(keys) else np.zeros(0, bool)
+        mine, theirs = counts[at] * shared, counts[place] * shared if len(keys) else np.zeros(0)
+        total = lambda v: np.bincount(pair, v, hi - lo)  # noqa: B023, E731
+        norms = [total(v * v) + PRIVATE**2 * (squares[t[lo:hi]] - total(v * v)) for v, t in ((mine, x), (theirs, y))]
+        product = norms[0] * norms[1]
+        cosine = np.divide(total(mine * theirs), np.sqrt(product), out=np.zeros(hi - lo), where=product > 0)
+        none = (norms[0] <= 0) & (norms[1] <= 0)
+        out += [None if e else float(c) for c, e in zip(cosine, none, strict=True)]
+        lo = hi
+    return out
 
 
 def novelty_similarity(pairs: DataFrame, key="id", seed="seed_id", a="text", b="seed_text") -> DataFrame:
@@ -81,12 +113,14 @@ def novelty_similarity(pairs: DataFrame, key="id", seed="seed_id", a="text", b="
     worked out in its row, so nothing is shuffled.
     """
 
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_pair_cosine(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    found = cosine(F.col(a), F.col(b)).alias("similarity")
-    return pairs.select(key, seed, found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pair_cosines(batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], [key, seed, "similarity"])
+
+    rows = pairs.select(key, seed, a, b)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("similarity", T.DoubleType())]))
 
 
 def novelty_filter(pairs: DataFrame, threshold: float = 0.52, key="id", a="text", b="seed_text", **names) -> DataFrame:
