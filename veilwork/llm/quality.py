@@ -157,16 +157,13 @@ def keep_good(docs: DataFrame, model, threshold: float = 0.3, id_col: str = "doc
     """The rows that the classifier accepts, with all their columns."""
     mean, scale, w = model
 
-    @F.pandas_udf("double")
-    def score(texts):
-        data, offsets = utf8_buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-        out = []
-        for lo, hi in row_blocks(offsets):
-            x = text_statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            z = np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
-            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        import pandas as pd
-
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    return docs.filter(score(F.col(f"`{text_col}`")) >= threshold)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_buffers(batch.column(text_col))
+            for lo, hi in row_blocks(offsets):
+                x = text_statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                z = np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
+                good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
