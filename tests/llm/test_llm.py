@@ -359,6 +359,28 @@ def test_quality_without_positives_scores_alike(spark):
         assert quality.keep_good(docs(spark, EDGES), model).count() == len(EDGES)
 
 
+def test_quality_risk_minimum_and_whole_unlabelled_set(spark):
+    rng = np.random.default_rng(3)
+    n = quality.N_FEATURES
+    x = rng.random((9000, n)).astype(np.float32)
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<float>").repartition(40)
+    mean, scale, w = quality.nnpu_fit(x[:500].astype(float), stats, 0.4)
+    assert np.allclose(mean, x.astype(float).mean(0)) and np.allclose(scale, x.astype(float).std(0) + 1e-3)
+    u = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    p = u[:500]
+    best = np.linalg.solve(u.T @ u / len(u) / 2 + 1e-3 * np.eye(n + 1), 0.4 * p.mean(0) - u.mean(0) / 2)
+    assert ((1 + u @ best) ** 2).mean() > 0.4 * ((1 + p @ best) ** 2).mean()  # the part that must not be negative is not
+    assert np.abs(w - best).max() < 1e-3
+
+    # separable: the unbiased risk's own minimum has a negative part, the descent's has not
+    good, bad = rng.normal(3, 0.1, (40, 3)), rng.normal(-3, 0.1, (10, 3))
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    p, u = one(good[:8]), one(np.vstack([good, bad]))
+    w = quality.nnpu_descent(quality._moments(p) / len(p), quality._moments(u) / len(u), 0.95)
+    assert ((1 + u @ w) ** 2).mean() / 4 - 0.95 * ((1 + p @ w) ** 2).mean() / 4 > -0.02
+    assert (one(bad) @ w).max() < (one(good) @ w).min()
+
+
 def test_tracking_tags_do_not_block(spark):
     urls = ["https://shop.org/p?utm_source=feed&ref=x", "https://shop.org/free-win/", "https://shop.org/casino", "https://casinos2.org/sexual", None, ""]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")

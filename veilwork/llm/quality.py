@@ -1,35 +1,41 @@
 """Quality classifier by positive-unlabelled learning.
 
-A linear model on text statistics is fitted by minimising the non-negative unbiased risk
-(pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))) with the logistic loss: trusted positives are rows
-labelled good, the unlabelled set is drawn from the whole corpus. The class prior is estimated from
-the labelled training fold. The fit sees bounded samples (``sample`` rows of each set, chosen by a
-hash of the id); scoring covers every row and whole texts, in Arrow batches.
+A linear model on text statistics minimises the non-negative unbiased risk with the squared loss,
+pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). Trusted positives are rows labelled good (``sample`` of them at
+most, chosen by a hash of the id); the unlabelled set is every row of the corpus. With this loss the risk is
+a function of the two sets' first and second moments, so the corpus is read once for the statistics (28
+numbers a row, written as a table) and the table twice: for the means and scales, and for the moments of the
+standardised statistics, a 29 x 29 matrix that tasks add up. Descent then runs on the moments; where the
+second part of the risk falls below zero its gradient is followed upwards instead. The class prior is
+estimated from the labelled training fold. The model's value estimates 2 * P(good) - 1, which gives the
+score. Scores cover every row and whole texts, in Arrow batches.
 
 Defined cases: null and empty texts have all-zero statistics and get the score of those; repeated
-rows get equal scores; without a positive in the training fold that has a text (or without any
-document) nothing can be learnt and every row scores 0.5; contradicting labels of one id count as the
-lower; extra columns pass through unread.
+rows get equal scores and count as often as they occur; without a positive in the training fold that has a
+row (or without any document) nothing can be learnt and every row scores 0.5; contradicting labels of one
+id count as the lower; rows with a null id are unlabelled; extra columns pass through unread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_blocks, utf8_buffers
+from ._common import materialise, row_blocks, utf8_buffers
 from ._words import Words
 
 #: Byte classes whose share of the text is a statistic.
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"#$%&*", b"|", b"<>{}[]()=/\\_", b"\n")
 N_FEATURES = 2 * (len(_CLASSES) + 6)
+#: Tasks that add up the tasks' sums before the driver does.
+FAN_IN = 16
 
 
-#: Scores every text 0.5.
+#: Its value is 0, so it scores every text 0.5.
 NEUTRAL = (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
 
 
@@ -67,12 +73,48 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([base, np.sqrt(base)])
 
 
-def _statistics_batches(batches: Iterator[pa.RecordBatch], finish) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8_buffers(batch.column("text"))
-        for lo, hi in row_blocks(offsets):
-            x = text_statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield finish(batch.slice(lo, hi - lo), x)
+def _statistics_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch with the statistics of their rows, in single precision as the table keeps them."""
+    data, offsets = utf8_buffers(batch.column(column))
+    for lo, hi in row_blocks(offsets, 1 << 19):
+        x = text_statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield batch.slice(lo, hi - lo), x.astype(np.float32)
+
+
+def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) for each row, written once: the fit reads it several times."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _statistics_blocks(batch, "text"):
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), flat], ["id", "x"])
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return materialise(texts.mapInArrow(compute, f"id {texts.schema['id'].dataType.simpleString()}, x array<float>"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(float)
+
+
+def add_up(stats: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all rows of ``of`` (rows x features to a vector of ``size``); the driver gets ``FAN_IN`` vectors."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += of(_matrix(batch.column("x")))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["part"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += batch.column("part").flatten().to_numpy(zero_copy_only=False).reshape(-1, size).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["part"])
+
+    parts = stats.select("x").mapInArrow(within, "part array<double>").repartition(FAN_IN)
+    return np.sum([r.part for r in parts.mapInArrow(across, "part array<double>").collect()] or [np.zeros(size)], axis=0)
 
 
 def fold(key: Column, folds: int = 5) -> Column:
@@ -80,90 +122,90 @@ def fold(key: Column, folds: int = 5) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def nnpu_fit(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the bias last), by Adam on the whole sample; where the negative risk
-    falls below zero, its gradient is followed upwards instead."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    put = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    p, u = put(positive), put(unlabelled)
-    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
+def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised statistics with a column of ones for the bias."""
+    return np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+
+
+def _moments(d: np.ndarray) -> np.ndarray:
+    """Sum of the rows and of their outer products, laid out in one vector."""
+    return np.concatenate([d.sum(0), (d.T @ d).ravel()])
+
+
+def nnpu_descent(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-3) -> np.ndarray:
+    """Weights by Adam; both sets are given by the means of their ``_moments``."""
+    n = int(np.sqrt(len(positive)))  # n numbers and n * n
+    (mp, qp), (mu, qu) = [(m[:n], m[n:].reshape(n, n)) for m in (positive, unlabelled)]
+    w, m, v = np.zeros(n), 0.0, 0.0
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        g_minus = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        g_plus = prior * (p.T @ (sigmoid(zp) - 1)) / len(p)
+        # the loss of a value z for the label y is (z - y)^2 / 4
+        negative = (w @ qu @ w + 2 * w @ mu + 1) / 4 - prior * (w @ qp @ w + 2 * w @ mp + 1) / 4
+        g_minus = (qu @ w + mu) / 2 - prior * (qp @ w + mp) / 2
+        g_plus = prior * (qp @ w - mp) / 2
         g = (g_plus + g_minus if negative >= 0 else -g_minus) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return mean, scale, w
+    return w
 
 
-def fit_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    sample: int = 6000,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fit on ``sample`` labelled positives and ``sample`` unlabelled rows at most; held-out rows' labels are never read."""
-    key = F.col(f"`{id_col}`")
-    train = labels.select(key.alias("id"), F.col(label_col).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+def nnpu_fit(positive: np.ndarray, stats: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights with the bias last), from the positives' statistics and the whole table."""
+    n = N_FEATURES
+    sums = add_up(stats, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * n)
+    rows, mean = sums[0], sums[1 : n + 1] / sums[0]
+    scale = np.sqrt(np.maximum(sums[n + 1 :] / rows - mean * mean, 0)) + 1e-3
+    unlabelled = add_up(stats, lambda x: _moments(_design(x, mean, scale)), (n + 1) * (n + 2)) / rows
+    return mean, scale, nnpu_descent(_moments(_design(positive, mean, scale)) / len(positive), unlabelled, prior)
+
+
+def fit_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 6000):
+    """The model from a table of statistics; held-out rows' labels are never read."""
+    train = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     train = train.filter(fold(F.col("id")) != 0).groupBy("id").agg(F.min("y").alias("y"))
     prior = train.agg(F.avg("y")).first()[0]
     if not prior:
         return NEUTRAL
-    order = F.xxhash64("id")
-    chosen_p = train.filter("y = 1").orderBy(order, "id").limit(sample).select("id", F.lit(1).alias("kind"))
-    every = docs.select(key.alias("id")).filter("id IS NOT NULL").distinct()
-    chosen_u = every.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("id", F.lit(0).alias("kind"))
-    chosen = F.broadcast(chosen_p.unionByName(chosen_u))
-    texts = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
-
-    def finish(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("kind"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "kind", "x"]
-        )
-
-    seen = texts.select("id", "kind", "text").mapInArrow(
-        lambda b: _statistics_batches(b, finish), "id long, kind int, x array<double>"
-    )
-    rows = sorted(seen.collect(), key=lambda r: (r.kind, r.id))
-    x = np.array([r.x for r in rows], float).reshape(len(rows), N_FEATURES)
-    kind = np.array([r.kind for r in rows])
-    if not (kind == 1).any():
+    chosen = train.filter("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample).select("id")
+    # one row for each chosen id, so that repeated ids cannot lift the bound
+    found = stats.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("x").alias("x")).collect()
+    if not found:
         return NEUTRAL
-    return nnpu_fit(x[kind == 1], x[kind == 0], min(float(prior), 0.99))
+    return nnpu_fit(np.array([r.x for r in sorted(found, key=lambda r: r.id)], float), stats, min(float(prior), 0.99))
 
 
-def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row."""
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit on ``sample`` labelled positives at most and on all rows of ``docs`` as unlabelled ones."""
+    return fit_statistics(statistics_table(docs, id_col, text_col), labels, id_col, label_col, sample)
+
+
+def _scores(x: np.ndarray, model) -> np.ndarray:
     mean, scale, w = model
+    return np.clip((_design(x.astype(float), mean, scale) @ w + 1) / 2, 0, 1)
 
-    def finish(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        z = np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return texts.mapInArrow(lambda b: _statistics_batches(b, finish), "id long, score double")
+def score_statistics(stats: DataFrame, model) -> DataFrame:
+    """(id, score) for each row of a table of statistics."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(_matrix(batch.column("x")), model))], ["id", "score"])
+
+    return stats.mapInArrow(score, f"id {stats.schema['id'].dataType.simpleString()}, score double")
+
+
+def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) for each row."""
+    return score_statistics(statistics_table(docs, id_col, text_col), model)
 
 
 def keep_good(docs: DataFrame, model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that the classifier accepts, with all their columns."""
-    mean, scale, w = model
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_buffers(batch.column(text_col))
-            for lo, hi in row_blocks(offsets):
-                x = text_statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                z = np.clip((x - mean) / scale, -8, 8) @ w[:-1] + w[-1]
-                good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold
-                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+            for rows, x in _statistics_blocks(batch, text_col):
+                yield rows.filter(pa.array(_scores(x, model) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

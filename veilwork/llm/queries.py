@@ -70,8 +70,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit_quality(docs, labels)
-    scored = quality.score_quality(docs, model)
+    stats = quality.statistics_table(docs)
+    scored = quality.score_statistics(stats, quality.fit_statistics(stats, labels))
     return scored.select(
         F.col("id").alias("doc_id"),
         (quality.fold(F.col("id")) == 0).alias("held_out"),
