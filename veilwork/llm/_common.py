@@ -31,7 +31,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _OWN[application]
 
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while an intermediate table is written: its shuffle files may be deleted when the write ends, and
+#: Arrow batches hold 8 MB, which bounds a Python worker's memory where texts are long.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -42,15 +47,17 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
     try:
+        for key, value in WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
