@@ -1,5 +1,7 @@
 """Blocks of candidates: rings around pivots give the same winners, and far rings are never read."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -78,3 +80,30 @@ def test_the_way_without_readable_files(spark, monkeypatch):
     for rule, far in (("same", False), ("all", True)):
         found = j.knn(spark.createDataFrame(private, KIND), spark.createDataFrame(cand, KIND), 2, rule, far, block=30)
         assert {(r.id, r.cand_id, r["rank"]) for r in found.collect()} == brute(private, cand, 2, rule, far)
+
+
+def test_memory_of_a_search_does_not_grow_with_the_number_of_blocks():
+    rng = np.random.default_rng(4)
+    n = 3000
+    x, c = rng.normal(size=(n, 4)), rng.normal(size=(n, 4))
+    tables = {str(i): pa.table({"id": [i], "label": [i % 3], "embedding": [c[i]]}) for i in range(n)}
+    pivots = c[:8]
+    reach = np.sqrt(((c - pivots[np.arange(n) % 8]) ** 2).sum(1))
+    rings = blocks.Rings(list(tables), *map(np.array, (np.arange(n) % 3, np.arange(n) % 8, reach - 1e-9, reach + 1e-9)), True, pivots)
+    tracemalloc.start()
+    dist, ids = blocks.visit(x, np.arange(n) % 3, rings, lambda a, own, t: j._winners(a, own, t, 1, "same", True), 1, True, lambda f: tables[f])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.where(np.arange(n)[:, None] % 3 == np.arange(n) % 3, np.sqrt(((x[:, None] - c) ** 2).sum(2)), -1)
+    assert (ids[:, 0] == exact.argmax(1)).all() and np.allclose(dist[:, 0], exact.max(1))
+    assert most < 8 * n * n / 10  # a tenth of one number for each row and block
+
+
+def test_small_blocks_grow_with_the_candidates(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MANY_BLOCKS", 8)
+    rng = np.random.default_rng(5)
+    cand, private = rows(rng.normal(size=(600, 4)), rng.integers(0, 3, 600)), rows(rng.normal(size=(30, 4)), rng.integers(0, 3, 30), 1000)
+    frame = j._plain(spark.createDataFrame(cand, KIND))
+    assert len(blocks.store_rings(frame, 2, True).files) < 40  # 300 files of 2 rows before
+    found = j.knn(spark.createDataFrame(private, KIND), spark.createDataFrame(cand, KIND), 2, "same", False, block=4)
+    assert {(r.id, r.cand_id, r["rank"]) for r in found.collect()} == brute(private, cand, 2, "same", False)

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import fresh_path
 from .selection import class_ranks
 
-#: Rows of a task that look for their winners together; pivots that are broadcast at most.
-CHUNK, MOST_PIVOTS = 16_384, 4_096
+#: Rows of a task that look for their winners together; pivots that are broadcast at most (a task holds a distance for each row and pivot).
+CHUNK, MOST_PIVOTS = 16_384, 1_024
+#: Small blocks grow with the candidates, so that there are about so many, until a block has so many rows.
+MANY_BLOCKS, FULL_BLOCK = 512, 8_192
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -65,10 +67,11 @@ def to_pivot(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[
     """Adds the nearest pivot, the distance to it and that distance's error bound."""
     for batch in batches:
         x = matrix(batch.column("embedding"))
-        parts = [distances(x[lo : lo + 1024], pivots) for lo in range(0, len(x), 1024)] or [(np.zeros((0, 1)), np.zeros(0))]
-        near = np.concatenate([d.argmin(1) for d, _ in parts])
-        reach, slack = np.concatenate([d.min(1) for d, _ in parts]), np.concatenate([s for _, s in parts])
-        columns = [*(batch.column(c) for c in ("id", "label", "embedding")), pa.array(near.astype(np.int64)), pa.array(reach), pa.array(slack)]
+        near, reach, slack = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros(len(x))
+        for lo in range(0, len(x), 1024):
+            d, slack[lo : lo + 1024] = distances(x[lo : lo + 1024], pivots)
+            near[lo : lo + 1024], reach[lo : lo + 1024] = d.argmin(1), d.min(1)
+        columns = [*(batch.column(c) for c in ("id", "label", "embedding")), pa.array(near), pa.array(reach), pa.array(slack)]
         yield pa.RecordBatch.from_arrays(columns, ["id", "label", "embedding", "pivot", "reach", "slack"])
 
 
@@ -94,10 +97,14 @@ def store_rings(cand: DataFrame, size: int, by_label: bool) -> Rings:
     """Writes (id, label, embedding) in files of at most ``size`` rows, each a ring around one of a sample of pivots.
 
     A crowded pivot has many rings: its rows are ranked by distance in a range-partitioned sort, not in one task.
+    Beyond ``MANY_BLOCKS`` files ``size`` grows, and labels share the pivots, so that files stay few and full.
     """
     spark, folder = cand.sparkSession, fresh_path(cand.sparkSession, "rings")
-    n = -(-cand.count() // size)
-    sample = cand.select("embedding").orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, max(n, 1))).toArrow()
+    total = cand.count()
+    size = max(size, min(FULL_BLOCK, -(-total // MANY_BLOCKS)))
+    n = -(-total // size)
+    classes = cand.select("label").distinct().count() if by_label else 1
+    sample = cand.select("embedding").orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, max(n // max(classes, 1), 1))).toArrow()
     pivots = np.unique(matrix(sample.column("embedding")), axis=0)
     placed = cand.mapInArrow(lambda b: to_pivot(b, pivots), _kind(cand) + ", pivot long, reach double, slack double")
     group = F.struct("label", "pivot") if by_label else F.struct("pivot")
@@ -140,13 +147,24 @@ def visit(x: np.ndarray, labels: np.ndarray, rings: Rings, search: Search, q: in
     least possible distance; one that can't hold a winner of any row isn't read."""
     sign = -1.0 if far else 1.0
     best, ids = np.full((len(x), q), np.inf), np.full((len(x), q), -1, np.int64)  # best is sign * distance
-    d, slack = distances(x, rings.pivots)
-    d_of, slack = d[:, rings.pivot], slack[:, None]
-    least = -(d_of + rings.outer + slack) if far else np.maximum(np.maximum(d_of - rings.outer, rings.inner - d_of) - slack, 0)
-    least = least - 1e-12 * np.abs(least)  # of the sums above
-    asked = (labels[:, None] == rings.label) if rings.by_label else np.ones(least.shape, bool)
-    for b in np.argsort(np.where(asked, least, np.inf).min(0), kind="stable"):
-        rows = np.flatnonzero(asked[:, b] & (least[:, b] <= best[:, -1]))
+    d, slack = np.empty((len(rings.pivots), len(x))), np.empty(len(x))
+    for lo in range(0, len(x), 1024):
+        part, slack[lo : lo + 1024] = distances(x[lo : lo + 1024], rings.pivots)
+        d[:, lo : lo + 1024] = part.T
+    every, none = np.arange(len(x)), np.zeros(0, np.int64)
+    of_label = {int(label): np.flatnonzero(labels == label) for label in np.unique(labels)} if rings.by_label else {}
+    asked = lambda b: of_label.get(int(rings.label[b]), none) if rings.by_label else every
+
+    def least(b: int, rows: np.ndarray) -> np.ndarray:
+        """The rows' bounds for one block; worked out when needed, as rows times blocks of them would not fit a task."""
+        of, inner, outer = d[rings.pivot[b], rows], rings.inner[b], rings.outer[b]
+        bound = -(of + outer + slack[rows]) if far else np.maximum(np.maximum(of - outer, inner - of) - slack[rows], 0)
+        return bound - 1e-12 * np.abs(bound)  # of the sums above
+
+    first = np.array([least(b, rows).min() if len(rows := asked(b)) else np.inf for b in range(len(rings.files))])
+    for b in np.argsort(first, kind="stable"):
+        rows = asked(b)
+        rows = rows[least(b, rows) <= best[rows, -1]]
         if not len(rows):
             rings.counts["skipped"] += 1
             continue
