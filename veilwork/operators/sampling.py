@@ -180,20 +180,22 @@ def few_shot_ids(prompts: DataFrame, pool_size: int, k: int, seed, key="prompt_i
     """(prompt, draw, position): k distinct positions in a pool for each prompt.
 
     A prompt draws positions until k are distinct, and the first k distinct ones count. Prompts that
-    fall short after a round of draws draw on. Join on the pool's position.
+    fall short after a round of draws draw on. Join on the pool's position. A prompt's draws stay an array
+    in its row, so that nothing is grouped.
     """
     if k > pool_size:
         raise ValueError("the pool is smaller than k")
-    done, tries, found, short = 0, 4 * k + 16, None, prompts.select(key).distinct()
+    done, tries, found = 0, 4 * k + 16, None
+    short = prompts.select(key).distinct().withColumn("__drawn", F.array().cast("array<long>"))
     while found is None or not short.isEmpty():
-        draws = short.select(key, F.explode(F.sequence(F.lit(done), F.lit(done + tries - 1))).alias("try"))
-        new = draws.withColumn("position", F.floor(uniform(seed, F.col(key), F.col("try")) * pool_size).cast("long"))
-        new = new.select(key, "position", "try") if found is None else found.unionByName(new.select(key, "position", "try"))
-        found = materialise(new.groupBy(key, "position").agg(F.min("try").alias("try")))
-        short = materialise(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select(key))
+        draw = lambda t: F.floor(uniform(seed, F.col(key), t) * pool_size).cast("long")
+        drawn = F.array_distinct(F.concat("__drawn", F.transform(F.sequence(F.lit(done), F.lit(done + tries - 1)), draw)))  # in order of the draws
+        rows = materialise(short.withColumn("__drawn", F.slice(drawn, 1, k)))
+        full, short = rows.filter(F.size("__drawn") >= k), rows.filter(F.size("__drawn") < k)
+        found = full if found is None else found.unionByName(full)
         done, tries = done + tries, 2 * tries
-    out = ranked(found, [F.col("try")], key, "draw").filter(F.col("draw") <= k)
-    return out.select(key, "draw", "position")
+    out = found.select(key, F.posexplode("__drawn").alias("draw", "position"))
+    return out.select(key, (F.col("draw") + 1).cast("long").alias("draw"), "position")
 
 
 def clients_of_round(clients: DataFrame, m: int, round_no: int, seed, key="client_id") -> DataFrame:
