@@ -13,3 +13,7 @@ def plan(df):
 def test_draws_of_a_prompt_stay_in_its_row(spark, sf):
     found = plan(selection.shots(spark, sf))
     assert "Exchange" not in found and "Aggregate" not in found and "Window" not in found
+
+
+def test_languages_are_numbered_without_a_window(spark, sf):
+    assert "row_number" not in plan(joins.novelty_pairs(spark, sf))

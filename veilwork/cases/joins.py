@@ -220,10 +220,8 @@ nf AS (SELECT id, max(s) AS similarity FROM ns GROUP BY id HAVING max(s) <= 0.52
 
 
 def novelty_pairs(spark, d):
-    from pyspark.sql import Window
-
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    o = docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    o = sel.class_ranks(docs, [F.col("doc_id")], "lang", "rn")  # a language is sorted by many tasks
     a = o.select(F.col("doc_id").alias("id"), "text", "lang", "rn", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).withColumn("at", F.col("rn") + F.col("k"))
     b = o.select(F.col("doc_id").alias("seed_id"), F.col("text").alias("seed_text"), "lang", F.col("rn").alias("at"))
     return a.join(b, ["lang", "at"]).select("id", "text", "seed_id", "seed_text")

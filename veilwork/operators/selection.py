@@ -24,7 +24,7 @@ def reindex(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    numbered = ranged.join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__at"))
+    numbered = ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at"))
     return numbered.drop("__part", "__at", "__before")
 
 
@@ -100,7 +100,7 @@ def class_ranks(df: DataFrame, order: list, by: str, name: str = "rank") -> Data
     """1-based rank within few large classes. A class is sorted by many tasks (see ``reindex``), not by one."""
     rows = reindex(df, [F.col(by), *order], "__no")
     first = rows.groupBy(F.col(by).alias("__class")).agg(F.min("__no").alias("__from"))
-    numbered = rows.join(first, F.col(by).eqNullSafe(F.col("__class")))
+    numbered = rows.join(F.broadcast(first), F.col(by).eqNullSafe(F.col("__class")))
     return numbered.withColumn(name, F.col("__no") - F.col("__from") + 1).drop("__no", "__class", "__from")
 
 
