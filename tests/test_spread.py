@@ -17,3 +17,7 @@ def test_draws_of_a_prompt_stay_in_its_row(spark, sf):
 
 def test_languages_are_numbered_without_a_window(spark, sf):
     assert "row_number" not in plan(joins.novelty_pairs(spark, sf))
+
+
+def test_conversations_are_brought_together_once(spark, sf):
+    assert plan(text.chat(spark, sf)).count("Exchange ") == 1

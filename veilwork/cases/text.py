@@ -110,11 +110,7 @@ _CHAT = {
     f"SELECT '{s}' AS style, conv_id, {h} || string_agg(CASE WHEN role = 'user' THEN {a} ELSE {b} END, '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id"
     for s, (h, a, b) in _CHAT.items()))
 def chat(spark, d):
-    c, out = read(spark, d, "conversations"), None
-    for style in t.CHAT_STYLES:
-        one = t.render_chat(c, style, "sys").withColumn("style", F.lit(style))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return t.render_chats(read(spark, d, "conversations"), list(t.CHAT_STYLES), "sys")
 
 
 @case("p11_split_preference_pair", """WITH p AS (

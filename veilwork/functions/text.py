@@ -126,17 +126,24 @@ CHAT_STYLES = {
 
 def render_chat(df: DataFrame, style: str, system: str = "", key: str = "conv_id") -> DataFrame:
     """(key, prompt): a conversation's turns in order, each rendered by the style."""
-    head, user, assistant = CHAT_STYLES[style]
+    return render_chats(df, [style], system, key).drop("style")
 
-    def fill(template: str) -> Column:
-        parts = [F.lit(p) if p not in ("{r}", "{t}") else F.col("role" if p == "{r}" else "text") for p in _parts(template)]
-        return F.concat(*parts)
 
-    turn = F.when(F.col("role") == "user", fill(user)).otherwise(fill(assistant))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", turn.alias("line"))))
-    lines = df.groupBy(key).agg(ordered.alias("lines"))
-    prompt = F.concat(F.lit(head.replace("{s}", system)), F.array_join(F.col("lines.line"), ""))
-    return lines.select(key, prompt.alias("prompt"))
+def render_chats(df: DataFrame, styles: list[str], system: str = "", key: str = "conv_id") -> DataFrame:
+    """(key, prompt, style): each conversation in each of the styles; its turns are brought together once."""
+
+    def prompt(style: str) -> Column:
+        head, user, assistant = CHAT_STYLES[style]
+
+        def line(turn: Column) -> Column:
+            fill = lambda template: F.concat(*[turn[{"{r}": "role", "{t}": "text"}[p]] if p in ("{r}", "{t}") else F.lit(p) for p in _parts(template)])
+            return F.struct(turn["turn"].alias("turn"), F.when(turn["role"] == "user", fill(user)).otherwise(fill(assistant)).alias("line"))
+
+        lines = F.sort_array(F.transform("turns", line))["line"]
+        return F.struct(F.concat(F.lit(head.replace("{s}", system)), F.array_join(lines, "")).alias("prompt"), F.lit(style).alias("style"))
+
+    turns = df.groupBy(key).agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    return turns.select(key, F.explode(F.array(*map(prompt, styles))).alias("p")).select(key, "p.*")
 
 
 def _parts(template: str) -> list[str]:
