@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .tables import materialise
 
+#: So many elements of a client's list meet its name in one task.
+SPAN = 1_000
 _COUNTED = ("null", ":")  # tokens of the structure whose number before a segment is kept
 _LOCAL = "file string, name string, block long, k long, text string, open boolean, null0 long, null1 long, colon0 long, colon1 long"
 
@@ -106,7 +108,10 @@ def string_of(content):
 
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, at, text, colons) of all strings and nulls in order; ``at`` counts the elements before in the file."""
-    rows = segments(spark, path)
+    return _elements(segments(spark, path))
+
+
+def _elements(rows: DataFrame) -> DataFrame:
     first = F.floor(F.col("i") / 2) + F.col("nulls")
     strings = rows.filter("i % 2 = 1").select("file", "name", first.alias("at"), string_of(F.col("text")).alias("text"), "colons", "i")
     n = F.regexp_count("text", F.lit("null"))
@@ -118,9 +123,18 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def client_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(client_id, pos, text) of objects client -> list of strings."""
-    rows, every = segments(spark, path), array_elements(spark, path)
+    """(client_id, pos, text) of objects client -> list of strings.
+
+    A list meets its client's name in spans of ``SPAN`` elements, so that a long list is joined by many tasks.
+    """
+    rows = materialise(segments(spark, path))
+    every = _elements(rows)
     colons = rows.filter("i % 2 = 0 AND contains(text, ':')").select("file", (F.col("i") - 1).alias("i"), (F.col("colons") + 1).alias("colons"), (F.floor(F.col("i") / 2) + F.col("nulls")).alias("base"))
     keys = rows.filter("i % 2 = 1").select("file", "i", string_of(F.col("text")).alias("client_id")).join(colons, ["file", "i"]).drop("i")
-    texts = every.join(colons.select("file", "i"), ["file", "i"], "left_anti")
-    return texts.join(keys, ["file", "colons"]).select("client_id", (F.col("at") - F.col("base")).cast("int").alias("pos"), "text")
+    after = keys.select("file", (F.col("colons") - 1).alias("colons"), F.col("base").alias("end"))  # where the next list begins
+    last = every.groupBy("file").agg(F.max("at").alias("last"))
+    span = lambda at: F.floor(at / SPAN)
+    keys = keys.join(after, ["file", "colons"], "left").join(last, "file")
+    keys = keys.withColumn("span", F.explode(F.sequence(span(F.col("base")), span(F.greatest("base", F.coalesce("end", "last"))))))
+    texts = every.join(colons.select("file", "i"), ["file", "i"], "left_anti").withColumn("span", span(F.col("at")))
+    return texts.join(keys, ["file", "colons", "span"]).select("client_id", (F.col("at") - F.col("base")).cast("int").alias("pos"), "text")
