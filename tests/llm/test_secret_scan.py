@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +123,61 @@ def test_the_network_finds_other_secrets_and_leaves_the_rest(spark, corpus):
     assert again.threshold == detector.threshold
 
 
+def windows_in(rows):
+    """(label, windows of the candidate, window) of each window of labelled candidates."""
+    for r in rows:
+        pieces = [bytes(r.pieces[i : i + secret_scan.PIECE]) for i in range(0, len(r.pieces or b""), secret_scan.PIECE)]
+        of = [(label, n) for label, n in zip(r.run_label, r.run_pieces, strict=True) for _ in range(n)]
+        yield from ((label, n, x) for (label, n), x in zip(of, pieces, strict=True) if label in (0, 1))
+
+
+def test_training_deals_every_window_of_the_training_folds(spark):
+    rows = [(None, "token=" + "ab12" * 5, 0, "", 0.0)] * 50  # all alike, without an id
+    rows += [(i, f"number {10**15 + i} token={i:020x} " + "z9" * 100 * (i % 3), 0, "", 0.0) for i in range(120)]
+    examined = secret_scan.examine(spark.createDataFrame(rows, ROWS)).withColumn("fold", secret_scan.fold(F.col("id")))
+    want = Counter(windows_in(examined.filter("fold > 1").collect()))
+    assert max(n for _, n, _ in want) == 7 and max(want.values()) >= 50
+    for copies, shards in (({0: 1, 1: 3}, 8), ({0: 2, 1: 1}, 1)):
+        dealt = secret_scan.deal(secret_scan.counted_windows(examined), copies, shards).collect()
+        got = Counter()
+        for r in dealt:
+            for x in r.rows:
+                got[x.label, x.of, bytes(x.window)] += x["count"]
+        assert got == {k: n * copies[k[0]] for k, n in want.items()} and sorted(r.shard for r in dealt) == list(range(shards))
+        often = [sum(x["count"] for x in r.rows if bytes(x.window).strip(b"\0").startswith(b"token=ab12")) for r in dealt]
+        assert max(often) - min(often) <= 1
+
+
+def test_the_fit_takes_no_sample(spark, corpus, monkeypatch):
+    def no_sample(*_):
+        raise AssertionError("sampled")
+
+    examined = secret_scan.examine(corpus).cache()
+    monkeypatch.setattr(secret_scan, "labelled_windows", no_sample)
+    monkeypatch.setattr(secret_scan, "SHARD", 500)
+    weights = secret_scan.train_detector(examined, rounds=2)
+    again = secret_scan.train_detector(examined.repartition(7), rounds=2)
+    assert all(np.array_equal(weights[k], again[k]) for k in weights)
+    detector = secret_scan.fit_detector(examined, recall=0.9, rounds=2)
+    labels, z = [], []
+    for r in examined.filter(secret_scan.fold(F.col("id")) == 1).collect():
+        pieces = np.frombuffer(bytes(r.pieces or b""), np.uint8).reshape(-1, secret_scan.PIECE)
+        labels += r.run_label
+        z += list(char_cnn.logits(weights, pieces[:, :-1], pieces[:, -1].astype(int)))  # one window a candidate here
+    labels, z = np.array(labels), np.array(z, float)
+    a, b = char_cnn.platt(z, labels)
+    assert np.allclose([detector.a, detector.b], [a, b], rtol=1e-4)
+    assert np.isclose(detector.threshold, char_cnn.threshold_for_recall(char_cnn.sigmoid(a * z + b), labels, 0.9), rtol=1e-4)
+
+
+def test_the_nth_largest_of_ranks(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(1 << 32) for _ in range(60)] + [0, (1 << 32) - 1] + [77 << 20] * 9
+    rows = spark.createDataFrame([(x,) for x in values], "x long")
+    for nth in (1, 2, 30, 65, len(values)):
+        assert secret_scan.nth_largest(rows, "x", nth) == sorted(values, reverse=True)[nth - 1]
+
+
 def test_a_reviewers_labels_replace_the_rules(spark):
     rows = [(i, f"number {10**15 + i} token={'ab12' * 5}", 0, "", 0.0) for i in range(6)] + [(None, "x" * 20, 0, "", 0.0)]
     examined = secret_scan.examine(spark.createDataFrame(rows, ROWS))

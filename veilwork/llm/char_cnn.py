@@ -7,12 +7,15 @@ over the body (largest and mean) and over the context (largest), and two dense l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
 BEFORE, BODY, AFTER = 32, 64, 16
 WINDOW = BEFORE + BODY + AFTER
+#: Samples of a step of Adam.
+BATCH = 128
 _KERNEL, _EMBED, _FILTERS, _HIDDEN = 5, 8, (24, 32), 32
 #: Class of each byte: absent (0), printable ASCII one by one, line breaks and tabs, other controls, parts of wider characters.
 _CLASS = np.r_[0, np.full(31, 97), np.arange(1, 96), 97, np.full(128, 98)].astype(np.int64)
@@ -97,42 +100,74 @@ def logits(w: dict[str, np.ndarray], windows: np.ndarray, sizes: np.ndarray, at_
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
-def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 2e-3, seed: int = 0) -> dict:
-    """Weights fitted by Adam on the logistic loss; classes weigh the same in total."""
-    rng, w = np.random.default_rng(seed), initial(seed)
-    m, v, t = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
-    share = np.bincount(labels, minlength=2) / len(labels)
-    weight = (0.5 / np.maximum(share, 1e-9))[labels]
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for i in range(0, len(order), batch):
-            b, t = order[i : i + batch], t + 1
-            z, kept = forward(w, windows[b], sizes[b])
-            g = backward(w, kept, ((sigmoid(z) - labels[b]) * weight[b] / len(b)).astype(np.float32))
-            for k in w:
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
-                w[k] = (w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w
-
-
-def platt(z: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a * z + b) is the probability: Newton's method with smoothed targets."""
-    pos, neg = (labels == 1).sum(), (labels == 0).sum()
-    target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, theta = np.stack([z, np.ones_like(z)], axis=1).astype(float), np.array([1.0, 0.0])
-    loss = lambda th: np.logaddexp(0, x @ th).sum() - target @ (x @ th)
+def flat(*parts: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights (or the means that Adam keeps of them) one after another, as one vector."""
+    return np.concatenate([x.ravel() for part in parts for x in part.values()])
+
+
+def unflat(vector: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """The parts that ``flat`` joined; they can be written to."""
+    shapes = {k: x.shape for k, x in initial().items()}
+    out, at = [], 0
+    while at < len(vector):
+        out.append({})
+        for k, shape in shapes.items():
+            n = int(np.prod(shape))
+            out[-1][k] = np.array(vector[at : at + n], np.float32).reshape(shape)
+            at += n
+    return out
+
+
+def one_pass(
+    state: np.ndarray, step: int, windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rng: np.random.Generator,
+    rate: float = 2e-3,
+) -> np.ndarray:
+    """Adam on the weighted logistic loss, each sample once; ``state`` is ``flat`` of weights, means and squares after ``step`` steps."""
+    w, m, v = unflat(state)
+    order = rng.permutation(len(labels))
+    for i in range(0, len(order), BATCH):
+        b, step = order[i : i + BATCH], step + 1
+        z, kept = forward(w, windows[b], sizes[b])
+        g = backward(w, kept, ((sigmoid(z) - labels[b]) * weight[b] / len(b)).astype(np.float32))
+        for k in w:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+            w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return flat(w, m, v).astype(np.float32)
+
+
+def platt_targets(pos: int, neg: int) -> tuple[float, float]:
+    """Smoothed targets of a negative and of a positive."""
+    return 1 / (neg + 2), (pos + 1) / (pos + 2)
+
+
+def platt_by_sums(sums: Callable[[float, float], tuple], steps: int = 50) -> tuple[float, float]:
+    """Newton's method; ``sums(a, b)`` gives the loss, its two first and its three second derivatives (aa, ab, bb)."""
+    theta, now = np.array([1.0, 0.0]), sums(1.0, 0.0)
     for _ in range(steps):
-        p = sigmoid(x @ theta)
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target))
-        size = 1.0
-        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+        step, size = np.linalg.solve(np.array([[now[3], now[4]], [now[4], now[5]]]) + 1e-6 * np.eye(2), np.array(now[1:3])), 1.0
+        new = sums(*(theta - step))
+        while size > 1e-6 and new[0] > now[0] + 1e-12 * abs(now[0]):
             size /= 2
-        theta = theta - size * step
+            new = sums(*(theta - size * step))
+        theta, now = theta - size * step, new
         if np.abs(size * step).max() < 1e-9:
             break
     return float(theta[0]), float(theta[1])
 
 
+def platt(z: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a * z + b) is the probability: Newton's method with smoothed targets."""
+    target, x = np.array(platt_targets((labels == 1).sum(), (labels == 0).sum()))[(labels == 1).astype(int)], z.astype(float)
+
+    def sums(a: float, b: float) -> tuple:
+        value = a * x + b
+        p = sigmoid(value)
+        d, q = p - target, p * (1 - p)
+        return (np.logaddexp(0, value) - target * value).sum(), (d * x).sum(), d.sum(), (q * x * x).sum(), (q * x).sum(), q.sum()
+
+    return platt_by_sums(sums, steps)
+
+
 def threshold_for_recall(p: np.ndarray, labels: np.ndarray, recall: float) -> float:
     """The highest probability that still accepts the share ``recall`` of the positives."""
     found = np.sort(p[labels == 1])[::-1]

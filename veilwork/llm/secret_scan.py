@@ -4,17 +4,22 @@ One pass over the texts finds the rules' spans and all candidates: runs of ``A-Z
 characters, or with 8 and a digit. A candidate is kept as windows of bytes with its context before and
 after (long runs as several windows, so none is cut short); texts themselves go no further. The network
 (``char_cnn``) learns from labelled findings: candidates that a rule covers are positive, the others
-negative; those labels can be replaced by a reviewer's (``findings``). It sees bounded samples, ``sample``
-windows of each class at most, chosen by a hash, plus copies of positives in a negative's surroundings
-and with re-lettered values, so that neither a key word nor an alphabet is all it knows. Another fold of
-documents calibrates its logits (Platt) and sets the threshold: the highest probability at which the
-share ``recall`` of that fold's positives is still found. Then every candidate of every text is scored.
+negative; those labels can be replaced by a reviewer's (``findings``). Every window of every labelled
+candidate of the training folds is learnt from (a candidate's windows share its weight and have its label),
+plus copies of positives in a negative's surroundings and with re-lettered values, so that neither a key word
+nor an alphabet is all it knows. Equal windows are counted, the rarer class is repeated, and all are dealt by
+hash over shards of about ``SHARD`` samples, whose number grows with the table. In each round a task goes once
+through its shards, from the same weights; the weights (and Adam's means) after it are averaged by the shards'
+samples. The calibration fold is scored as a whole, a candidate by its likeliest window: sums over all of
+it calibrate the logits (Platt), and counts of all its positives give the threshold, the highest probability
+at which the share ``recall`` of them is still found. Then every candidate of every text is scored.
 
 The rules' spans always stay; the network adds spans of kind ``cnn`` where no rule's span overlaps.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids are rows of their own;
 spans are code points, end exclusive, by start, then kind, then end; without positives or negatives in
-the training or the calibration fold the network adds nothing; an empty table gives no rows; extra columns are not read.
+the training or the calibration fold, or where negatives get the larger logits, the network adds nothing; an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import types as T
 
 from . import char_cnn
 from ._common import materialise, row_blocks, utf8_buffers
-from .char_cnn import AFTER, BEFORE, BODY, WINDOW, Detector
+from .char_cnn import AFTER, BATCH, BEFORE, BODY, WINDOW, Detector
 
 #: The base rules in their order, the group that is measured and its least length.
 RULES = (
@@ -46,6 +51,12 @@ _MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]{
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")] = True
 PIECE = WINDOW + 1  # a window's bytes and the number of its body bytes
+#: Samples of a shard, copies included; a task trains on a shard at a time.
+SHARD = 6000
+#: Where a class weighs less than the other by more than this factor, its windows are repeated; weights do the rest.
+RARER = 4
+#: Tasks that add up the shards' weights before the driver does.
+FAN_IN = 16
 EXAMINED = (
     "kind array<int>, start array<long>, end array<long>, run_start array<long>, run_end array<long>, "
     "run_pieces array<long>, run_label array<int>, pieces binary"
@@ -156,7 +167,7 @@ def fold(key: Column, folds: int = 5) -> Column:
 
 
 def labelled_windows(examined: DataFrame, sample: int) -> dict[tuple[str, int], np.ndarray]:
-    """(role, label) to at most ``sample`` windows, the first ones of labelled candidates by a hash."""
+    """(role, label) to at most ``sample`` windows, the first ones of labelled candidates by a hash: to look at, nothing is fitted on them."""
     number = F.array_position(F.transform("run_label", lambda x: F.lit(1)), 1)  # null where there is no candidate
     one = examined.filter(number.isNotNull()).select(
         "id", fold(F.col("id")).alias("fold"), F.posexplode(F.arrays_zip("run_label", "run_pieces", "run_start")).alias("at", "run"), "pieces",
@@ -174,7 +185,7 @@ def labelled_windows(examined: DataFrame, sample: int) -> dict[tuple[str, int],
     return out
 
 
-def varied(positive: np.ndarray, negative: np.ndarray, seed: int = 0) -> np.ndarray:
+def varied(positive: np.ndarray, negative: np.ndarray, seed: int | list[int] = 0) -> np.ndarray:
     """Copies of positives: values in the surroundings of negatives, and values in other letters."""
     rng = np.random.default_rng(seed)
     moved, size = negative[rng.integers(0, len(negative), len(positive))].copy(), positive[:, WINDOW].astype(int)
@@ -193,19 +204,176 @@ def varied(positive: np.ndarray, negative: np.ndarray, seed: int = 0) -> np.ndar
     return np.concatenate([moved, other])
 
 
-def fit_detector(examined: DataFrame, sample: int = 1500, recall: float = 0.98, epochs: int = 6) -> Detector | None:
-    """Network, calibration and threshold from labelled candidates; None where a class is missing in a fold."""
-    seen = labelled_windows(examined, sample)
-    if any(not len(seen[role, label]) for role in ("train", "calibrate") for label in (0, 1)):
+def _candidates(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, number of windows) of a batch's candidates, and all their windows."""
+    number = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    pieces = b"".join(x for x in batch.column("pieces").to_pylist() if x)
+    return number("run_label"), number("run_pieces").astype(np.int64), np.frombuffer(pieces, np.uint8).reshape(-1, PIECE)
+
+
+def counted_windows(examined: DataFrame) -> DataFrame:
+    """(label, of, window, n): the different windows of all labelled candidates in the training folds, and how often each occurs.
+
+    ``of`` is the number of windows that the candidate has.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, of, pieces = _candidates(batch)
+            label, of = np.repeat(label, of), np.repeat(of, of)
+            asked = (label == 0) | (label == 1)
+            offsets = pa.py_buffer(np.arange(0, PIECE * int(asked.sum()) + 1, PIECE, dtype=np.int32))
+            window = pa.Array.from_buffers(pa.binary(), int(asked.sum()), [None, offsets, pa.py_buffer(pieces[asked].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(label[asked], pa.int32()), pa.array(of[asked], pa.int64()), window], ["label", "of", "window"])
+
+    learnt = examined.filter(fold(F.col("id")) > 1).select("run_label", "run_pieces", "pieces")
+    each = learnt.mapInArrow(unpack, "label int, of long, window binary")
+    return each.groupBy("label", "of", "window").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deal(counted: DataFrame, copies: dict[int, int], shards: int) -> DataFrame:
+    """(shard, rows): all windows, those of a class ``copies`` times, dealt as evenly as whole numbers allow.
+
+    A window starts at a shard chosen by hash and goes round: one that occurs often is in all shards.
+    """
+    times = counted.withColumn("n", F.col("n") * F.when(F.col("label") == 1, F.lit(copies[1])).otherwise(F.lit(copies[0])))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(shards)) - 1))
+    one = times.withColumn("turn", turn).withColumn("shard", F.pmod(F.pmod(F.xxhash64("label", "of", "window"), F.lit(shards)) + F.col("turn"), F.lit(shards)))
+    count = F.floor(F.col("n") / shards).cast("long") + (F.col("turn") < F.col("n") % shards).cast("long")
+    rows = F.sort_array(F.collect_list(F.struct("label", "of", count.alias("count"), "window"))).alias("rows")
+    return one.repartitionByRange(min(shards, 2000), "shard").groupBy("shard").agg(rows)
+
+
+def samples(rows: pa.StructArray, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, label, share of its candidate's weight) of a shard, with new varied copies of its positives."""
+    label, of, count = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("label", "of", "count"))
+    window = np.frombuffer(b"".join(rows.field("window").to_pylist()), np.uint8).reshape(-1, PIECE)
+    label, share, window = np.repeat(label, count), np.repeat(1 / of, count), np.repeat(window, count, axis=0)
+    positive, share_positive = window[label == 1], share[label == 1]
+    if len(positive) and len(positive) < len(window):
+        more = varied(positive, window[label == 0], seed)
+        window, label, share = np.concatenate([window, more]), np.r_[label, np.ones(len(more), int)], np.r_[share, share_positive, share_positive]
+    return window, label, share
+
+
+def train_round(shards: DataFrame, state: np.ndarray, nth: int, weight: dict[int, float]) -> np.ndarray:
+    """The state after every shard's samples were gone through once, from the same state; averaged by samples."""
+    shared = shards.sparkSession.sparkContext.broadcast(state)
+    kind = pa.list_(pa.float32())
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, rows in zip(batch.column("shard").to_pylist(), batch.column("rows"), strict=True):
+                window, label, share = samples(rows.values, [shard, nth])
+                weights, steps = share * np.where(label == 1, weight[1], weight[0]), nth * -(-len(label) // BATCH)
+                rng = np.random.default_rng([shard, nth, 1])
+                after = char_cnn.one_pass(shared.value, steps, window[:, :WINDOW], window[:, WINDOW].astype(int), label, weights, rng)
+                columns = [pa.array([shard], pa.int64()), pa.array([len(label)], pa.int64()), pa.array([after], kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "n", "state"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}  # in the order of shards, so that reruns agree to the last bit
+        for batch in batches:
+            for part, n, after in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("state"), strict=True):
+                total, so_far = sums.get(part, (0, 0.0))
+                sums[part] = total + n, so_far + n * after.values.to_numpy().astype(float)
+        for part, (n, total) in sums.items():
+            columns = [pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "n", "state"])
+
+    trained = materialise(shards.mapInArrow(train, "shard long, n long, state array<float>")).withColumn("part", F.col("shard") % FAN_IN)
+    added = trained.repartition(FAN_IN, "part").sortWithinPartitions("shard").mapInArrow(add, "part long, n long, state array<double>")
+    rows = sorted(added.collect(), key=lambda r: r.part)
+    shared.destroy()
+    return (sum(np.array(r.state) for r in rows) / sum(r.n for r in rows)).astype(np.float32)
+
+
+def train_detector(examined: DataFrame, rounds: int = 6, seed: int = 0) -> dict | None:
+    """Weights learnt from every window of every labelled candidate in the training folds; None where a class is missing."""
+    counted = materialise(counted_windows(examined))
+    whole = lambda x: F.sum(x.cast("decimal(28,12)"))  # noqa: E731 (exact, so that the order of rows has no say)
+    totals = counted.groupBy("label").agg(F.sum("n").alias("n"), whole(F.col("n") / F.col("of")).alias("candidates")).collect()
+    n, candidates = {r.label: int(r.n) for r in totals}, {r.label: float(r.candidates) for r in totals}
+    if len(n) < 2:
+        return None
+    candidates[1], n[1] = 3 * candidates[1], 3 * n[1]  # with the two varied copies
+    copies = {x: max(1, round(candidates[1 - x] / candidates[x] / RARER)) for x in (0, 1)}
+    size = sum(copies[x] * n[x] for x in (0, 1))
+    shards = materialise(deal(counted, copies, max(1, round(size / SHARD))))
+    weight = {x: 0.5 * size / (copies[x] * candidates[x]) for x in (0, 1)}
+    start = char_cnn.flat(char_cnn.initial(seed))
+    state = np.r_[start, np.zeros(2 * len(start), np.float32)]
+    for nth in range(rounds):
+        state = train_round(shards, state, nth, weight)
+    return char_cnn.unflat(state)[0]
+
+
+def calibration_logits(examined: DataFrame, weights: dict) -> DataFrame:
+    """(label, z, rank) of every labelled candidate of the calibration fold: its likeliest window's logit, and a number in the same order."""
+    shared = examined.sparkSession.sparkContext.broadcast(weights)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, of, pieces = _candidates(batch)
+            z = np.zeros(0, np.float32)
+            if len(of):
+                z = np.maximum.reduceat(char_cnn.logits(shared.value, pieces[:, :WINDOW], pieces[:, WINDOW].astype(int)), np.cumsum(of) - of)
+            asked = (label == 0) | (label == 1)
+            label, z = label[asked], z[asked].astype(np.float32)
+            bits = z.view(np.uint32)
+            rank = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(z.astype(float)), pa.array(rank)], ["label", "z", "rank"])
+
+    rows = examined.filter(fold(F.col("id")) == 1).select("run_label", "run_pieces", "pieces")
+    return materialise(rows.mapInArrow(score, "label int, z double, rank long"))
+
+
+def calibrate(logits: DataFrame, pos: int, neg: int) -> tuple[float, float]:
+    """(a, b) of ``char_cnn.platt`` from exact sums over all rows."""
+    low, high = char_cnn.platt_targets(pos, neg)
+    z, target = F.col("z"), F.when(F.col("label") == 1, F.lit(high)).otherwise(F.lit(low))
+
+    def sums(a: float, b: float) -> tuple:
+        within = lambda x, most: F.greatest(F.least(x, F.lit(most)), F.lit(-most))
+        value = within(z * float(a) + float(b), 1e6)
+        p = 1 / (1 + F.exp(-within(value, 30.0)))
+        d, q = p - target, p * (1 - p)
+        loss = F.greatest(value, F.lit(0.0)) + F.log1p(F.exp(-F.abs(value))) - target * value
+        terms = [F.sum(x.cast("decimal(28,15)")) for x in (loss, d * z, d, q * z * z, q * z, q)]
+        return tuple(float(x) for x in logits.agg(*terms).first())
+
+    return char_cnn.platt_by_sums(sums)
+
+
+def nth_largest(values: DataFrame, name: str, nth: int) -> int:
+    """The ``nth`` largest (from 1) of integers below 2^32, by counts of one byte after another; needs ``nth`` rows."""
+    found = 0
+    for shift in (24, 16, 8, 0):
+        byte = F.shiftright(name, shift).bitwiseAND(255).alias("byte")
+        counts = values.filter(F.shiftright(name, shift + 8) == found).groupBy(byte).count().collect()
+        for b, n in sorted(((r[0], r[1]) for r in counts), reverse=True):
+            if nth <= n:
+                found = found * 256 + b
+                break
+            nth -= n
+    return found
+
+
+def fit_detector(examined: DataFrame, recall: float = 0.98, rounds: int = 6) -> Detector | None:
+    """Network, calibration and threshold from all labelled candidates; None where a class is missing in a fold."""
+    weights = train_detector(examined, rounds)
+    if weights is None:
+        return None
+    logits = calibration_logits(examined, weights)
+    n = {r.label: r["count"] for r in logits.groupBy("label").count().collect()}
+    if len(n) < 2:
+        return None
+    a, b = calibrate(logits, n[1], n[0])
+    if a <= 0:
         return None
-    positive = np.concatenate([seen["train", 1], varied(seen["train", 1], seen["train", 0])])
-    x, y = np.concatenate([positive, seen["train", 0]]), np.r_[np.ones(len(positive), int), np.zeros(len(seen["train", 0]), int)]
-    weights = char_cnn.train(x[:, :WINDOW], x[:, WINDOW].astype(int), y, epochs)
-    x = np.concatenate([seen["calibrate", 1], seen["calibrate", 0]])
-    y = np.r_[np.ones(len(seen["calibrate", 1]), int), np.zeros(len(seen["calibrate", 0]), int)]
-    z = char_cnn.logits(weights, x[:, :WINDOW], x[:, WINDOW].astype(int)).astype(float)
-    a, b = char_cnn.platt(z, y)
-    return Detector(weights, a, b, char_cnn.threshold_for_recall(char_cnn.sigmoid(a * z + b), y, recall))
+    rank = np.array([nth_largest(logits.filter("label = 1"), "rank", max(int(np.ceil(recall * n[1])), 1))], np.uint32)
+    z = np.where(rank >> 31, rank ^ np.uint32(1 << 31), ~rank).view(np.float32)
+    return Detector(weights, a, b, float(char_cnn.sigmoid(a * z.astype(float) + b)[0]))
 
 
 def _added(batch: pa.RecordBatch, detector: Detector | None) -> Iterator[list[tuple]]:
@@ -245,7 +413,7 @@ def add_spans(examined: DataFrame, detector: Detector | None) -> DataFrame:
     return examined.mapInArrow(spans, schema)
 
 
-def scan_secrets(docs: DataFrame, sample: int = 1500, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) of every row: one pass over the texts, then training on a bounded sample and scoring of all candidates."""
+def scan_secrets(docs: DataFrame, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans) of every row: one pass over the texts, then training on all labelled candidates and scoring of all candidates."""
     examined = materialise(examine(docs, id_col, text_col))
-    return add_spans(examined, fit_detector(examined, sample, recall))
+    return add_spans(examined, fit_detector(examined, recall))
